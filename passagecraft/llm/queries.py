@@ -7,21 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
-from .common import table
+from . import boilerplate, mixing, rules, simhash, topk, warc
+from .common import scratch, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"), scratch(spark, "warc"), roll_bytes=8 << 20, shard_bytes=32 << 20)
+    return warc.read_archive(spark, archive, with_payload=False).drop("url", "payload")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", boilerplate.extract("html").alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allotment(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = rules.assess(docs, rules.learn_from(docs, table(spark, sf_dir, "labels")))
+    stats = (F.col("_q")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    return found.select("doc_id", *stats, F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_rule").alias("rule"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_mix_sources, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op4_html_extraction, op6_exact_top_k, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup)}
 
 
 OP8_SQL = r"""

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 from .components import components
@@ -46,7 +47,7 @@ def simhash(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def fingerprint(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
         found = np.fromiter((simhash(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch), np.uint64, len(batch))
@@ -66,7 +67,7 @@ def grid_masks(groups: int = GROUPS, bits: int = MAX_BITS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-@F.arrow_udf("array<struct<a:long,b:long>>")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
 def linked(cells: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Within each list of fingerprints, a link from every one to the smallest that it reaches."""
     kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
