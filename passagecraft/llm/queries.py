@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, mixing, rules, simhash, topk, warc
+from . import boilerplate, langid, mixing, rules, simhash, topk, warc
 from .common import scratch, table
 
 
@@ -16,6 +16,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, archive, with_payload=False).drop("url", "payload")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", boilerplate.extract("html").alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
@@ -42,7 +48,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op4_html_extraction, op6_exact_top_k, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op4_html_extraction, op6_exact_top_k, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup)}
 
 
 OP8_SQL = r"""
