@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, langid, mixing, rules, simhash, topk, warc
+from . import boilerplate, langid, mixing, packing, rules, simhash, tokencount, topk, warc
 from .common import scratch, table
 
 
@@ -22,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", boilerplate.extract("html").alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
@@ -31,6 +36,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allotment(table(spark, sf_dir, "documents"))
 
@@ -48,7 +57,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_language_id, op4_html_extraction, op6_exact_top_k, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_token_counts, op4_html_extraction, op6_exact_top_k, op7_packing, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup)}
 
 
 OP8_SQL = r"""
