@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, langid, mixing, packing, rules, simhash, tokencount, topk, warc
+from . import boilerplate, langid, mixing, packing, pii, rules, simhash, tokencount, topk, warc
 from .common import scratch, table
 
 
@@ -32,6 +32,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -57,7 +61,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_token_counts, op4_html_extraction, op6_exact_top_k, op7_packing, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_token_counts, op4_html_extraction, op5_pii, op6_exact_top_k, op7_packing, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup)}
 
 
 OP8_SQL = r"""
