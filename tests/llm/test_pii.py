@@ -38,7 +38,7 @@ def test_base_spans_against_plain_patterns():
 def test_report_and_terms(spark):
     texts = [f"filler{i} words that differ{i} here: Zorblax wrote from bob@corp.example.com about topic{i} again{i}" for i in range(6)]
     texts += ["Zorblax was seen today", None, "", "nothing personal inside", "nothing personal inside"] + [f"other text number {i} with other words" for i in range(900)]
-    texts += ["one passage with Quuxly and ann@corp.example.com in it"] * 5 + [f"one passage with Quuxly and ann@corp.example.com in it. Tail{i}" for i in range(5)]
+    texts += ["one passage with Quuxly and ann@corp.example.com in it and then some more words follow"] * 5 + [f"one passage with Quuxly and ann@corp.example.com in it and then some more words follow. Tail{i}" for i in range(5)]
     df = spark.createDataFrame([Row(doc_id=i if i else None, text=t, key="clash", base=1) for i, t in enumerate(texts)])
     got = {r.doc_id: r for r in pii.report(df).collect()}
     assert len(got) == len(texts)
