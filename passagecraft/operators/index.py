@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagecraft.schema import ChunkConfig
 
@@ -22,14 +23,20 @@ def write(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 
 
+def _open(spark: SparkSession, path: str) -> DataFrame:
+    """The table, with its partition values as the strings that they are."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in found])).parquet(path)
+
+
 def read(spark: SparkSession, path: str, corpus_id: str, cfg: ChunkConfig, model: str = "hashed-words") -> DataFrame:
     """One collection; the filters are on partitions, so no file of another is opened."""
-    return spark.read.parquet(path).where((F.col("corpus_id") == corpus_id) & (F.col("embed_model") == model) & (F.col("chunk_slug") == cfg.slug))
+    return _open(spark, path).where((F.col("corpus_id") == corpus_id) & (F.col("embed_model") == model) & (F.col("chunk_slug") == cfg.slug))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """Collections and how many chunks and documents each has."""
-    return counts(spark.read.parquet(path))
+    return counts(_open(spark, path))
 
 
 def counts(index: DataFrame) -> DataFrame:
