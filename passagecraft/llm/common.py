@@ -33,6 +33,12 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers a thousand at a time: texts are long, and a batch has to fit several times beside the heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path on any file system Hadoop knows."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

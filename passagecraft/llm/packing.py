@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cells, materialize
+from .common import cells, materialize, small_batches
 from .tokenizer import encode_all
 
 WINDOW = 1024
@@ -164,7 +164,7 @@ def _tokenize(definition, key: str, window: int):
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 rows = []
-                for ids in encode_all((t.as_py() or "" for t in part.column(1)), key, definition.value):
+                for ids in encode_all(part.column(1), key, definition.value):
                     ids = np.append(ids, ids.dtype.type(END))
                     n = len(ids) // window
                     rest = ids[n * window :]
@@ -210,6 +210,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     than a window whatever the document. The driver gets one sum for each length. Equal lengths are dealt over buckets.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

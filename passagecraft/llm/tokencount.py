@@ -1,8 +1,10 @@
 """Token counts of documents: pieces are counted once for each distinct pre-token and joined to frequencies.
 
-Blocks of documents become lists by pre-token: one row for each pre-token of a block, with the documents that hold it
-and how often. A pre-token crosses the shuffle once for a block, not once for a document, and no token id is ever made
-but while a distinct pre-token is counted.
+Blocks of documents become lists by pre-token: which documents of the block hold it, and how often. The lists are dealt
+out by a hash of the pre-token, packed, one row for each block and partition. So all of a pre-token's lists meet in one
+task, which counts its pieces once, joins them to the frequencies and sums up by document; sums then meet by block. A
+pre-token crosses the shuffle once for a block, not once for a document; no token id is ever made but while a distinct
+pre-token is counted, and a frequent pre-token is one more entry in the row of a block, never a row for each document.
 """
 
 from __future__ import annotations
@@ -15,24 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizer import loaded
+from .common import small_batches
+from .tokenizer import PLAIN_TEXT, loaded
 
 LIMIT = 2048
-#: A block: documents (their number in it takes this many bits) and characters.
-_BITS = 11
-_CHARS = 8 << 20
-_MOST = (1 << (31 - _BITS)) - 1
+#: A block: documents and characters at most, and characters that are split in one go.
+BLOCK_DOCS, BLOCK_CHARS, _PART_CHARS = 4096, 16 << 20, 4 << 20
 
 # Text of these characters alone is split here as the library splits it: they have no other composed form, each has one
 # lower case letter, and what is letter, digit, white space or neither is plain. Other text is split by the library.
 _LETTERS = "a-zß-öø-ÿĀ-įı-ňŊ-ž"
-_PLAIN = re.compile(r"[\t\n\r -~¡§©«®°±·»¿-ÖØ-öø-įı-ňŊ-ž–—‘’“”•…€]*+")
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 
 
 def pre_tokens(text: str, tok, specials: re.Pattern | None) -> list[str]:
     """What the tokenizer counts one by one, in order; a special string stands for itself."""
-    if _PLAIN.fullmatch(text) and not (specials and "<" in text and specials.search(text)):
+    if PLAIN_TEXT.fullmatch(text) and not (specials and "<" in text and specials.search(text)):
         return _PIECE.findall(text.lower())
     out = []
     for i, part in enumerate(specials.split(text) if specials else [text]):
@@ -49,88 +49,177 @@ def _specials(tok) -> re.Pattern | None:
     return re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
 
 
-def _blocks(definition, key: str, with_lists: bool):
-    """Per block its distinct pre-tokens; with_lists: and where they are, and a row for each document, under a name that no pre-token has."""
+def _pack(names: pa.Array, lengths: np.ndarray, docs: np.ndarray, times: np.ndarray) -> bytes:
+    """Names, how many entries each has, and the entries, compressed."""
+    offsets = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1]
+    text = bytes(names.buffers()[2])[offsets[0] : offsets[-1]] if len(names) else b""
+    wide = 8 if len(times) and times.max() >= 1 << 32 else 4 if len(times) and times.max() >= 1 << 8 else 1
+    head = np.array([len(names), len(docs), wide], np.int64)
+    raw = b"".join([head.tobytes(), np.diff(offsets).astype(np.int32).tobytes(), lengths.astype(np.int32).tobytes(), docs.astype(np.uint16).tobytes(), times.astype(f"<u{wide}").tobytes(), text])
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpack(data: bytes) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(memoryview(data)[8:], int(np.frombuffer(data, np.int64, 1)[0]), asbytes=True)
+    n, k, wide = (int(x) for x in np.frombuffer(raw, np.int64, 3))
+    at = 24
+    sizes = np.frombuffer(raw, np.int32, n, at)
+    lengths = np.frombuffer(raw, np.int32, n, at := at + 4 * n)
+    docs = np.frombuffer(raw, np.uint16, k, at := at + 4 * n)
+    times = np.frombuffer(raw, f"<u{wide}", k, at := at + 2 * k)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    names = pa.StringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[at + wide * k :]))
+    return names.to_pylist(), lengths, docs, times
+
+
+def _blocks(definition, key: str, buckets: int):
+    """Per block a row for each bucket with its packed lists, and one with what is known of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
         from pyspark import TaskContext
 
         tok = loaded(key, definition.value)
         specials = _specials(tok)
         task, nth = TaskContext.get().partitionId(), 0
-
-        def rows(docs: list[tuple[int | None, int, list[str]]]) -> pa.RecordBatch:
+        ids: list[int | None] = []
+        sizes: list[int] = []
+        parts: list[pa.DictionaryArray] = []
+        counts: list[int] = []
+        pieces: list[str] = []
+
+        def split_up() -> None:
+            if pieces:
+                parts.append(pa.array(pieces, pa.string()).dictionary_encode())
+                pieces.clear()
+
+        def close() -> pa.RecordBatch:
             nonlocal nth
-            flat = pa.array([p for _, _, pieces in docs for p in pieces], pa.string()).dictionary_encode()
-            names = flat.dictionary
-            if not with_lists:
-                return pa.RecordBatch.from_arrays([names], ["piece"])
-            block = task << 32 | nth
-            nth += 1
-            at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(docs)), [len(p) for _, _, p in docs])
-            both, n = np.unique(at << _BITS | doc, return_counts=True)
-            times = -(-n // _MOST)  # a frequency too large for one entry takes some
-            both, left = np.repeat(both, times), np.repeat(n, times)
-            part = np.arange(len(both)) - np.repeat(np.cumsum(times) - times, times)
-            n = np.minimum(_MOST, left - part * _MOST)
-            where = ((both & ((1 << _BITS) - 1)) | n << _BITS).astype(np.int32)
-            offsets = np.searchsorted(both >> _BITS, np.arange(len(names) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(where))
-            own = pa.ListArray.from_arrays(pa.array(np.arange(len(docs) + 1, dtype=np.int32)), pa.array(np.arange(len(docs), dtype=np.int32)))
-            none = pa.nulls(len(names), pa.int64())
-            return pa.RecordBatch.from_arrays(
+            split_up()
+            block, nth = task << 32 | nth, nth + 1
+            data, where = [], []
+            if parts:
+                whole = pa.chunked_array(parts).unify_dictionaries()
+                names = whole.chunk(0).dictionary
+                at = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in whole.chunks]).astype(np.int64)
+                bucket = pd.util.hash_array(np.array(names.to_pylist(), object), categorize=False) % buckets
+                order = np.argsort(bucket, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                names, bucket = names.take(pa.array(order)), bucket[order]
+                both, times = np.unique(place[at] * BLOCK_DOCS + np.repeat(np.arange(len(ids)), counts), return_counts=True)
+                first = np.searchsorted(bucket, np.arange(buckets + 1))
+                entry = np.searchsorted(both // BLOCK_DOCS, first)
+                lengths = np.bincount(both // BLOCK_DOCS, minlength=len(names))
+                for b in np.nonzero(np.diff(first))[0]:
+                    n, e = slice(first[b], first[b + 1]), slice(entry[b], entry[b + 1])
+                    data.append(_pack(names.slice(n.start, n.stop - n.start), lengths[n], both[e] % BLOCK_DOCS, times[e]))
+                    where.append(int(b))
+            m = len(data)
+            lists = pa.list_(pa.int64())
+            out = pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([names, pa.array([f" {block} {i}" for i in range(len(docs))], pa.string())]),
-                    pa.array(np.full(len(names) + len(docs), block)),
-                    pa.concat_arrays([lists, own]),
-                    pa.concat_arrays([none, pa.array([d for d, _, _ in docs], pa.int64())]),
-                    pa.concat_arrays([none, pa.array([b for _, b, _ in docs], pa.int64())]),
+                    pa.array([*where, block % buckets], pa.int32()), pa.array([block] * (m + 1), pa.int64()), pa.array([*data, None], pa.binary()),
+                    pa.array([None] * m + [ids], lists), pa.array([None] * m + [sizes], lists),
                 ],
-                ["piece", "block", "entries", "doc_id", "n_bytes"],
-            )
+                ["bucket", "block", "data", "doc_ids", "sizes"],
+            )
+            for held in (ids, sizes, parts, counts):
+                held.clear()
+            return out
 
-        held, chars = [], 0
+        chars = whole_chars = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 t = text.as_py() or ""
-                held.append((doc_id.as_py(), len(t.encode()), pre_tokens(t, tok, specials)))
-                chars += len(t)
-                if chars >= _CHARS or len(held) >= 1 << _BITS:
-                    yield rows(held)
-                    held, chars = [], 0
-        if held:
-            yield rows(held)
+                own = pre_tokens(t, tok, specials)
+                ids.append(doc_id.as_py())
+                sizes.append(len(t.encode()))
+                counts.append(len(own))
+                pieces += own
+                chars, whole_chars = chars + len(t), whole_chars + len(t)
+                if chars >= _PART_CHARS:
+                    split_up()
+                    chars = 0
+                if whole_chars >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
+                    yield close()
+                    chars = whole_chars = 0
+        if ids:
+            yield close()
 
     return run
 
 
-def _counter(definition, key: str):
+_KIND = "block long, data binary, doc_ids array<long>, sizes array<long>"
+
+
+def _count(definition, key: str):
+    """Counts the pieces of each pre-token when it is first seen, joins them to its lists, and sums up by document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = loaded(key, definition.value)
+        known: dict[str, int] = {}  # the distinct pre-tokens of this partition
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                names = batch.column(0).slice(at, 2048)
-                n = [len(e.ids) for e in tok.encode_batch_fast(names.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64())], ["piece", "n"])
+            out = []
+            for row in batch.column("data"):
+                if not row.is_valid:
+                    out.append(None)
+                    continue
+                names, lengths, docs, times = _unpack(row.as_buffer())
+                new = [w for w in names if w not in known]
+                for at in range(0, len(new), 4096):
+                    part = new[at : at + 4096]
+                    known.update(zip(part, (len(e.ids) for e in tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+                n = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
+                sums = np.zeros(int(docs.max()) + 1, np.int64)
+                np.add.at(sums, docs, np.repeat(n, lengths) * times.astype(np.int64))
+                kind = np.uint32 if sums.max() < 1 << 32 else np.uint64
+                raw = sums.astype(kind).tobytes()
+                out.append(bytes([kind(0).itemsize]) + np.int64(len(raw)).tobytes() + pa.Codec("zstd").compress(raw, asbytes=True))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary()), batch.column("doc_ids"), batch.column("sizes")], ["block", "data", "doc_ids", "sizes"])
 
     return run
 
 
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block follow each other: adds up its sums, and gives them to its documents."""
+    block, total, docs = None, np.zeros(BLOCK_DOCS, np.int64), None
+
+    def close() -> pa.RecordBatch:
+        ids, sizes = docs
+        return pa.RecordBatch.from_arrays([ids, sizes, pa.array(total[: len(ids)])], ["doc_id", "n_bytes", "n_tokens"])
+
+    for batch in batches:
+        for b, data, ids, sizes in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("doc_ids"), batch.column("sizes"), strict=True):
+            if b != block:
+                if block is not None:
+                    yield close()
+                block, total, docs = b, np.zeros(BLOCK_DOCS, np.int64), None
+            if data.is_valid:
+                raw = data.as_buffer().to_pybytes()
+                got = np.frombuffer(pa.Codec("zstd").decompress(raw[9:], int(np.frombuffer(raw, np.int64, 1, 1)[0]), asbytes=True), f"<u{raw[0]}")
+                total[: len(got)] += got.astype(np.int64)
+            else:
+                docs = ids.values, sizes.values
+    if block is not None:
+        yield close()
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_bytes, n_tokens, over_limit, by the tokenizer in the file ``path``.
 
     Null text counts as empty, with no bytes and no tokens. Each row counts by itself, repeated or null doc_ids too; an
-    empty table gives no rows, and other columns are ignored. The file's text is sent to the executors. Of a frequent
-    pre-token each block has one row, and its count is one row on the other side of the join, so Spark can split them.
+    empty table gives no rows, and other columns are ignored. The file's text is sent to the executors. A task of the
+    second stage holds its partition's distinct pre-tokens, so their number per task goes down with
+    spark.sql.shuffle.partitions.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     with open(path, encoding="utf-8") as f:
-        definition = docs.sparkSession.sparkContext.broadcast(f.read())
+        definition = spark.sparkContext.broadcast(f.read())
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    distinct = some.mapInArrow(_blocks(definition, path, False), "piece string").distinct()
-    counts = distinct.mapInArrow(_counter(definition, path), "piece string, n long")
-    lists = some.mapInArrow(_blocks(definition, path, True), "piece string, block long, entries array<int>, doc_id long, n_bytes long")
-    each = lists.join(counts, "piece", "left").select("block", "doc_id", "n_bytes", F.coalesce("n", F.lit(0)).alias("n"), F.explode("entries").alias("entry"))
-    tokens = F.shiftright("entry", _BITS).cast("long") * F.col("n")
-    sums = each.groupBy("block", F.col("entry").bitwiseAND((1 << _BITS) - 1).alias("doc")).agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(tokens).alias("n_tokens"))
-    return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    lists = some.mapInArrow(_blocks(definition, path, buckets), f"bucket int, {_KIND}").repartition(buckets, "bucket")
+    sums = lists.drop("bucket").mapInArrow(_count(definition, path), _KIND)
+    whole = sums.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_sum_up, "doc_id long, n_bytes long, n_tokens long")
+    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from tokenizers import Tokenizer
@@ -30,7 +31,10 @@ def docs_of(spark, texts):
 def test_encode_all(name):
     path = public_tokenizers.path(name)
     tok, texts = Tokenizer.from_file(path), [t or "" for t in odd_texts()]
-    got = list(tokenizer.encode_all(texts, path, open(path).read()))
+    definition = open(path).read()
+    got = list(tokenizer.encode_all(pa.array(texts), path, definition))
+    assert list(tokenizer.encode_all(pa.array([], pa.string()), path, definition)) == []
+    assert [len(x) for x in tokenizer.encode_all(pa.array([None, "a b"]), path, definition)] == [0, 2]
     for t, ids in zip(texts, got, strict=True):
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
