@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,12 +14,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a folder of this process."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='passagecraft-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
+        if not _OWN_DIR:
+            _OWN_DIR.append(f"file://{tempfile.mkdtemp(prefix='passagecraft-')}")
+            atexit.register(shutil.rmtree, _OWN_DIR[0].removeprefix("file://"), ignore_errors=True)
+        return _OWN_DIR[0]
     return there.rstrip("/")
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 UNKNOWN = "und"
 DIMENSIONS = 4096
 #: The labelled texts that a model is fitted on, about; shared evenly among the languages.
@@ -156,6 +158,7 @@ def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
     Documents are taken by a hash of doc_id until about ``max_labelled`` are there, of each language about as many; the
     driver gets one vector for each of them.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_labelled).collect()}
     if not counts:
@@ -197,4 +200,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Null text and text without a letter: ``und`` and 0, as is everything where nothing could be learned. Equal texts
     have equal results. No other column is read.
     """
+    small_batches(docs.sparkSession)
     return docs.withColumn("_lang", predictor(model)("text"))

@@ -178,7 +178,7 @@ def _tokenize(definition, key: str, window: int):
 
 def _pieces(shared, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
+        p = Plan(**shared.value)
         kinds = [pa.int64()] * 7
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     h, full = np.zeros(window, np.int64), np.zeros(window, np.int64)
     for r in sums.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("n_full").alias("n_full")).collect():
         h[r["rest"]], full[r["rest"]] = r["n"], r["n_full"]
-    shared = spark.sparkContext.broadcast(plan(h, full, window))  # a few numbers for each combination there is
+    shared = spark.sparkContext.broadcast(vars(plan(h, full, window)))  # a few numbers for each combination there is
     within = W.partitionBy("rest", "bucket").orderBy("doc_id", "rest_crc", "doc_tokens", F.hash("crcs"))
     ranked = made.join(firsts, ["rest", "bucket"]).select(
         "doc_id", "doc_tokens", "crcs", "rest", "rest_crc", "rest_ids", "id_bytes",

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 from .components import components
 
 MAX_BITS = 3
@@ -141,12 +141,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     no rows; other columns are ignored. Equal fingerprints are one node; documents meet their class by fingerprint,
     with one row of each on the other side, so a hot fingerprint's documents can be split over tasks.
     """
+    small_batches(docs.sparkSession)
     marked = materialize(docs.select("doc_id", fingerprint("text").alias("fp")), "fingerprints")
     return marked.join(classes(marked).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the smallest doc_id (null last; one of them, if rows repeat)."""
+    small_batches(docs.sparkSession)
     marked = materialize(docs.withColumn("_simhash_fp", fingerprint("text")), "fingerprints")
     ids = marked.select("doc_id", F.col("_simhash_fp").alias("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))

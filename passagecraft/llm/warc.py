@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, materialize
+from .common import delete, materialize, small_batches
 
 #: Compressed bytes after which a file is closed, payload bytes of a shard, ranges that are summed up in one look.
 ROLL_BYTES = 64 << 20
@@ -168,6 +168,7 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
     before the page that they are for.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     facts = materialize(pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("n_bytes")), "warc-facts")
     copies = facts.groupBy("sha").agg(F.max("page_id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

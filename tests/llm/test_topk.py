@@ -30,7 +30,7 @@ def test_against_brute_force(spark):
     rnd = random.Random(3)
     rows = [(i, [rnd.gauss(0, 0.3) for _ in range(6)]) for i in range(400)]
     rows += [(1000 + i, [0.5, 0.1, 0.0, -0.2, 0.3, 0.9]) for i in range(150)]  # ties
-    rows += [(2000, None), (2010, [0.1, None, 0.2, 0, 0, 0]), (2020, [float("nan")] * 6), (2030, [float("inf")] + [0.0] * 5), (None, [0.1] * 6), (5, rows[5][1]), (20, [9.0] * 6), (3001, [1.0, 2.0]), (3003, [])]
+    rows += [(2000, None), (2010, [0.1, None, 0.2, 0.0, 0.0, 0.0]), (2020, [float("nan")] * 6), (2030, [float("inf")] + [0.0] * 5), (None, [0.1] * 6), (5, rows[5][1]), (20, [9.0] * 6), (3001, [1.0, 2.0]), (3003, [])]
     assert run(spark, rows) == plain(rows, 5, 10)
     assert run(spark, rows, query_block=7) == plain(rows, 5, 10)
 
