@@ -1,9 +1,8 @@
 """Personal data: patterns find entities, and corpus co-occurrence finds the terms that give them away.
 
 A term discloses an entity by how much it says about it: the share of the texts with the term in which the term stands
-next to the entity (the posterior), against the entity's share of all texts. Terms are counted over distinct texts, so
-copies do not count, and must stand by the entity in several different contexts, so near copies of one passage do not
-make a term either. A term over the threshold of information and posterior is generalised; one that names its entity
+next to the entity (the posterior), against the entity's share of all texts. All documents count. A term must stand by
+the entity in several different contexts, so copies and near copies of one passage do not make one. A term over the threshold of information and posterior is generalised; one that names its entity
 almost for certain is removed.
 """
 
@@ -11,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side that are an entity's context; contexts a term needs; bits it must tell; posteriors to generalise and to remove.
@@ -131,16 +131,68 @@ _HIT = T.StructType([*_SPAN.fields, T.StructField("term", T.StringType())])
 _SCAN = T.StructType([T.StructField("base", T.ArrayType(_SPAN)), T.StructField("hits", T.ArrayType(_HIT))])
 
 
+class _Passing:
+    """Words that a filter of fixed size lets through, as it is filled on the driver; remembers what it has looked up."""
+
+    def __init__(self, filled) -> None:
+        self.there = np.unpackbits(np.frombuffer(zlib.decompress(filled.value), np.uint8)).astype(bool)
+        self.some = bool(self.there.any())
+        self.known: dict[str, str] = {}
+
+    def of(self, text: str) -> dict[str, str]:
+        """Words of the text to their terms, those that pass."""
+        if not self.some:
+            return {}
+        if len(self.known) > 200_000:
+            self.known.clear()
+        out = {}
+        for w in set(_TERM.findall(text)):
+            t = self.known.get(w)
+            if t is None:
+                t = w.lower()
+                t = self.known[w] = t if self.there[zlib.crc32(t.encode()) % FILTER] else ""
+            if t:
+                out[w] = t
+        return out
+
+
+def _filled(terms: DataFrame):
+    """The filter that terms(term) fill: at most FILTER places, whatever the number of terms."""
+    places = terms.select((F.crc32(F.col("term").cast("binary")) % FILTER).alias("at")).distinct().toArrow().column("at").to_numpy()
+    bits = np.zeros(FILTER, np.uint8)
+    bits[places] = 1
+    return terms.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(bits).tobytes()))
+
+
+def _holding(filled):
+    """How many texts of a partition hold each word that passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passing, counts = _Passing(filled), Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for x in batch.column(0):
+                counts.update(set(passing.of(x.as_py() or "").values()))
+            if len(counts) > 100_000:
+                yield flush()
+        yield flush()
+
+    return run
+
+
 def _scanner(filled):
-    """Base spans of a text, and the words of it that may be disclosing terms: those that a filter lets through."""
+    """Base spans of a text, and the words of it that may be disclosing terms."""
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     hit = pa.struct([*span, pa.field("term", pa.string())])
 
     @F.arrow_udf(_SCAN)
     def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        there = np.unpackbits(np.frombuffer(zlib.decompress(filled.value), np.uint8)).astype(bool)
-        some = bool(there.any())
-        known: dict[str, bool] = {}
+        passing = _Passing(filled)
         for batch in texts:
             bases, hits = [], []
             for x in batch:
@@ -148,52 +200,46 @@ def _scanner(filled):
                 spans = base_spans(text)
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
                 found = []
-                if some:
-                    if len(known) > 200_000:
-                        known.clear()
-                    passing = set()
-                    for w in set(_TERM.findall(text)):
-                        ok = known.get(w)
-                        if ok is None:
-                            ok = known[w] = bool(there[zlib.crc32(w.lower().encode()) % FILTER])
-                        if ok:
-                            passing.add(w)
-                    if passing:
-                        clear = _outside(spans)
-                        found = [{"start": m.start(), "kind": len(KINDS) - 1, "end": m.end(), "term": m[0].lower()} for m in _TERM.finditer(text) if m[0] in passing and clear(*m.span())]
+                if terms := passing.of(text):
+                    clear = _outside(spans)
+                    found = [{"start": m.start(), "kind": len(KINDS) - 1, "end": m.end(), "term": terms[m[0]]} for m in _TERM.finditer(text) if m[0] in terms and clear(*m.span())]
                 hits.append(found)
             yield pa.StructArray.from_arrays([pa.array(bases, pa.list_(span)), pa.array(hits, pa.list_(hit))], ["base", "hits"])
 
     return scan
 
 
+def disclosing(docs: DataFrame) -> DataFrame:
+    """term, removed: the terms of docs(text) over the thresholds, by two looks at each whole text.
+
+    The first takes entities and what stands around them. The second counts the texts that hold a term that has enough
+    contexts: words that pass a filter of such terms, summed up within a partition, then joined exactly.
+    """
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    around = materialize(texts.select(F.monotonically_increasing_id().alias("row"), F.inline(_contexts("text"))), "pii-contexts")
+    pairs = around.select("row", "entity", F.md5(F.array_join("terms", " ")).alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
+    near = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("texts"))
+    near = materialize(near.where(F.col("contexts") >= MIN_CONTEXTS), "pii-terms")
+    holding = texts.mapInArrow(_holding(_filled(near)), "term string, n long").groupBy("term").agg(F.sum("n").alias("all_texts"))
+    of_entity = around.groupBy("entity").agg(F.count_distinct("row").alias("entity_texts"))
+    posterior = F.col("texts") / F.greatest("all_texts", "texts")
+    told = F.log2(posterior * F.lit(float(max(texts.count(), 1))) / F.col("entity_texts"))
+    both = near.join(of_entity, "entity").join(holding, "term").select("term", posterior.alias("posterior"), told.alias("bits"))
+    return both.where((F.col("posterior") >= GENERALISE) & (F.col("bits") >= MIN_BITS)).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("removed"))
+
+
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scanned, added): the rows of docs without text, as doc_id, key (of the text) and base spans; and per key the added spans.
 
-    added has key, terms (array of start, kind, end, removed). Two looks at each whole text: the first takes entities and
-    what stands around them, the second the base spans and the words that may be terms. Only words that pass a filter of
-    fixed size, filled from terms with enough contexts, are shuffled; the join with those terms then decides exactly.
+    added has key, terms (array of start, kind, end, removed). Only words that pass a filter of the disclosing terms are
+    shuffled, and the join with those terms then decides exactly.
     """
-    spark = docs.sparkSession
+    terms = materialize(disclosing(docs), "pii-disclosing")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.col("doc_id"), F.md5(text).alias("key"), text.alias("text"))
-    around = materialize(keyed.select("key", F.inline(_contexts("text"))).distinct(), "pii-contexts")
-    pairs = around.select("key", "entity", F.md5(F.array_join("terms", " ")).alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
-    near = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("texts"))
-    near = materialize(near.where(F.col("contexts") >= MIN_CONTEXTS), "pii-terms")
-    places = near.select((F.crc32(F.col("term").cast("binary")) % FILTER).alias("at")).distinct().toArrow().column("at").to_numpy()
-    bits = np.zeros(FILTER, np.uint8)
-    bits[places] = 1
-    filled = spark.sparkContext.broadcast(zlib.compress(np.packbits(bits).tobytes()))
-    scanned = materialize(keyed.select("doc_id", "key", _scanner(filled)("text").alias("s")).select("doc_id", "key", "s.base", "s.hits"), "pii-spans")
+    found = docs.select("doc_id", F.md5(text).alias("key"), _scanner(_filled(terms))(text).alias("s"))
+    scanned = materialize(found.select("doc_id", "key", "s.base", "s.hits"), "pii-spans")
     hits = scanned.select("key", F.inline("hits")).distinct()
-    holding = hits.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("all_texts"))
-    total = scanned.select("key").distinct().count()
-    of_entity = around.groupBy("entity").agg(F.count_distinct("key").alias("entity_texts"))
-    posterior = F.col("texts") / F.greatest("all_texts", "texts")
-    bits_told = F.log2(posterior * F.lit(float(max(total, 1))) / F.col("entity_texts"))
-    told = near.join(of_entity, "entity").join(holding, "term").select("term", posterior.alias("posterior"), bits_told.alias("bits"))
-    terms = told.where((F.col("posterior") >= GENERALISE) & (F.col("bits") >= MIN_BITS)).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("removed"))
     added = hits.join(terms, "term").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "removed"))).alias("terms"))
     return scanned.drop("hits"), added
 
