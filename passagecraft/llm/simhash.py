@@ -106,7 +106,9 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS, groups: int = GROUPS, block
         raise ValueError(f"the grid is laid out for {MAX_BITS} bits")
     code = counts_code(F.col("fp"))
     choices = F.array(*[F.struct(F.lit(k).cast("byte").alias("choice"), code.bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(grid_masks(groups, bits))])
-    placed = fps.select("fp", F.inline(choices))
+    # fingerprints are few bytes and become many cells: without this, few tasks would make them all
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    placed = spread.select("fp", F.inline(choices))
     sizes = materialize(placed.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
     two = sizes.where("n = 2").select("a", "b")
     bound = F.bit_count(counts_code(F.col("a")).bitwiseXOR(counts_code(F.col("b")))) <= bits
