@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Encoded pieces that a worker remembers: two generations of so many.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _CHARS = 4 << 20
 
 # The word pattern of byte-level tokenizers, and their bytes that stand for themselves.
