@@ -219,7 +219,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         definition = spark.sparkContext.broadcast(f.read())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lists = some.mapInArrow(_blocks(definition, path, buckets), f"bucket int, {_KIND}").repartition(buckets, "bucket")
+    lists = some.mapInArrow(_blocks(definition, path, buckets), f"bucket int, {_KIND}").repartitionById(buckets, F.col("bucket"))
     sums = lists.drop("bucket").mapInArrow(_count(definition, path), _KIND)
     whole = sums.repartition(buckets, "block").sortWithinPartitions("block").mapInArrow(_sum_up, "doc_id long, n_bytes long, n_tokens long")
     return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
