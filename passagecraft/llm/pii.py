@@ -1,15 +1,18 @@
 """Personal data: patterns find entities, and corpus co-occurrence finds the terms that give them away.
 
-A term discloses an entity by how much it says about it: the share of the texts with the term in which the term stands
-next to the entity (the posterior), against the entity's share of all texts. All documents count. A term must stand by
-the entity in several different contexts, so copies and near copies of one passage do not make one. A term over the threshold of information and posterior is generalised; one that names its entity
-almost for certain is removed.
+A term discloses an entity by how much it says about it: the share of the texts with the term that hold the entity, too
+(the posterior), against the entity's share of all texts. All documents count, and of each the whole text. The entity
+must be seen with the term in several contexts (the words around the entity), so copies and near copies of one passage
+do not make one; the posterior is smoothed by their number n, times n / (n + 1). A term over the posterior that tells
+enough of the entity's own information is generalised; one that names its entity almost for certain is removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,10 +25,10 @@ from pyspark.sql import types as T
 from .common import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side that are an entity's context; contexts a term needs; bits it must tell; posteriors to generalise and to remove.
+#: Words on each side that are an entity's context; contexts a term needs; share of the entity's own bits that it must tell; posteriors to generalise and to remove.
 CONTEXT = 5
-MIN_CONTEXTS = 3
-MIN_BITS = 6.0
+MIN_CONTEXTS = 2
+MIN_SHARE = 0.5
 GENERALISE, REMOVE = 0.5, 0.9
 #: Places of the filter that spares most words the shuffle: its size is fixed, whatever the corpus.
 FILTER = 1 << 22
@@ -94,36 +97,43 @@ def _outside(spans: list[tuple[int, int, int]]):
     starts, ends = [m[0] for m in merged], [m[1] for m in merged]
 
     def clear(s: int, e: int) -> bool:
-        k = int(np.searchsorted(starts, e))
+        k = bisect_left(starts, e)
         return k == 0 or ends[k - 1] <= s
 
     return clear
 
 
-def contexts_of(text: str) -> list[tuple[str, list[str]]]:
-    """(entity, the terms around it) for each base span."""
+def contexts_of(text: str) -> tuple[list[tuple[str, list[str]]], list[str]]:
+    """(entity, the different contexts it stands in) for each entity of the base spans, and all terms of the text if it has one."""
     spans = base_spans(text)
     if not spans:
-        return []
+        return [], []
     clear = _outside(spans)
-    out = []
-    for span in spans:
-        # enough text on both sides for the terms; a longer word there is no term of use
-        low = max(0, span[0] - 64 * CONTEXT)
-        before = [m[0].lower() for m in _TERM.finditer(text, low, span[0]) if clear(*m.span())][-CONTEXT:]
-        after = [m[0].lower() for m in _TERM.finditer(text, span[2], min(len(text), span[2] + 64 * CONTEXT)) if clear(*m.span())][:CONTEXT]
-        out.append((_entity(text, span), before + after))
-    return out
+    words = [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(text) if clear(*m.span())]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    found: dict[str, set[str]] = {}
+    for start, kind, end in spans:
+        k = bisect_right(ends, start)
+        before, after = words[max(0, k - CONTEXT) : k], words[(j := bisect_left(starts, end)) : j + CONTEXT]
+        around = " ".join(w[2] for w in before + after)
+        found.setdefault(_entity(text, (start, kind, end)), set()).add(hashlib.md5(around.encode()).hexdigest())
+    return [(e, sorted(c)) for e, c in found.items()], sorted({w[2] for w in words})
 
 
-_CONTEXTS = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("terms", T.ArrayType(T.StringType()))]))
+_ENTITY = T.StructType([T.StructField("entity", T.StringType()), T.StructField("contexts", T.ArrayType(T.StringType()))])
+_CONTEXTS = T.StructType([T.StructField("entities", T.ArrayType(_ENTITY)), T.StructField("terms", T.ArrayType(T.StringType()))])
 
 
 @F.arrow_udf(_CONTEXTS)
 def _contexts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
+    kind = pa.list_(pa.struct([("entity", pa.string()), ("contexts", pa.list_(pa.string()))]))
     for batch in texts:
-        yield pa.array([[{"entity": e, "terms": t} for e, t in contexts_of(x.as_py() or "")] for x in batch], kind)
+        entities, terms = [], []
+        for x in batch:
+            found, all_terms = contexts_of(x.as_py() or "")
+            entities.append([{"entity": e, "contexts": c} for e, c in found])
+            terms.append(all_terms)
+        yield pa.StructArray.from_arrays([pa.array(entities, kind), pa.array(terms, pa.list_(pa.string()))], ["entities", "terms"])
 
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -212,21 +222,34 @@ def _scanner(filled):
 def disclosing(docs: DataFrame) -> DataFrame:
     """term, removed: the terms of docs(text) over the thresholds, by two looks at each whole text.
 
-    The first takes entities and what stands around them. The second counts the texts that hold a term that has enough
-    contexts: words that pass a filter of such terms, summed up within a partition, then joined exactly.
+    The first takes entities, their contexts and, of texts that have one, all terms; equal texts meet as one with its
+    number. The second counts the texts that hold a term with enough contexts: words that pass a filter of such terms,
+    summed up within a partition, then joined exactly.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    around = materialize(texts.select(F.monotonically_increasing_id().alias("row"), F.inline(_contexts("text"))), "pii-contexts")
-    pairs = around.select("row", "entity", F.md5(F.array_join("terms", " ")).alias("context"), F.explode(F.array_distinct("terms")).alias("term"))
-    near = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("texts"))
-    near = materialize(near.where(F.col("contexts") >= MIN_CONTEXTS), "pii-terms")
+    looked = texts.select(F.md5("text").alias("key"), _contexts("text").alias("c")).where(F.size("c.entities") > 0)
+    around = materialize(looked.select("key", "c.entities", "c.terms"), "pii-contexts")
+    mentions = around.select("key", F.inline("entities"))
+    several = mentions.select("entity", F.explode("contexts").alias("context")).groupBy("entity").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= MIN_CONTEXTS)
+    of_entity = materialize(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).join(several.select("entity"), "entity", "left_semi"), "pii-entities")
+    kept = around.select("key", "terms", F.inline("entities")).join(of_entity.select("entity"), "entity", "left_semi")
+    one = kept.groupBy("entity", "key").agg(F.count(F.lit(1)).alias("n"), F.first("contexts").alias("contexts"), F.first("terms").alias("terms"))
+    each = one.select("entity", "n", "terms", F.posexplode("contexts").alias("at", "context"))
+    # the copies of a text count once, with the first of its contexts
+    pairs = each.select("entity", "context", F.when(F.col("at") == 0, F.col("n")).otherwise(0).alias("n"), F.explode("terms").alias("term"))
+    near = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.sum("n").alias("texts"))
+    near = near.where(F.col("contexts") >= MIN_CONTEXTS)
+    # the texts with any entity are some of all texts: a term too common among them can be no candidate
+    smooth = F.col("contexts") / (F.col("contexts") + 1)
+    seen = around.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    near = materialize(near.join(seen, "term").where(F.col("texts") / F.col("seen") * smooth >= GENERALISE).drop("seen"), "pii-terms")
     holding = texts.mapInArrow(_holding(_filled(near)), "term string, n long").groupBy("term").agg(F.sum("n").alias("all_texts"))
-    of_entity = around.groupBy("entity").agg(F.count_distinct("row").alias("entity_texts"))
-    posterior = F.col("texts") / F.greatest("all_texts", "texts")
-    told = F.log2(posterior * F.lit(float(max(texts.count(), 1))) / F.col("entity_texts"))
-    both = near.join(of_entity, "entity").join(holding, "term").select("term", posterior.alias("posterior"), told.alias("bits"))
-    return both.where((F.col("posterior") >= GENERALISE) & (F.col("bits") >= MIN_BITS)).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("removed"))
+    share = F.col("texts") / F.greatest("all_texts", "texts") * smooth
+    own = F.log2(F.lit(float(max(texts.count(), 1))) / F.col("entity_texts"))
+    both = near.join(of_entity, "entity").join(holding, "term").select("term", share.alias("posterior"), own.alias("own"))
+    told = F.log2("posterior") + F.col("own")
+    return both.where((F.col("posterior") >= GENERALISE) & (told >= MIN_SHARE * F.col("own"))).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("removed"))
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

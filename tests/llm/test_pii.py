@@ -55,3 +55,20 @@ def test_report_and_terms(spark):
     assert "bob@" not in clean[1] and "<EMAIL>" in clean[1] and "Zorblax" not in clean[6] and clean[7] is None and clean[9] == texts[9]
     assert pii.sanitise(df).columns == df.columns
     assert pii.report(df.limit(0)).count() == 0
+
+
+def test_terms_of_whole_texts(spark):
+    far = " ".join(["usual"] * 200)
+    texts = [f"Vexlor {far} wrote{i} from10.1.2.3 and then {far}".replace("from10", "from 10") for i in range(2)]
+    texts += ["Vexlor here", f"Glimt {far} write to eve@corp.example.com today {far} again eve@corp.example.com please"]
+    texts += [f"Orvane {far} call 192.168.7.9 now"] * 4 + ["usual words"] * 40
+    df = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    assert "term:0:6" not in got[2].spans  # two of three texts, by two contexts: 0.44
+    assert got[3].spans.startswith("term:0:5,")  # far from the address, only with it
+    assert got[4].n_terms == 0  # copies are one context
+    assert {r.term: r.removed for r in pii.disclosing(df).collect()}["glimt"] is False
+    more = spark.createDataFrame([Row(doc_id=i, text=f"Vexlor {far} wrote{i} x 10.1.2.3 and then {far}") for i in range(12)] + [Row(doc_id=20 + i, text="usual words") for i in range(40)] + [Row(doc_id=90, text="Vexlor was here")])
+    assert {r.doc_id: r.spans for r in pii.report(more).collect()}[90] == "term:0:6"
+    common = spark.createDataFrame([Row(doc_id=i, text=f"Footer word{i} mail help@corp.example.com now") for i in range(30)])
+    assert "footer" not in {r.term for r in pii.disclosing(common).collect()}  # in every text: tells nothing
