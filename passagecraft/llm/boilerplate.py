@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -25,6 +26,9 @@ _SKIP = frozenset("head title nav footer aside form button select option textare
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements whose end may be left out, and what ends a paragraph without saying so; lists keep their items to themselves.
+_OPTIONAL = frozenset("p li dt dd".split())
+_ENDS_P = _BLOCK - frozenset("br caption legend option".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NOT_TEXT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disqus|footer|footnav|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pager|pagination|popup|promo|promoted|promotion|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget|widgets)(?:$|[\s_-])",
@@ -39,6 +43,8 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
+_A = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
@@ -55,12 +61,68 @@ def _marked(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+class _Open:
+    """Blocks that are open, as ends that are left out close them, too."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.boxes = 0  # those that an item does not reach out of
+
+    def end(self, name: str) -> bool:
+        """Closes the last block of the name and all in it; False if there is none."""
+        if not self.count[name]:
+            return False
+        while self._pop() != name:
+            pass
+        return True
+
+    def _pop(self) -> str:
+        name = self.names.pop()
+        self.count[name] -= 1
+        self.boxes -= _boxed(name)
+        return name
+
+    def make_way(self, name: str) -> None:
+        """Closes the paragraph or item that a block of the name ends as it starts."""
+        if name in _ENDS_P and self.names and self.names[-1] == "p":
+            self._pop()
+        if name in _OPTIONAL and name != "p":
+            same = ("li",) if name == "li" else ("dt", "dd")
+            for k in range(len(self.names) - 1, -1, -1):
+                if self.names[k] in same:
+                    self.end(self.names[k])
+                if k >= len(self.names) or _boxed(self.names[k]):
+                    break
+
+    def start(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+        self.boxes += _boxed(name)
+
+
+def _boxed(name: str) -> bool:
+    return name not in ("div", "address") and name not in _OPTIONAL
+
+
+def _left(skip: str, name: str, end: bool, inside: _Open) -> bool:
+    """Whether a tag closes an element to skip whose own end is left out; inside: the blocks open in that element."""
+    if name not in _BLOCK or name == "br" or name == skip and end:
+        return False
+    if end:
+        return name not in _OPTIONAL and not inside.count[name]
+    if skip == "p":
+        return name in _ENDS_P
+    return not inside.boxes and (name == skip or name in ("dt", "dd") and skip in ("dt", "dd"))
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters outside of links, in an article) for each block in page order; what is no text is an empty line."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     plain = article = links = 0
     skip, depth = "", 0
+    blocks, inside = _Open(), _Open()
 
     def flush() -> None:
         nonlocal plain
@@ -83,10 +145,20 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         end = bool(m["end"])
+        opens = not end and name not in _VOID and not m["attrs"].endswith("/>")
         if skip:
-            if name == skip and not m["attrs"].endswith("/>"):
+            left = False
+            if skip in _OPTIONAL:
+                left = _left(skip, name, end, inside)
+                depth = 0 if end and name == skip and not inside.boxes else 1
+                if end:
+                    inside.end(name)
+                elif opens and name in _BLOCK:
+                    inside.make_way(name)
+                    inside.start(name)
+            elif name == skip and not m["attrs"].endswith("/>"):
                 depth += -1 if end else 1
-            ends = not depth or end and (name in ("body", "html") or name in ("article", "main") and article > 0 and skip not in ("article", "main"))
+            ends = left or not depth or end and (name in ("body", "html") or name in ("article", "main") and article > 0 and skip not in ("article", "main"))
             if ends or not end and skip in ("head", "title") and name == "body":
                 skip = ""
                 lines.append(("", 0, article > 0))
@@ -96,19 +168,31 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 continue
         if name in _BLOCK:
             flush()
+            if end:
+                blocks.end(name)
+            else:
+                blocks.make_way(name)
+            # a link ends with the block that it stands in, if nothing else ends it
+            if len(blocks.names) < links:
+                links = 0
         if end:
             if name == "a":
-                links = max(0, links - 1)
+                links = 0
             elif name in ("article", "main"):
                 article = max(0, article - 1)
-        elif name not in _VOID and not m["attrs"].endswith("/>"):
+        elif opens:
             if _marked(name, m["attrs"], article > 0):
                 flush()
-                skip, depth = name, 1
-            elif name == "a":
-                links = 1
+                skip, depth, inside = name, 1, _Open()
+                continue
+            if name == "a" and _HREF.search(m["attrs"]):
+                # one that is never closed ends with the first block that starts or ends
+                closes = _A.search(page, at)
+                links = (len(blocks.names) or -1) if closes and closes[1] else len(page)
             elif name in ("article", "main"):
                 article += 1
+            if name in _BLOCK:
+                blocks.start(name)
     if not skip and at < len(page):
         piece = page[at:]
         parts.append(entities.unescape(piece))
@@ -139,7 +223,8 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     # a page with little text has its surge lower
     least = 1 if marked else min(surge, max([1, *(sum(lengths[i : i + window]) // 2 for i in range(len(lengths)))]))
     keep = between(lengths, least, window)
-    return " ".join(t for (t, _, _), k, n in zip(lines, keep, lengths, strict=True) if k and t and n)
+    # between surge and dive, lines of links only are text as well
+    return " ".join(t for (t, _, a), k in zip(lines, keep, strict=True) if k and t and (a or not marked))
 
 
 @F.arrow_udf(T.StringType())

@@ -35,3 +35,25 @@ def test_column(spark):
     got = [r.t for r in df.select(boilerplate.extract("html").alias("t")).collect()]
     assert got == ["", " ".join(["w"] * 50_000), "a"]
     assert df.limit(0).select(boilerplate.extract("html")).count() == 0
+
+
+OPEN = {
+    f'<a name="top"><p>{LONG}</p><p>{LONG}</p>': f"{LONG.strip()} {LONG.strip()}",
+    f"<p>See <a href=x>this</p><p>{LONG}</p><p>{LONG}</p>": f"See this {LONG.strip()} {LONG.strip()}",
+    f"<body><a href=x>Menu<p>{LONG}</p><p>{LONG}</p>": f"{LONG.strip()} {LONG.strip()}",
+    f"<div><p class=ad>buy<p>{LONG}<p>{LONG}</div>": f"{LONG.strip()} {LONG.strip()}",
+    f"<div><p class=ad>buy</div><p>{LONG}</p>": LONG.strip(),
+    f"<ul><li class=share>tell<ul><li>a<li>b</ul><li>{LONG}<li>{LONG}</ul><p>{LONG}": " ".join([LONG.strip()] * 3),
+    f"<ul><li>{LONG}<li class=share>tell</ul><p>{LONG}": f"{LONG.strip()} {LONG.strip()}",
+    f"<p>{LONG}</p><p><a href=x>The source</a></p><p>{LONG}</p><p><a href=y>Next page</a></p>": f"{LONG.strip()} The source {LONG.strip()}",
+    f"<p>{LONG}</p><a href=x><div>one</div><div>two</div></a>": LONG.strip(),
+}
+
+
+@pytest.mark.parametrize("page", OPEN)
+def test_ends_left_out(page):
+    assert boilerplate.main_text(page) == OPEN[page]
+
+
+def test_many_open_blocks():
+    boilerplate.main_text("<div>" * 20_000 + "<li class=ad><ul>" + "<div><li>" * 20_000 + "</p></section>" * 20_000)
