@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cells, materialize, small_batches
-from .tokenizer import encode_all
+from .common import cells, materialize
+from .tokenizer import definition_of, encode_all
 
 WINDOW = 1024
 END = 0
@@ -210,9 +210,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     than a window whatever the document. The driver gets one sum for each length. Equal lengths are dealt over buckets.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    with open(path, encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())
+    definition = spark.sparkContext.broadcast(definition_of(path))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long, doc_tokens long, crcs array<long>, rest int, rest_crc long, rest_ids binary, id_bytes int"
     made = materialize(some.mapInArrow(_tokenize(definition, path, window), kind), "packed-ids")

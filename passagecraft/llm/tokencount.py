@@ -17,22 +17,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .tokenizer import PLAIN_TEXT, loaded
+from .tokenizer import BYTE_WORDS, LOWER_WORDS, PLAIN_TEXT, WHOLE_TEXTS, definition_of, ids_of, kind_of, loaded
 
 LIMIT = 2048
 #: A block: documents and characters at most, and characters that are split in one go.
 BLOCK_DOCS, BLOCK_CHARS, _PART_CHARS = 4096, 16 << 20, 4 << 20
 
+#: Input partitions whose blocks share the tasks of a pre-token: more documents get more tasks, however frequent it is.
+TOGETHER = 128
+
 # Text of these characters alone is split here as the library splits it: they have no other composed form, each has one
 # lower case letter, and what is letter, digit, white space or neither is plain. Other text is split by the library.
 _LETTERS = "a-zß-öø-ÿĀ-įı-ňŊ-ž"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
+#: Where a text can be cut, by kind: no pre-token reaches over such a place.
+_CUT = {LOWER_WORDS: re.compile(r"(?<=\s)(?=\S)"), BYTE_WORDS: re.compile(r"(?<=[^\s])(?= [^\s])")}
+
+
+def parts_of(text: str, kind: str, size: int = _PART_CHARS) -> Iterator[str]:
+    """The text in parts of about ``size``, if its kind of tokenizer allows cuts."""
+    at = 0
+    while kind != WHOLE_TEXTS and len(text) - at > size and (m := _CUT[kind].search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    if at < len(text):
+        yield text[at:] if at else text
 
 
-def pre_tokens(text: str, tok, specials: re.Pattern | None) -> list[str]:
-    """What the tokenizer counts one by one, in order; a special string stands for itself."""
-    if PLAIN_TEXT.fullmatch(text) and not (specials and "<" in text and specials.search(text)):
+def pre_tokens(text: str, tok, specials: re.Pattern | None, kind: str = LOWER_WORDS) -> list[str]:
+    """What the tokenizer counts one by one, in order; a special string stands for itself, and a text that can't be cut for itself."""
+    if kind == WHOLE_TEXTS:
+        return [text] if text else []
+    if kind == LOWER_WORDS and PLAIN_TEXT.fullmatch(text) and not (specials and "<" in text and specials.search(text)):
         return _PIECE.findall(text.lower())
     out = []
     for i, part in enumerate(specials.split(text) if specials else [text]):
@@ -40,11 +56,13 @@ def pre_tokens(text: str, tok, specials: re.Pattern | None) -> list[str]:
             out.append(part)
         elif part:
             normal = tok.normalizer.normalize_str(part) if tok.normalizer else part
-            out += [normal[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(normal)] if tok.pre_tokenizer else [normal]
+            out += [normal[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(normal)]
     return out
 
 
 def _specials(tok) -> re.Pattern | None:
+    if not hasattr(tok, "get_added_tokens_decoder"):
+        return None
     names = sorted((t.content for t in tok.get_added_tokens_decoder().values()), key=len, reverse=True)
     return re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
 
@@ -80,7 +98,7 @@ def _blocks(definition, key: str, buckets: int):
         from pyspark import TaskContext
 
         tok = loaded(key, definition.value)
-        specials = _specials(tok)
+        specials, kind = _specials(tok), kind_of(definition.value)
         task, nth = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         sizes: list[int] = []
@@ -114,7 +132,7 @@ def _blocks(definition, key: str, buckets: int):
                 for b in np.nonzero(np.diff(first))[0]:
                     n, e = slice(first[b], first[b + 1]), slice(entry[b], entry[b + 1])
                     data.append(_pack(names.slice(n.start, n.stop - n.start), lengths[n], both[e] % BLOCK_DOCS, times[e]))
-                    where.append(int(b))
+                    where.append(int(b + task // TOGETHER) % buckets)
             m = len(data)
             lists = pa.list_(pa.int64())
             out = pa.RecordBatch.from_arrays(
@@ -132,15 +150,17 @@ def _blocks(definition, key: str, buckets: int):
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 t = text.as_py() or ""
-                own = pre_tokens(t, tok, specials)
                 ids.append(doc_id.as_py())
                 sizes.append(len(t.encode()))
-                counts.append(len(own))
-                pieces += own
-                chars, whole_chars = chars + len(t), whole_chars + len(t)
-                if chars >= _PART_CHARS:
-                    split_up()
-                    chars = 0
+                counts.append(0)
+                for part in parts_of(t, kind):
+                    own = pre_tokens(part, tok, specials, kind)
+                    counts[-1] += len(own)
+                    pieces += own
+                    chars, whole_chars = chars + len(part), whole_chars + len(part)
+                    if chars >= _PART_CHARS:
+                        split_up()
+                        chars = 0
                 if whole_chars >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
                     yield close()
                     chars = whole_chars = 0
@@ -169,7 +189,7 @@ def _count(definition, key: str):
                 new = [w for w in names if w not in known]
                 for at in range(0, len(new), 4096):
                     part = new[at : at + 4096]
-                    known.update(zip(part, (len(e.ids) for e in tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+                    known.update(zip(part, map(len, ids_of(tok, part)), strict=True))
                 n = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
                 sums = np.zeros(int(docs.max()) + 1, np.int64)
                 np.add.at(sums, docs, np.repeat(n, lengths) * times.astype(np.int64))
@@ -208,15 +228,16 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_bytes, n_tokens, over_limit, by the tokenizer in the file ``path``.
 
+    The file is one of the library tokenizers (.json) or of sentencepiece (.model). Pre-tokens are those of the file if its
+    normalizer, pre-tokenizer and added tokens are of a known kind; for any other file a text is one pre-token.
     Null text counts as empty, with no bytes and no tokens. Each row counts by itself, repeated or null doc_ids too; an
-    empty table gives no rows, and other columns are ignored. The file's text is sent to the executors. A task of the
+    empty table gives no rows, and other columns are ignored. The file's content is sent to the executors. A task of the
     second stage holds its partition's distinct pre-tokens, so their number per task goes down with
-    spark.sql.shuffle.partitions.
+    spark.sql.shuffle.partitions. Lists of a pre-token meet in one task for each TOGETHER input partitions; there it is
+    counted once, so that no pre-token's lists outgrow a task, be it in every document.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    with open(path, encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())
+    definition = spark.sparkContext.broadcast(definition_of(path))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lists = some.mapInArrow(_blocks(definition, path, buckets), f"bucket int, {_KIND}").repartitionById(buckets, F.col("bucket"))

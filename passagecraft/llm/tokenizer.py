@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 REMEMBERED = 150_000
 _CHARS = 4 << 20
 
-# The word pattern of byte-level tokenizers, and their bytes that stand for themselves.
+# What kinds of tokenizers are known by; the word pattern of byte-level tokenizers, and their bytes that stand for themselves.
+_LOWER_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_LOWER_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Text whose letters, digits and white space all libraries see alike.
@@ -29,22 +31,68 @@ def worker_store() -> dict:
     return sys.modules.setdefault("_passagecraft_worker", types.ModuleType("_passagecraft_worker")).__dict__.setdefault("store", {})
 
 
-def loaded(key: str, definition: str):
-    """The tokenizer of a definition (the text of its file)."""
+def definition_of(path: str) -> str | bytes:
+    """What a tokenizer's file holds: text for the library tokenizers, bytes for sentencepiece (.model)."""
+    if path.endswith(".model"):
+        with open(path, "rb") as f:
+            return f.read()
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+#: Kinds of tokenizers: words in lower case, white space dropped; bytes by words with the space before; any other one.
+LOWER_WORDS, BYTE_WORDS, WHOLE_TEXTS = "lower words", "byte words", "whole texts"
+
+
+def kind_of(definition: str | bytes) -> str:
+    """Whether a tokenizer's texts can be cut, and how: only where all of its settings are known to allow it."""
+    if isinstance(definition, bytes):
+        return WHOLE_TEXTS
+    d = json.loads(definition)
+    model, pre, normal = d["model"], d.get("pre_tokenizer") or {}, d.get("normalizer")
+    plain = model.get("type") == "BPE" and not model.get("dropout")
+    for t in d.get("added_tokens", []):
+        plain = plain and t["special"] and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) and not re.search(r"\s", t["content"])
+    if not plain:
+        return WHOLE_TEXTS
+    bytes_only = lambda p, words: p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and p.get("use_regex", True) is words
+    if normal is None and bytes_only(pre, True):
+        return BYTE_WORDS
+    steps = pre.get("pretokenizers", [])
+    split = {"type": "Split", "pattern": {"Regex": _LOWER_PATTERN}, "behavior": "Removed", "invert": True}
+    if normal == _LOWER_NORMALIZER and len(steps) == 2 and steps[0] == split and bytes_only(steps[1], False):
+        return LOWER_WORDS
+    return WHOLE_TEXTS
+
+
+def loaded(key: str, definition: str | bytes):
+    """The tokenizer of a definition."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
     store = worker_store()
     if key not in store:
-        tok = Tokenizer.from_str(definition)
-        tok.no_truncation()
-        tok.no_padding()
-        store[key] = tok
+        if isinstance(definition, bytes):
+            import sentencepiece
+
+            store[key] = sentencepiece.SentencePieceProcessor(model_proto=definition)
+        else:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_str(definition)
+            tok.no_truncation()
+            tok.no_padding()
+            store[key] = tok
     return store[key]
 
 
+def ids_of(tok, texts: list[str]) -> list[list[int]]:
+    """The ids of each text, by either library, without added special tokens."""
+    if hasattr(tok, "encode_batch_fast"):
+        return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    return tok.encode(texts, num_threads=1)
+
+
 # A byte-level tokenizer with the usual word pattern never joins text across these places: a lone space is the head of
 # what follows it, and a lone line end stands alone. Each needs visible characters on its two sides.
 _SEAM = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
@@ -63,14 +111,15 @@ def seams(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.array([p for x in lists for p in x], pa.string()), np.array([len(x) for x in lists], np.int64)
 
 
-def _merges_by_rank(definition: str):
+def _merges_by_rank(definition: str | bytes):
     """A faster encoder of the same ids for plain text, if the tokenizer is byte-level with ids in the order of its merges."""
     import tiktoken
 
+    if kind_of(definition) != BYTE_WORDS:
+        return None
     d = json.loads(definition)
-    model, pre = d["model"], d.get("pre_tokenizer") or {}
-    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not d.get("normalizer")
-    if not plain or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+    model = d["model"]
+    if any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
         return None
     merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
     if any(model["vocab"].get(m) != 256 + i for i, m in enumerate(merges)):
@@ -81,7 +130,7 @@ def _merges_by_rank(definition: str):
     return tiktoken.Encoding("by-rank", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def _encoder(key: str, definition: str):
+def _encoder(key: str, definition: str | bytes):
     """A function from pieces to their ids: the library's, and for plain pieces its equal if there is one."""
     store = worker_store()
     if f"encoder {key}" not in store:
@@ -89,28 +138,31 @@ def _encoder(key: str, definition: str):
 
         def encode(pieces: list[str]) -> list[list[int]]:
             slow = [p for p in pieces if fast is None or "<" in p or not PLAIN_TEXT.fullmatch(p)]
-            found = dict(zip(slow, (e.ids for e in tok.encode_batch_fast(slow, add_special_tokens=False)), strict=True))
+            found = dict(zip(slow, ids_of(tok, slow), strict=True)) if slow else {}
             return [found[p] if p in found else fast(p) for p in pieces]
 
         store[f"encoder {key}"] = encode
     return store[f"encoder {key}"]
 
 
-def encode_all(texts: pa.Array, key: str, definition: str) -> Iterator[np.ndarray]:
+def encode_all(texts: pa.Array, key: str, definition: str | bytes) -> Iterator[np.ndarray]:
     """The ids of each text (null: empty) as the library gives them without added special tokens.
 
-    Texts go in groups. The distinct pieces of a group are looked up among those that were encoded lately, or encoded;
-    a group's ids are then laid out by piece numbers, so that no step goes over all pieces one by one.
+    Texts go in groups, cut into pieces if the tokenizer is known to allow it. The distinct pieces of a group are looked
+    up among those that were encoded lately, or encoded; a group's ids are then laid out by piece numbers, so that no
+    step goes over all pieces one by one.
     """
-    encode = _encoder(key, definition)
-    kind, code = (np.uint16, "H") if loaded(key, definition).get_vocab_size() <= 1 << 16 else (np.uint32, "I")
+    encode, tok = _encoder(key, definition), loaded(key, definition)
+    kind, code = (np.uint16, "H") if (tok.get_vocab_size() if hasattr(tok, "get_vocab_size") else tok.vocab_size()) <= 1 << 16 else (np.uint32, "I")
+    cut = kind_of(definition) == BYTE_WORDS
     texts = pc.fill_null(texts.cast(pa.string()), "")
     young, old = worker_store().setdefault(f"ids {key}", ({}, {}))
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else []
     at = 0
     while at < len(texts):
         upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _CHARS, "right")))
-        pieces, lengths = seams(texts.slice(at, upto - at))
+        group = texts.slice(at, upto - at)
+        pieces, lengths = seams(group) if cut else (group, np.ones(len(group), np.int64))
         numbers = pieces.dictionary_encode()
         distinct = numbers.dictionary.to_pylist()
         if len(young) + len(distinct) > REMEMBERED:  # what is used again moves on to the next generation

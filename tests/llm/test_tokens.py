@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -5,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
@@ -27,16 +29,67 @@ def docs_of(spark, texts):
     return spark.createDataFrame([Row(doc_id=i if i % 7 else None, text=t, piece="clash", n=3) for i, t in enumerate(texts)], "doc_id long, text string, piece string, n int")
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
-def test_encode_all(name):
-    path = public_tokenizers.path(name)
-    tok, texts = Tokenizer.from_file(path), [t or "" for t in odd_texts()]
-    definition = open(path).read()
+def variants(tmp_path):
+    """Files of public tokenizers, and of some with other settings, which allow no cuts."""
+    out = {n: (public_tokenizers.path(n), k) for n, k in (("byte_bpe_50k.json", tokenizer.BYTE_WORDS), ("word_bpe_49k.json", tokenizer.LOWER_WORDS), ("piece_bpe_32k.model", tokenizer.WHOLE_TEXTS))}
+    for name, change in {
+        "prefix": lambda d: d["pre_tokenizer"].update(add_prefix_space=True),
+        "lower": lambda d: d.update(normalizer={"type": "Lowercase"}),
+        "strips": lambda d: d["added_tokens"][0].update(lstrip=True),
+        "split": lambda d: d.update(pre_tokenizer={"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}]}),
+    }.items():
+        d = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+        change(d)
+        out[name] = (str(tmp_path / f"{name}.json"), tokenizer.WHOLE_TEXTS)
+        with open(out[name][0], "w", encoding="utf-8") as f:
+            json.dump(d, f)
+    return out
+
+
+NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model", "prefix", "lower", "strips", "split")
+
+
+def library(path):
+    """The ids of one text, by the library alone."""
+    if path.endswith(".model"):
+        return sentencepiece.SentencePieceProcessor(model_file=path).encode
+    tok = Tokenizer.from_file(path)
+    return lambda t: tok.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_counts_of_any_file(spark, tmp_path, name):
+    path, kind = variants(tmp_path)[name]
+    assert tokenizer.kind_of(tokenizer.definition_of(path)) == kind
+    ids, texts = library(path), [t for t in odd_texts() if t is None or len(t) < 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, path).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == len(ids(t or "")), t
+
+
+def test_long_texts_are_cut_where_nothing_is_lost():
+    rnd = random.Random(7)
+    for kind in (tokenizer.LOWER_WORDS, tokenizer.BYTE_WORDS):
+        path = public_tokenizers.path("word_bpe_49k.json" if kind == tokenizer.LOWER_WORDS else "byte_bpe_50k.json")
+        ids = library(path)
+        for _ in range(60):
+            t = "".join(rnd.choice(odd_texts()[:20] + [" ", "\n", "e\u0301", "x y z "]) or "" for _ in range(8))
+            parts = list(tokencount.parts_of(t, kind, 5))
+            assert "".join(parts) == t and sum(len(ids(p)) for p in parts) == len(ids(t)), t
+    assert list(tokencount.parts_of("", tokenizer.LOWER_WORDS)) == [] and list(tokencount.parts_of("a b c", tokenizer.WHOLE_TEXTS, 1)) == ["a b c"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_encode_all(name, tmp_path):
+    path = variants(tmp_path)[name][0]
+    ids_by_library, texts = library(path), [t or "" for t in odd_texts()]
+    definition = tokenizer.definition_of(path)
     got = list(tokenizer.encode_all(pa.array(texts), path, definition))
     assert list(tokenizer.encode_all(pa.array([], pa.string()), path, definition)) == []
-    assert [len(x) for x in tokenizer.encode_all(pa.array([None, "a b"]), path, definition)] == [0, 2]
+    assert [len(x) for x in tokenizer.encode_all(pa.array([None, "a b"]), path, definition)] == [0, len(ids_by_library("a b"))]
     for t, ids in zip(texts, got, strict=True):
-        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+        assert ids.tolist() == ids_by_library(t), t
 
 
 def test_count_tokens_against_the_library(spark):
