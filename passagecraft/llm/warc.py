@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, materialize, small_batches
+from .common import Tables, delete
 
 #: Compressed bytes after which a file is closed, payload bytes of a shard, ranges that are summed up in one look.
 ROLL_BYTES = 64 << 20
@@ -28,6 +28,8 @@ SHARD_BYTES = 256 << 20
 RANGES = 4096
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A header for URLs that can't stand in one as they are: null, empty, or with white space that would not come back.
+_EXACT = "X-Exact-URI"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -43,22 +45,41 @@ def _urn(page_id: int | None) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: str | None, date: str = DATE) -> bytes:
     """One record, response or (with refers_to, a record's id) revisit, as a gzip member; equal input, equal bytes."""
     block = _HTTP % len(payload) + (b"" if refers_to else payload)
+    said = " ".join((url or "urn:none").split())
+    exact = [] if said == url else [f"{_EXACT}: {'-' if url is None else base64.b64encode(url.encode()).decode()}"]
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to else 'response'}",
         f"WARC-Record-ID: {_urn(page_id)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {' '.join((url or 'urn:none').split())}",
+        f"WARC-Target-URI: {said}",
+        *exact,
         f"WARC-Payload-Digest: sha1:{payload_digest}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
         *([f"WARC-Refers-To: {refers_to}", f"WARC-Profile: {_PROFILE}"] if refers_to else []),
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
+    return _member(head, block)
+
+
+def _member(head: list[str], block: bytes) -> bytes:
     z = zlib.compressobj(6, zlib.DEFLATED, 31)  # no time and no name in a gzip header made so
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
+def file_name(shard: int, part: int) -> str:
+    return f"part-{shard:06d}-{part:05d}.warc.gz"
+
+
+def info(shard: int, part: int, date: str = DATE) -> bytes:
+    """The record that every file begins with."""
+    block = b"software: passagecraft\r\nformat: WARC File Format 1.1\r\n"
+    name = file_name(shard, part)
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:file:{name}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return _member(head, block)
+
+
 def _open(path: str):
     """The file system of a path, and the path in it."""
     from pyarrow import fs
@@ -107,6 +128,10 @@ def _write_rows(tmp: str, roll: int, date: str):
                 if out is None:
                     name, size, n, sha = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0, hashlib.sha256()
                     out = store.open_output_stream(name, compression=None)
+                    first = info(shard, part, date)
+                    out.write(first)
+                    size += len(first)
+                    sha.update(first)
                 out.write(data)
                 size, n = size + len(data), n + 1
                 sha.update(data)
@@ -161,16 +186,16 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
 
     Of pages with equal payload, that with the largest page_id is a response and all others revisit it; null html is an
     empty payload, also shared. Null page_ids sort first and are never referred to unless no page of the payload has an
-    id; rows that repeat a page_id with its payload revisit that page. No pages: no files and an empty manifest. Other
-    columns are ignored.
+    id; rows that repeat a page_id with its payload revisit that page. URLs come back as they are, null ones too. No pages:
+    no files and an empty manifest. Other columns are ignored. Pages have no date of their own: ``date`` stands for it.
 
     Payload bytes are shuffled once, to their shard; the references to copies travel along as small rows, which sort
     before the page that they are for.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    facts = materialize(pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("n_bytes")), "warc-facts")
+    tables = Tables()
+    facts = tables.keep(pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("n_bytes")), "warc-facts")
     copies = facts.groupBy("sha").agg(F.max("page_id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     referring = facts.select("page_id", "sha").distinct().join(copies, "sha").where(~F.col("page_id").eqNullSafe(F.col("of")) & F.col("of").isNotNull())
     hexed = F.unhex("sha")
@@ -190,10 +215,11 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids, b.column("url"), b.column("html"), digests, b.column("of")], ["shard", "page_id", "url", "html", "digest", "of"])
 
     shards = rows.mapInArrow(numbered, "shard long, page_id long, url string, html string, digest string, of long")
-    shards = shards.repartitionByRange(len(bounds) + 1, "shard") if bounds else shards.repartition(1)
+    shards = shards.repartitionById(len(bounds) + 1, F.col("shard").cast("int"))  # a shard is a task, by its number
     tmp = f"{path}/_temporary/{uuid.uuid4().hex}"
     ordered = shards.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("of").asc_nulls_last(), "digest", F.md5("html"), "url")
     files = ordered.mapInArrow(_write_rows(tmp, roll_bytes, date), "shard long, part long, name string, bytes long, records long, sha256 string").collect()
+    tables.release()
     return _commit(spark, path, [f.asDict() for f in files])
 
 
@@ -204,7 +230,7 @@ def _commit(spark: SparkSession, path: str, files: list[dict]) -> Archive:
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
     store.mkdirs(root)
     for f in sorted(files, key=lambda f: (f["shard"], f["part"])):
-        final = f"part-{f['shard']:06d}-{f['part']:05d}.warc.gz"
+        final = file_name(f["shard"], f["part"])
         if not store.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/_temporary/{f['name'].split('/_temporary/')[1]}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{final}")):
             raise OSError(f"{final} can't be put in place")
         f["name"] = final
@@ -247,6 +273,11 @@ def _id_of(urn: str | None) -> int | None:
     return None if value == "none" else int(value)
 
 
+def _url_of(headers: dict[str, str]) -> str | None:
+    exact = headers.get(_EXACT)
+    return headers["WARC-Target-URI"] if exact is None else None if exact == "-" else base64.b64decode(exact).decode()
+
+
 def _read_files(path: str, with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows):
@@ -260,13 +291,15 @@ def _read_files(path: str, with_payload: bool):
                 rows, held = [], 0
                 with store.open_input_stream(file, compression=None) as stream:
                     for headers, block in records_of(stream):
+                        if headers["WARC-Type"] == "warcinfo":
+                            continue
                         http, _, payload = block.partition(b"\r\n\r\n")
                         kind = headers["WARC-Type"]
                         size = int(next(h for h in http.split(b"\r\n") if h.startswith(b"Content-Length: "))[16:])
                         said = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         if kind == "response" and (digest(payload) != said or len(payload) != size):
                             raise ValueError(f"a payload is broken: {headers['WARC-Record-ID']}")
-                        rows.append((_id_of(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], size, said, kind, _id_of(headers.get("WARC-Refers-To")), payload if with_payload and kind == "response" else None))
+                        rows.append((_id_of(headers["WARC-Record-ID"]), _url_of(headers), size, said, kind, _id_of(headers.get("WARC-Refers-To")), payload if with_payload and kind == "response" else None))
                         held += len(payload) if with_payload else 100
                         if len(rows) >= 1000 or held > 8 << 20:
                             yield batch(rows)

@@ -11,7 +11,7 @@ from passagecraft.llm.common import scratch
 def pages():
     rows = [Row(page_id=i, url=f"http://x/{i}", html=f"<p>page {i % 17} é</p>" * (1 + i % 5), digest="clash", shard=1) for i in range(200)]
     rows += [Row(page_id=1000, url=None, html=None, digest="", shard=0), Row(page_id=1001, url="u", html="", digest="", shard=0), Row(page_id=-5, url="u", html="z" * 400_000, digest="", shard=0)]
-    rows += [Row(page_id=None, url="u", html="<p>nobody</p>", digest="", shard=0), Row(page_id=1 << 62, url="far\r\naway", html="far", digest="", shard=0), Row(page_id=7, url="again", html="<p>page 7 é</p>" * 3, digest="", shard=0)]
+    rows += [Row(page_id=None, url="u", html="<p>nobody</p>", digest="", shard=0), Row(page_id=1 << 62, url="far\r\naway ", html="far", digest="", shard=0), Row(page_id=7, url="again", html="<p>page 7 é</p>" * 3, digest="", shard=0)]
     return rows
 
 
@@ -21,7 +21,11 @@ def test_round_trip(spark):
     archive = warc.write_archive(df, scratch(spark, "warc"), roll_bytes=1500, shard_bytes=6000)
     assert len(archive.files) > 3 and sum(f["records"] for f in archive.files) == len(rows)
     got = warc.read_archive(spark, archive).collect()
-    assert len(got) == len(rows)
+    assert sorted((str(r.page_id), str(r.url)) for r in got) == sorted((str(r.page_id), str(r.url)) for r in rows)
+    for f in archive.files:
+        with gzip.open(f"{archive.path.removeprefix('file://')}/{f['name']}") as stream:
+            data = stream.read()
+        assert data.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and data.count(b"WARC-Type: warcinfo") == 1
     payloads = {}
     for r in rows:
         payloads.setdefault((r.html or "").encode(), []).append(r.page_id)
@@ -54,3 +58,10 @@ def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     archive = warc.write_archive(df, scratch(spark, "warc"))
     assert archive.files == [] and warc.read_archive(spark, archive).count() == 0
+
+
+def test_a_shard_is_a_task(spark):
+    df = spark.createDataFrame([(i, f"u{i}", f"{i} " * 2000) for i in range(60)], "page_id long, url string, html string")
+    archive = warc.write_archive(df, scratch(spark, "warc"), shard_bytes=100_000)
+    assert {f["name"][:11] for f in archive.files} == {f"part-{i:06d}" for i in range(len(archive.files))} and len(archive.files) >= 4
+    assert max(f["records"] for f in archive.files) <= 2 * min(f["records"] for f in archive.files)
