@@ -18,14 +18,16 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all run in this process, a folder of its own."""
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        if not _OWN_DIR:
-            _OWN_DIR.append(f"file://{tempfile.mkdtemp(prefix='passagecraft-')}")
-            atexit.register(shutil.rmtree, _OWN_DIR[0].removeprefix("file://"), ignore_errors=True)
-        return _OWN_DIR[0]
-    return there.rstrip("/")
+    if there:
+        return there.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append(f"file://{tempfile.mkdtemp(prefix='passagecraft-')}")
+        atexit.register(shutil.rmtree, _OWN_DIR[0].removeprefix("file://"), ignore_errors=True)
+    return _OWN_DIR[0]
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -33,23 +35,88 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a path on any file system Hadoop knows."""
+    store, p = _store(spark, path)
+    store.delete(p, True)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a path that is there when the driver ends."""
+    store, p = _store(spark, path)
+    store.deleteOnExit(p)
+
+
+class Tables:
+    """The tables that one call writes to the shared folder: they cut lineage and survive lost executors.
+
+    ``release`` removes them as soon as no result that is still to be computed reads them; what is never released goes
+    when the driver ends.
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """df, written and read back."""
+        spark, path = df.sparkSession, scratch(df.sparkSession, what)
+        df.write.option("compression", "zstd").parquet(path)
+        delete_at_end(spark, path)
+        self.paths.append((spark, path))
+        return spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        while self.paths:
+            delete(*self.paths.pop())
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df, written as a table to the shared folder and read back; the table is there until the driver ends."""
+    return Tables().keep(df, what)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python workers a thousand at a time: texts are long, and a batch has to fit several times beside the heap."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """A setting for an application on texts: rows go to Python workers ``rows`` at a time, as a batch has to fit several times beside the heap.
 
+    Operators leave the session as it is; the named queries and the pipeline call this first.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path on any file system Hadoop knows."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df has not, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bits of one bitmap of parted(), as Spark's bitmap functions have them; how many bits for each key; bitmaps at most (16 MB).
+_BITMAP, _BITS_A_KEY, _BITMAPS = 1 << 15, 16, 1 << 12
+
+
+def parted(docs: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose key is surely none of keys(key), the other rows): what a join with keys can leave where it lies.
+
+    Keys fill bitmaps by their hash, 4 KB each and no more than _BITMAPS of them, which go to all rows. With far more
+    keys than bits the second part has nearly all rows, and a join of it still tells exactly. docs is read for each part.
+    """
+    bitmaps = max(1, min(_BITMAPS, 1 << (n_keys * _BITS_A_KEY // _BITMAP).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bitmaps * _BITMAP))
+    which, bits = unused(docs, "bitmap_number"), unused(docs, "bitmap_bits")
+    at = keys.select(place(F.col("key")).alias("at"))
+    filled = at.groupBy(F.floor(F.col("at") / _BITMAP).cast("long").alias(which)).agg(F.bitmap_construct_agg(F.col("at") % _BITMAP).alias(bits))
+    nth = (place(key) % _BITMAP).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(nth / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, nth % 8) == 1, F.lit(False))
+    joined = docs.join(F.broadcast(filled), F.floor(place(key) / _BITMAP).cast("long") == F.col(which), "left")
+    return joined.where(~there).select(*docs.columns), joined.where(there).select(*docs.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

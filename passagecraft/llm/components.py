@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Tables
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -19,10 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links the neighbours of a node to the smallest node around it, first those above the node, then those
     below; the edges end as stars around the smallest nodes after few rounds, whatever the shape. Minima are summed up
     before the shuffle and joined back by node, so that Spark can split a hub's edges. Each round is written to the
-    shared folder. Self-loops and null ends count for nothing.
+    shared folder, in place of the one before. Self-loops and null ends count for nothing.
     """
     some = edges.where(F.col("a") != F.col("b"))
-    now = materialize(some.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    kept = Tables()
+    now = kept.keep(some.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     before = _fingerprint(now)
     while before[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -30,7 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
-        now = materialize(small.where("hi != lo").distinct(), "edges")
+        new = Tables()
+        now = new.keep(small.where("hi != lo").distinct(), "edges")
+        kept.release()
+        kept = new
         after = _fingerprint(now)
         if after == before:
             break

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import Tables, materialize, parted, unused
 from .components import components
 
 MAX_BITS = 3
@@ -95,21 +95,23 @@ def linked(cells: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(out, kind)
 
 
-def near_links(fps: DataFrame, bits: int = MAX_BITS, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+def near_links(fps: DataFrame, bits: int = MAX_BITS, groups: int = GROUPS, block: int = BLOCK, tables: Tables | None = None) -> DataFrame:
     """Links (a, b) that join what fps(fp), each once, has within ``bits`` differing bits, directly or by way of others.
 
     No pair is lost and no cell is cut short: a cell of two is compared as it is counted; in a larger one, up to
     ``block`` fingerprints are compared at once, and of a cell with more every two of its parts meet in a task of
-    their own. Of each such meeting only links to the smallest members leave, never all pairs.
+    their own. Of each such meeting only links to the smallest members leave, never all pairs. The links read a table
+    of cells that belongs to ``tables``.
     """
     if bits != MAX_BITS:
         raise ValueError(f"the grid is laid out for {MAX_BITS} bits")
     code = counts_code(F.col("fp"))
     choices = F.array(*[F.struct(F.lit(k).cast("byte").alias("choice"), code.bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(grid_masks(groups, bits))])
-    # fingerprints are few bytes and become many cells: without this, few tasks would make them all
-    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # fingerprints are few bytes and become many cells: without this, few tasks would make them all; by another hash
+    # than that of fp itself, as Spark drops a repartition by what rows are dealt by already
+    spread = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp", F.lit("spread")))
     placed = spread.select("fp", F.inline(choices))
-    sizes = materialize(placed.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
+    sizes = (tables or Tables()).keep(placed.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
     two = sizes.where("n = 2").select("a", "b")
     bound = F.bit_count(counts_code(F.col("a")).bitwiseXOR(counts_code(F.col("b")))) <= bits
     two = two.where(bound).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
@@ -126,13 +128,20 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS, groups: int = GROUPS, block
     return two.unionByName(more)
 
 
-def classes(marked: DataFrame) -> DataFrame:
-    """Per fingerprint of marked(doc_id, fp): fp, root (the smallest fingerprint in reach), component_id."""
+def rooted(marked: DataFrame) -> DataFrame:
+    """Per fingerprint of marked(doc_id, fp): fp, least (its smallest doc_id), root (the smallest fingerprint in reach)."""
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(nodes.select("fp")))
-    of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    tables = Tables()
+    roots = components(near_links(nodes.select("fp"), tables=tables))
+    tables.release()
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def classes(marked: DataFrame) -> DataFrame:
+    """Per fingerprint of marked(doc_id, fp): fp, component_id (the smallest doc_id in reach)."""
+    of = rooted(marked)
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of.join(named, "root").select("fp", "root", "component_id")
+    return of.join(named, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -143,17 +152,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     no rows; other columns are ignored. Equal fingerprints are one node; documents meet their class by fingerprint,
     with one row of each on the other side, so a hot fingerprint's documents can be split over tasks.
     """
-    small_batches(docs.sparkSession)
     marked = materialize(docs.select("doc_id", fingerprint("text").alias("fp")), "fingerprints")
-    return marked.join(classes(marked).drop("root"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(classes(marked), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the smallest doc_id (null last; one of them, if rows repeat)."""
-    small_batches(docs.sparkSession)
-    marked = materialize(docs.withColumn("_simhash_fp", fingerprint("text")), "fingerprints")
-    ids = marked.select("doc_id", F.col("_simhash_fp").alias("fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
-    winners = ids.distinct().join(classes(ids).select("fp", "root"), "fp").groupBy("root").agg(first.alias("w")).select("w.doc_id", "w.fp")
-    same = marked["doc_id"].eqNullSafe(winners["doc_id"]) & (marked["_simhash_fp"] == winners["fp"])
-    return marked.join(winners, same, "left_semi").dropDuplicates(["_simhash_fp"]).select(*docs.columns)
+    """The rows of docs without near duplicates: of each component the row with the smallest doc_id.
+
+    Null doc_ids come last. Of several rows with that doc_id and fingerprint, the one with the smallest text stays, then
+    the one that is smallest as JSON. Null and empty texts are near duplicates of each other. An empty table stays empty;
+    columns of any name pass through.
+
+    All is decided on doc_ids and fingerprints alone. Rows that may go meet their verdict by doc_id, all others stay
+    where they lie; rows whose doc_id is there more than once have their fingerprint taken again to tell them apart.
+    """
+    tables = Tables()
+    marked = tables.keep(docs.select("doc_id", fingerprint("text").alias("fp")), "fingerprints")
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "fp"))
+    won = rooted(marked).groupBy("root").agg(best.alias("w")).select(F.col("w.doc_id").alias("won"), F.col("w.fp").alias("won_fp"))
+    per = marked.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    judged = per.join(won, (per["fp"] == won["won_fp"]) & per["doc_id"].eqNullSafe(won["won"]), "left").select("doc_id", "fp", "n", F.col("won_fp").isNotNull().alias("stays"))
+    judged = Tables().keep(judged, "judged")
+    tables.release()
+    ids = judged.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays"))
+    special = Tables().keep(ids.where(~(F.col("stays") & (F.col("n") == 1))).select(F.col("doc_id").alias("key"), (F.col("n") > 1).alias("again")), "judged-ids")
+    # rows whose doc_id is surely not among those stay where they lie; the others meet them
+    kept, rest = parted(docs, docs["doc_id"], special, special.count())
+    kept = kept.unionByName(rest.join(special, rest["doc_id"].eqNullSafe(special["key"]), "left_anti"))
+    again = special.where("again").select("key")
+    if again.isEmpty():
+        return kept
+    fp = unused(docs, "fp")
+    some = docs.join(again, docs["doc_id"].eqNullSafe(again["key"]), "left_semi").withColumn(fp, fingerprint("text"))
+    won = judged.where("stays").select(F.col("doc_id").alias("won"), F.col("fp").alias("won_fp"))
+    some = some.join(won, some["doc_id"].eqNullSafe(won["won"]) & (some[fp] == won["won_fp"]), "left_semi")
+    row = F.struct(*(some[c] for c in docs.columns))
+    one = some.groupBy(some["doc_id"], some[fp]).agg(F.min_by(row, F.struct(F.coalesce(some["text"], F.lit("")), F.to_json(row))).alias("row"))
+    return kept.unionByName(one.select("row.*"))
