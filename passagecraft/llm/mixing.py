@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
+_FIGURES = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def size_of(text: Column) -> Column:
@@ -64,27 +65,35 @@ def with_copies(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHT
 
     Rows with equal doc_id draw alike; a null doc_id draws by its text. Null text has size 0. An empty table gives no
     rows. Only doc_id, text and source are read; other columns pass through, save those four names, which are replaced.
-    ``size`` gives the words of a document where they are known already. The sources' table has one row for each source
-    and is joined by source, so Spark can split a hot source's documents.
+    ``size`` gives the words of a document where they are known already. The sources' table has one row for each source.
+    It is written first, so Spark knows its size before it joins: a small one goes to the documents where they lie.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    docs = docs.drop(*_FIGURES)
     size = size_of(F.col("text")) if size is None else size
-    rates = source_rates(docs.select("source", size.alias("size")), weights, max_repeats).select(
-        F.col("source").alias("_mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("_mix_rate")
-    )
-    whole = F.floor("_mix_rate")
-    extra = F.when(draw(F.col("doc_id"), F.col("text"), seed) < F.col("_mix_rate") - whole, 1).otherwise(0)
+    key, rate = unused(docs, "mix_key"), unused(docs, "mix_rate")
+    per = materialize(source_rates(docs.select("source", size.alias("size")), weights, max_repeats), "mix-rates")
+    rates = per.select(F.col("source").alias(key), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias(rate))
+    whole = F.floor(rate)
+    extra = F.when(draw(F.col("doc_id"), F.col("text"), seed) < F.col(rate) - whole, 1).otherwise(0)
     return (
-        docs.join(rates, docs["source"].eqNullSafe(rates["_mix_key"]), "left")
+        docs.join(rates, docs["source"].eqNullSafe(rates[key]), "left")
         .withColumns({"mix_size": size, "mix_copies": (whole + extra).cast("long")})
-        .drop("_mix_key", "_mix_rate")
+        .drop(key, rate)
     )
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix: every row of docs as often as with_copies() says, in the columns of docs."""
-    some = with_copies(docs, seed, weights, max_repeats).where(F.col("mix_copies") > 0)
-    return some.withColumn("_mix_nth", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    """The mix: every row of docs as often as with_copies() says, in the columns of docs, whatever their names.
+
+    A row without words has no share in its source's target and is drawn like any other. Repeated rows draw alike. An
+    empty table stays empty.
+    """
+    # a column of docs whose name is taken by the figures of the mix goes by another one meanwhile
+    own = {c: unused(docs, f"own_{c}") for c in docs.columns if c.lower() in _FIGURES}
+    some = with_copies(docs.withColumnsRenamed(own), seed, weights, max_repeats).where(F.col("mix_copies") > 0)
+    nth = unused(some, "mix_nth")
+    copies = some.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))))
+    return copies.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def allotment(docs: DataFrame, seed: int = 17) -> DataFrame:
