@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cells
+from .common import cells, delete_at_end, scratch
 
 #: Queries that are scored together; a bound for what is collected and broadcast at once, about twice this many vectors.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 1 << 14
 BINS = 64
-_SLICE = 1024
+#: Scores that are held at once: the more queries, the fewer vectors meet them at a time.
+_SCORES = 1 << 21
 _LONG = 1 << 63
 
 
@@ -40,9 +41,10 @@ class _Block:
         """Vector ids, scores (vectors x queries), and where a score counts."""
         big = np.vectorize(int, otypes=[object])
         right = self.queries.T if self.exact else big(self.queries.T)
+        some = max(1, _SCORES // max(1, len(self.ids)))
         for whole in batches:
-            for at in range(0, len(whole), _SLICE):
-                part = whole.slice(at, _SLICE)
+            for at in range(0, len(whole), some):
+                part = whole.slice(at, some)
                 ids, left = part.column(0).to_numpy(), _matrix(part.column(1), self.queries.shape[1])
                 scores = left @ right if self.exact else np.clip(big(left) @ right, -_LONG, _LONG - 1)
                 counts = np.ones(scores.shape, bool)
@@ -89,8 +91,8 @@ def _kth_scores(rows: DataFrame, block: _Block, limit: int, k: int) -> np.ndarra
         width = np.maximum(-(-span // BINS), 1)
         sums = rows.mapInArrow(_histogram(block, base, width, span), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         table = np.zeros((n, BINS), np.int64)
-        for q, b, count in sums.collect():  # at most QUERY_BLOCK x BINS numbers, about
-            table[q, b] = count
+        found = sums.toArrow()  # at most QUERY_BLOCK x BINS numbers, about
+        table[found["q"].to_numpy(), found["bin"].to_numpy()] = found["n"].to_numpy()
         from_top = table[:, ::-1].cumsum(1)
         there = from_top[:, -1] >= need
         nth = np.where(there, BINS - 1 - (from_top >= need[:, None]).argmax(1), 0)
@@ -113,7 +115,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, query_block: int = Q
     Queries go in blocks by a hash of their id. One block, of about ``query_block`` rows whatever the input, is what the
     driver holds and sends out; every block meets all rows in place, without a shuffle. Some rounds of histograms over
     all scores, BINS bins a query and round, narrow each query's kth score down to one value; sums alone are shuffled.
-    A last round scores again and lets out what reaches that value, of ties no more than k from a batch.
+    A last round scores again and lets out what reaches that value, of ties no more than k from a slice of a batch. With
+    more than one block, each writes what it found to one table in the shared folder.
     """
     spark = vectors.sparkSession
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -127,14 +130,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, query_block: int = Q
         return empty
     limit = int(size or 0) ** 2 * max(width, 1) + 1
     blocks = cells(n, query_block)
-    found = None
+    kind = "query_id long, vec_id long, score long"
+    found, path = None, scratch(spark, "top-k") if blocks > 1 else ""
     for b in range(blocks):
         own = asks.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
         if not len(own):
             continue
         block = _Block(own.column(0).to_numpy(), _matrix(own.column(1).combine_chunks(), max(width, 1)), limit < 1 << 53)
         kth = _kth_scores(rows, block, min(limit, _LONG), k)
-        part = rows.mapInArrow(_winners(block, kth, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+        found = rows.mapInArrow(_winners(block, kth, k), kind)
+        if path:
+            found.write.mode("append").parquet(path)
+    if path:
+        delete_at_end(spark, path)
+        found = spark.read.schema(kind).parquet(path)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,6 +40,18 @@ def test_few_and_none(spark):
     assert run(spark, [(0, [1.0])]) == {} and run(spark, [(1, [1.0])]) == {} and run(spark, []) == {}
 
 
-def test_large_components(spark):
+def test_scores_beyond_the_integers_that_floats_hold(spark):
+    rows = [(i, [1e6 * (i - 3) + i, 3.0 + i / 7]) for i in range(12)]
+    want = plain(rows, 3, 4)
+    assert 1 << 53 < max(abs(s) for _, s in want.values()) < 1 << 63
+    assert run(spark, rows, k=3, every=4) == want
+
+
+def test_scores_beyond_64_bits_are_held_at_the_ends(spark):
     rows = [(i, [1e9 * (i - 3), 3.0]) for i in range(8)]
-    assert run(spark, rows, k=3, every=4) == {k: v for k, v in plain(rows, 3, 4).items()} or max(abs(s) for _, s in plain(rows, 3, 4).values()) >= 1 << 63
+    held = {}
+    for q in (0, 4):
+        a = [math.floor(256 * c) for c in rows[q][1]]
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * math.floor(256 * c) for x, c in zip(a, v)))), i) for i, v in rows if i != q)[:3]
+        held |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(scores)}
+    assert run(spark, rows, k=3, every=4) == held
