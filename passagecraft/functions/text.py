@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(c: Column, made: Callable[[Column], Column]) -> Column:
+    """made(c), where c is computed once, however often it is used."""
+    return F.transform(F.array(c), lambda x: made(x))[0]
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")

@@ -35,7 +35,7 @@ def sections(text: Column) -> Column:
 
 
 def structured(text: Column, cfg: ChunkConfig) -> Column:
-    """The pieces of strategy heading or recursive."""
+    """The pieces of a strategy, with their sections; only they go on, not the text."""
     strategy, size, overlap = cfg.strategy, cfg.chunk_size, cfg.overlap
     return _per_text(lambda t: splitting.split(t, strategy, size, overlap))(text)
 
@@ -65,13 +65,11 @@ def as_of(entries: Column, at: Column, value: str, key: str = "start") -> Column
 
 def pieces_of(docs: DataFrame, cfg: ChunkConfig) -> DataFrame:
     """docs(…, text) with chunk_index, char_start, section and chunk text in place of text."""
-    if cfg.strategy == "fixed":
-        named = docs.withColumn("_sections", sections(F.col("text")))
-        cut = named.select(*named.columns, F.posexplode(windows(F.col("text"), cfg.chunk_size, cfg.overlap)).alias("chunk_index", "_p"))
-        section = F.coalesce(as_of(F.col("_sections"), F.col("_p.start"), "section"), F.lit(""))
-        return cut.withColumns({"section": section, "char_start": F.col("_p.start"), "text": F.col("_p.text")}).drop("_p", "_sections")
-    cut = docs.select(*docs.columns, F.posexplode(structured(F.col("text"), cfg)).alias("chunk_index", "_p"))
-    return cut.withColumns({"section": F.col("_p.section"), "char_start": F.col("_p.start"), "text": F.col("_p.text")}).drop("_p")
+    piece = "piece"
+    while piece in docs.columns:
+        piece += "_"
+    cut = docs.select(*docs.columns, F.posexplode(structured(F.col("text"), cfg)).alias("chunk_index", piece))
+    return cut.withColumns({"section": F.col(piece)["section"], "char_start": F.col(piece)["start"], "text": F.col(piece)["text"]}).drop(piece)
 
 
 def chunk(docs: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:

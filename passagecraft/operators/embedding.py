@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,24 +19,72 @@ DIMENSIONS = 384
 BATCH = 64
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
+#: Words that a worker remembers the hashes of.
+REMEMBERED_WORDS = 500_000
+
 #: From texts to a matrix with a row for each.
 Embedder = Callable[[Sequence[str]], np.ndarray]
 #: From (question, passage) pairs to logits.
 Scorer = Callable[[Sequence[tuple[str, str]]], Sequence[float]]
 
 
+def kept(name: str, make: Callable[[], object]):
+    """What this Python process keeps under a name, between tasks, too; functions that travel by value have globals of their own."""
+    store = sys.modules.setdefault("_passagecraft_models", types.ModuleType("_passagecraft_models")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def hashed_words(texts: Sequence[str], dims: int = DIMENSIONS) -> np.ndarray:
     """Word counts by hash: a word's place is the first 32 bits of its MD5, modulo the dimensions."""
     import re
     from hashlib import md5
 
+    hashes = kept("hashed words", dict)
+    if len(hashes) > REMEMBERED_WORDS:
+        hashes.clear()
     out = np.zeros((len(texts), dims))
     for i, t in enumerate(texts):
-        for w in re.findall(r"[^\W_]+", t.lower()):
-            out[i, int(md5(w.encode()).hexdigest()[:8], 16) % dims] += 1
+        words = re.findall(r"[^\W_]+", t.lower())
+        for w in set(words).difference(hashes):
+            hashes[w] = int(md5(w.encode()).hexdigest()[:8], 16)
+        places = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)) % dims
+        out[i] = np.bincount(places, minlength=dims)
     return out
 
 
+class Hosted:
+    """An embedder by calls to a service: texts go in batches, and rows come back in the order of their index.
+
+    ``post`` gets a model's name and texts, and gives (index, vector) pairs in any order. Questions have no instruction
+    in front, as the models of services take both alike.
+    """
+
+    def __init__(self, post: Callable[[str, Sequence[str]], Iterable[tuple[int, Sequence[float]]]], model: str, dims: int, batch: int = 128):
+        self.post, self.model, self.dims, self.batch = post, model, dims, batch
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dims))
+        for at in range(0, len(texts), self.batch):
+            part = list(texts[at : at + self.batch])
+            rows = sorted(self.post(self.model, part), key=lambda r: r[0])
+            if [r[0] for r in rows] != list(range(len(part))):
+                raise ValueError(f"{self.model}: {len(rows)} vectors for {len(part)} texts")
+            out[at : at + len(part)] = [r[1] for r in rows]
+        return out
+
+
+class Loaded:
+    """An embedder that a worker makes once for each name and keeps, such as a model read from a file."""
+
+    def __init__(self, name: str, make: Callable[[str], Embedder]):
+        self.name, self.make = name, make
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        return kept(f"embedder {self.name}", lambda: self.make(self.name))(texts)
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +16,53 @@ PARTITIONS = ("corpus_id", "embed_model", "chunk_slug", "doc_type")
 
 
 def build(chunks: DataFrame, model: str = "hashed-words", embedder: Embedder = hashed_words) -> DataFrame:
-    """Chunks with their vectors; two chunks of one id are an error, found here rather than at search."""
+    """Chunks with their vectors."""
     return chunks.withColumns({"vector": embed(F.col("embed_text"), embedder), "embed_model": F.lit(model)}).drop("embed_text")
 
 
 def write(index: DataFrame, path: str) -> None:
-    """Replaces the collections that index has rows of, and no others."""
-    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    """Replaces, as a whole, the collections that index has rows of, and no others.
+
+    Rows are written beside the collections first. If a collection has two rows of one chunk_id, that is an error, and
+    what was there before stays. Then each collection takes the place of the old one, so documents that are no longer
+    there are gone, as are values of doc_type that no document has any more.
+    """
+    spark = index.sparkSession
+    store, root = _store(spark, path)
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    try:
+        index.write.partitionBy(*PARTITIONS).parquet(staged)
+        again = duplicate_ids(_open(spark, staged)).limit(5).collect() if _collections(store, _store(spark, staged)[1]) else []
+        if again:
+            raise ValueError(f"chunks share an id: {', '.join(r['chunk_id'] for r in again)}")
+        for new in _collections(store, _store(spark, staged)[1]):
+            parts = str(new.toString()).split("/")[-3:]
+            old = hadoop_path(spark, "/".join([root.toString(), *parts]))
+            store.delete(old, True)
+            store.mkdirs(old.getParent())
+            if not store.rename(new, old):
+                raise OSError(f"{old.toString()} can't be put in place")
+    finally:
+        store.delete(_store(spark, staged)[1], True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
+    p = hadoop_path(spark, path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store, store.makeQualified(p)
+
+
+def _collections(store, root) -> list:
+    """The folders of the collections below a root: one level for each partition but doc_type."""
+    found = [root]
+    for name in PARTITIONS[:-1]:
+        found = [s.getPath() for p in found for s in store.listStatus(p) if s.getPath().getName().startswith(f"{name}=")]
+    return found
 
 
 def _open(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +94,5 @@ def drop_corpus(spark: SparkSession, path: str, corpus_id: str) -> bool:
     """Removes the collections of exactly this corpus; whether there were any."""
     from urllib.parse import quote
 
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    where = jvm.org.apache.hadoop.fs.Path(root, f"corpus_id={quote(corpus_id, safe=' -_.~')}")
-    return root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    store, root = _store(spark, path)
+    return store.delete(hadoop_path(spark, f"{root.toString()}/corpus_id={quote(corpus_id, safe=' -_.~')}"), True)

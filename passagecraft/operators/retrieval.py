@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from passagecraft.functions.text import half_even
 from passagecraft.schema import RECENCY_BAND, RetrievalParams
@@ -17,7 +18,8 @@ from .embedding import Scorer, rerank_score
 
 #: Questions that are sent to all executors at once, about.
 QUESTION_BLOCK = 2048
-_SLICE = 2048
+#: Scores that are held at once.
+_SCORES = 1 << 21
 
 NO_MATCH = "Nothing in the index matched the filters."
 REFUSED_COSINE = "Best vector similarity %.2f is below the threshold of %.2f: nothing in the documents is close to this question."
@@ -34,21 +36,31 @@ def matches(params: RetrievalParams) -> Column:
     return out
 
 
-def _nearest_in_place(ids: np.ndarray, questions: np.ndarray, k: int):
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each column the k highest scores (four digits count) and their ids; ties go to the smaller id."""
+    order = np.lexsort((ids, -np.round(scores, 4)), axis=0)[:k]
+    return np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
+
+
+def _nearest_in_place(asks: np.ndarray, questions: np.ndarray, k: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, best = None, np.zeros((0, len(asks)))
+        some = max(1, _SCORES // max(1, len(asks)))
         for whole in batches:
-            for at in range(0, len(whole), _SLICE):
-                part = whole.slice(at, _SLICE)
-                names = part.column(0)
+            for at in range(0, len(whole), some):
+                part = whole.slice(at, some)
+                names = np.array(part.column(0).to_pylist())
                 v = np.asarray(part.column(1).flatten(), np.float64).reshape(len(part), -1)
-                norms = np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                scores = (v / norms) @ questions.T
-                order = np.argsort(np.argsort(np.array(names.to_pylist())))  # ties go by id
-                n = min(k, len(part))
-                best = np.lexsort((np.broadcast_to(order[:, None], scores.shape), -np.round(scores, 4)), axis=0)[:n]
-                q = np.broadcast_to(np.arange(len(ids)), best.shape)
-                rows = best.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q.ravel()]), names.take(pa.array(rows)), pa.array(scores[rows, q.ravel()])], ["question_id", "chunk_id", "raw"])
+                scores = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ questions.T
+                if len(best) == k:  # rows that reach no question's worst are of no use
+                    reach = (np.round(scores, 4) >= np.round(best[-1], 4)).any(1)
+                    names, scores = names[reach], scores[reach]
+                every = np.broadcast_to(names[:, None], scores.shape)
+                new, found = _best(every, scores, k)
+                ids, best = (new, found) if ids is None else _best(np.concatenate([ids, new]), np.concatenate([best, found]), k)
+        if ids is not None:
+            q = np.broadcast_to(asks, best.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(ids.ravel().tolist(), kind), pa.array(best.ravel())], ["question_id", "chunk_id", "raw"])
 
     return run
 
@@ -57,13 +69,16 @@ def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUES
     """question_id, chunk_id, cosine, cosine_rank: exactly the k nearest of index(chunk_id, vector) to each of questions(question_id, vector).
 
     Questions go in blocks by a hash of their id, so what is sent out has a bound whatever the number of questions; every
-    block meets the index where it lies, and only k rows a question and slice of the index are shuffled. Ties go to the
-    smaller chunk_id. Rows without a vector take no part.
+    block meets the index where it lies, and only k rows a question and task are shuffled. Ties go to the smaller
+    chunk_id. Rows without a vector take no part, nor do those of another length than most questions' vectors have.
     """
     spark = questions.sparkSession
     asks = questions.where(F.col("vector").isNotNull()).select("question_id", F.col("vector").cast("array<double>").alias("vector"))
     rows = index.where(F.col("vector").isNotNull()).select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
-    blocks = max(1, -(-asks.count() // block))
+    lengths = asks.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "n").first()
+    width, n = lengths if lengths else (0, 0)
+    asks, rows = asks.where(F.size("vector") == width), rows.where(F.size("vector") == width)
+    blocks = max(1, -(-n // block))
     kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {index.schema['chunk_id'].dataType.simpleString()}, raw double"
     found = None
     for b in range(blocks):
@@ -72,7 +87,7 @@ def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUES
             continue
         v = np.asarray(own.column("vector").combine_chunks().flatten(), np.float64).reshape(len(own), -1)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        part = rows.mapInArrow(_nearest_in_place(np.array(own.column("question_id").to_pylist()), v, k), kinds)
+        part = rows.mapInArrow(_nearest_in_place(np.array(own.column("question_id").to_pylist()), v, k, to_arrow_type(index.schema["chunk_id"].dataType)), kinds)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], kinds.replace("raw", "cosine") + ", cosine_rank int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from passagecraft.functions.text import is_blank, strip
+from passagecraft.functions.text import bound, is_blank, strip
 
 # Running headers, words that open a structural heading, and the shapes of headings.
 NOISE = r"^\s*(?i:Page\s+\d+\s+of\s+\d+|\d+\s*/\s*\d+)\s*$"
@@ -19,16 +19,21 @@ SHORT_LINE, LONGEST_LABEL = 80, 60
 
 def promote_line(line: Column) -> Column:
     """A line of layout text as Markdown: headings marked, running headers emptied, others as they are."""
-    s = strip(line)
-    number, label = F.regexp_extract(s, NUMBERED, 1), strip(F.regexp_extract(s, NUMBERED, 2))
-    cut = F.concat(F.regexp_replace(F.substring(label, 1, LONGEST_LABEL - 3), r"(?U)\s+\z", ""), F.lit("..."))
-    short = F.when(F.length(label) <= LONGEST_LABEL, label).otherwise(cut)
-    return (
-        F.when((s == "") | s.rlike(NOISE), F.lit(""))
-        .when((F.length(s) < SHORT_LINE) & (s.rlike(STRUCTURAL) | s.rlike(CAPITALS)), F.concat(F.lit("\n## "), s, F.lit("\n")))
-        .when(s.rlike(NUMBERED), F.concat(F.lit("\n### "), number, F.lit(". "), short, F.lit("\n\n"), s))
-        .otherwise(line)
-    )
+
+    def shortened(label: Column) -> Column:
+        cut = F.concat(F.regexp_replace(F.substring(label, 1, LONGEST_LABEL - 3), r"(?U)\s+\z", ""), F.lit("..."))
+        return F.when(F.length(label) <= LONGEST_LABEL, label).otherwise(cut)
+
+    def told(s: Column) -> Column:
+        number, label = F.regexp_extract(s, NUMBERED, 1), bound(strip(F.regexp_extract(s, NUMBERED, 2)), shortened)
+        return (
+            F.when((s == "") | s.rlike(NOISE), F.lit(""))
+            .when((F.length(s) < SHORT_LINE) & (s.rlike(STRUCTURAL) | s.rlike(CAPITALS)), F.concat(F.lit("\n## "), s, F.lit("\n")))
+            .when(s.rlike(NUMBERED), F.concat(F.lit("\n### "), number, F.lit(". "), label, F.lit("\n\n"), s))
+            .otherwise(line)
+        )
+
+    return bound(strip(line), told)
 
 
 def promote(text: Column) -> Column:
