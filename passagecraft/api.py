@@ -42,23 +42,38 @@ def ask(
     return answering.answer(hits, decisions, providers, provider, force_extractive)
 
 
-def evaluate(spark: SparkSession, gold: DataFrame, root: str, store: str, configs: Iterable[ChunkConfig] = SWEEP, corpus_id: str = "default", params: RetrievalParams = RetrievalParams()) -> DataFrame:
-    """Quality of each configuration on gold(question_id, question, kind, …), best first; builds the indexes."""
+def hits(spark: SparkSession, questions: str | Iterable[str] | DataFrame, store: str, cfg: ChunkConfig = ChunkConfig(), corpus_id: str = "default", params: RetrievalParams = RetrievalParams()) -> DataFrame:
+    """The passages that answers are made from."""
+    asks = as_questions(spark, questions).withColumn("vector", embedding.embed_query(F.col("question")))
+    return retrieval.retrieve(asks, index.read(spark, store, corpus_id, cfg), params)[0]
+
+
+def ranks(spark: SparkSession, gold: DataFrame, store: str, cfg: ChunkConfig = ChunkConfig(), corpus_id: str = "default", params: RetrievalParams = RetrievalParams()) -> DataFrame:
+    """Per gold question its kind, the ranks of what it looks for, and whether it was answered."""
     asks = gold.select("question_id", "question").withColumn("vector", embedding.embed_query(F.col("question")))
+    found, decisions = retrieval.retrieve(asks, index.read(spark, store, corpus_id, cfg), params)
+    return evaluation.gold_ranks(gold, found).join(decisions.select("question_id", "grounded"), "question_id").select("question_id", "kind", "expect_rank", "current_rank", "stale_rank", "grounded")
+
+
+def evaluate(spark: SparkSession, gold: DataFrame, root: str, store: str, configs: Iterable[ChunkConfig] = SWEEP, corpus_id: str = "default", params: RetrievalParams = RetrievalParams()) -> DataFrame:
+    """Quality of each configuration on gold(question_id, question, kind, …) with its number of chunks, best first; builds the indexes."""
     rows = None
     for nth, cfg in enumerate(configs):
-        ingest(spark, root, store, cfg, corpus_id)
-        hits, decisions = retrieval.retrieve(asks, index.read(spark, store, corpus_id, cfg), params)
-        ranks = evaluation.gold_ranks(gold, hits).join(decisions.select("question_id", "grounded"), "question_id")
-        one = evaluation.summary(ranks, params.top_k).withColumns({"chunk_slug": F.lit(cfg.slug), "position": F.lit(nth)})
+        n_chunks = ingest(spark, root, store, cfg, corpus_id).agg(F.sum("n_chunks")).first()[0]
+        one = evaluation.summary(ranks(spark, gold, store, cfg, corpus_id, params), params.top_k)
+        one = one.withColumns({"chunk_slug": F.lit(cfg.slug), "n_chunks": F.lit(n_chunks), "position": F.lit(nth)})
         rows = one if rows is None else rows.unionByName(one)
     return rows.orderBy(F.desc("mrr"), F.desc("hit_at_k"), "position")
 
 
+def scores(spark: SparkSession, gold: DataFrame, store: str, cfg: ChunkConfig = ChunkConfig(), corpus_id: str = "default", params: RetrievalParams = RetrievalParams(min_cosine=0, min_rerank=0)) -> DataFrame:
+    """Per gold question whether it has an answer, and its best cosine and rerank score."""
+    found = hits(spark, gold.select("question_id", "question"), store, cfg, corpus_id, params)
+    return evaluation.measured(found, gold.select("question_id", (F.col("kind") != "unanswerable").alias("positive"))).orderBy(F.desc("rerank"))
+
+
 def calibrate(spark: SparkSession, gold: DataFrame, store: str, cfg: ChunkConfig = ChunkConfig(), corpus_id: str = "default", params: RetrievalParams = RetrievalParams(min_cosine=0, min_rerank=0)) -> DataFrame:
     """For cosine and rerank: the threshold that best tells answerable questions from others, and how many it keeps and refuses."""
-    asks = gold.select("question_id", "question").withColumn("vector", embedding.embed_query(F.col("question")))
-    hits, _ = retrieval.retrieve(asks, index.read(spark, store, corpus_id, cfg), params)
-    scores = evaluation.measured(hits, gold.select("question_id", (F.col("kind") != "unanswerable").alias("positive")))
-    best = [evaluation.best_threshold(evaluation.threshold_sweep(scores, c)).withColumn("score", F.lit(c)) for c in ("cosine", "rerank")]
+    made = scores(spark, gold, store, cfg, corpus_id, params)
+    best = [evaluation.best_threshold(evaluation.threshold_sweep(made, c)).withColumn("score", F.lit(c)) for c in ("cosine", "rerank")]
     return best[0].unionByName(best[1])

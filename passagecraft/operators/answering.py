@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -131,16 +132,40 @@ class ProviderStatus:
 
 
 class Providers:
-    """Answer back ends by name. None is built in: each is a function from prompts to answers, given by the caller."""
+    """Answer back ends by name. None is built in: each is a function from prompts to answers, given by the caller.
 
-    def __init__(self, **known: Generator):
+    ``checks`` has for some names a function that says whether the back end can answer now, and if not, why: that its
+    model is not installed, that a key is missing, that a server is down. ``models`` has the name of its model.
+    """
+
+    def __init__(self, checks: dict[str, Callable[[], ProviderStatus]] | None = None, models: dict[str, str] | None = None, **known: Generator):
         self.known, self.default = dict(known), next(iter(known), None)
+        self.checks, self.models = dict(checks or {}), dict(models or {})
 
     def status(self, name: str | None = None) -> ProviderStatus:
         name = name or self.default
         if name is None:
             return ProviderStatus(False, "no answer model is configured")
-        return ProviderStatus(name in self.known, f"{name} is ready" if name in self.known else f"{name} is unknown")
+        if name not in self.known:
+            return ProviderStatus(False, f"{name} is unknown")
+        if name not in self.checks:
+            return ProviderStatus(True, f"{name} is ready")
+        try:
+            return self.checks[name]()
+        except Exception as e:  # a check that fails says that its back end is not ready
+            return ProviderStatus(False, f"{name}: {e or type(e).__name__}")
+
+    def table(self) -> list[tuple[str, bool, bool, str, str]]:
+        """(name, whether it is the default, whether it is ready, model, detail) of each back end."""
+        return [(n, n == self.default, (s := self.status(n)).ready, self.models.get(n, ""), s.detail) for n in self.known]
+
+    def with_model(self, name: str, model: str) -> Providers:
+        """The same, where the back end ``name`` answers with another model: its function gets that name too."""
+        known = dict(self.known)
+        known[name] = partial(known[name], model=model)
+        out = Providers(self.checks, self.models | {name: model}, **known)
+        out.default = self.default
+        return out
 
     def get(self, name: str | None = None) -> Generator:
         found = self.known.get(name or self.default or "")

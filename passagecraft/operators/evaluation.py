@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Configurations that one call tells apart.
+MOST_CONFIGS = 1000
+
+
 def holds_all(text: Column, needles: Column) -> Column:
     """Whether each needle is in the text, case aside; none are always there."""
     return F.forall(F.coalesce(needles, F.array().cast("array<string>")), lambda n: F.contains(F.lower(text), F.lower(n)))
@@ -34,7 +38,14 @@ def gold_ranks(gold: DataFrame, hits: DataFrame, *by: str) -> DataFrame:
         first_rank(*at, F.col("current_text"), F.col("current_doc")).alias("current_rank"),
         F.min(F.array_min("_stale"))["rank"].alias("stale_rank"),
     )
-    wanted = gold if not by else gold.crossJoin(F.broadcast(hits.select(*by).distinct()))
+    wanted = gold
+    if by:  # every question under every configuration, of which there are few
+        found = hits.select(*by).distinct().limit(MOST_CONFIGS + 1)
+        rows = found.collect()
+        if len(rows) > MOST_CONFIGS:
+            raise ValueError(f"more than {MOST_CONFIGS} configurations")
+        each = F.array(*[F.struct(*[F.lit(r[c]).cast(found.schema[c].dataType).alias(c) for c in by]) for r in rows]) if rows else None
+        wanted = gold.select("*", F.inline(each)) if rows else gold.join(found, F.lit(False))
     return wanted.join(one, keys, "left")
 
 

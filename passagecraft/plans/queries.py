@@ -6,6 +6,10 @@ structured texts are put together from documents by fixed rules.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from passagecraft.functions import text as tx
 from passagecraft.operators import answering, chunking, embedding, evaluation, index, retrieval
-from passagecraft.schema import ChunkConfig, RetrievalParams
+from passagecraft.schema import SWEEP, ChunkConfig, RetrievalParams
 from passagecraft.sources import files, markup, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +39,29 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_DIR: list[str] = []
+
+
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or in a single process without one a folder of its own."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if there:
+        return there.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="passagecraft-"))
+        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
+    return f"file://{_OWN_DIR[0]}"
+
+
+def _kept(df: DataFrame, what: str) -> DataFrame:
+    """df, written to the shared folder and read back, so that two uses of it are one computation."""
+    path = f"{_shared(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _date(doc_id: Column) -> Column:
     return F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (doc_id % 365).cast("int")), "yyyy-MM-dd")
 
@@ -72,25 +99,29 @@ SELECT question_id, chunk_id, cosine, row_number() OVER (PARTITION BY question_i
 QUALIFY cosine_rank <= {k}"""
 
 
-def _search(spark: SparkSession, sf_dir: str, n: int, k: int, params: RetrievalParams) -> DataFrame:
+#: The questions of a search: every row whose id is divisible by this, against all rows.
+EVERY = 100
+
+
+def _search(spark: SparkSession, sf_dir: str, k: int, params: RetrievalParams) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("doc_type"), _date(F.col("vec_id")).alias("effective_date"))
-    asks = e.where(F.col("chunk_id") < n).select(F.col("chunk_id").alias("question_id"), "vector")
+    asks = e.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("question_id"), "vector")
     return retrieval.candidates(asks, e.where(retrieval.matches(params)), k)
 
 
-@query(_cosines("true", 20, "q.vec_id < 8"))
+@query(_cosines("true", 20, "q.vec_id % 100 = 0"))
 def vector_topk(spark, sf_dir):
-    return _search(spark, sf_dir, 8, 20, RetrievalParams())
+    return _search(spark, sf_dir, 20, RetrievalParams())
 
 
-@query(_cosines("true", 20, "q.vec_id < 1"))
+@query(_cosines("true", 1, "q.vec_id % 100 = 0"))
 def vector_topk_single(spark, sf_dir):
-    return _search(spark, sf_dir, 1, 20, RetrievalParams())
+    return _search(spark, sf_dir, 1, RetrievalParams())
 
 
-@query(_cosines("c.label = 3 AND strftime(DATE '2024-01-01' + (c.vec_id % 365)::INTEGER, '%Y-%m-%d') >= '2024-03-01'", 20, "q.vec_id < 8"))
+@query(_cosines("c.label = 3 AND strftime(DATE '2024-01-01' + (c.vec_id % 365)::INTEGER, '%Y-%m-%d') >= '2024-03-01'", 20, "q.vec_id % 100 = 0"))
 def vector_topk_filtered(spark, sf_dir):
-    return _search(spark, sf_dir, 8, 20, RetrievalParams(doc_type="3", effective_on_or_after="2024-03-01"))
+    return _search(spark, sf_dir, 20, RetrievalParams(doc_type="3", effective_on_or_after="2024-03-01"))
 
 
 @query("""SELECT vec_id, i - 1 AS dim, round((embedding[i]::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12)), 6) AS value
@@ -231,19 +262,23 @@ def asof_section(spark, sf_dir):
 
 
 def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as pages of 500 characters, every seventh of them empty."""
+    """documents as pages of 500 characters, with a blank page after every six of them."""
     d = documents(spark, sf_dir).select("document_id", F.posexplode(chunking.windows(F.col("text"), 500, 0)).alias("i", "w"))
-    return d.select("document_id", (F.col("i") + 1).alias("page_no"), F.when(F.col("i") % 7 == 3, F.lit("  \n")).otherwise(F.col("w.text")).alias("raw_text"))
+    page = F.col("i") + 1 + F.floor(F.col("i") / 6).cast("int")
+    blank = F.struct((page + 1).alias("page_no"), F.lit("  \n").alias("raw_text"))
+    own = F.struct(page.alias("page_no"), F.col("w.text").alias("raw_text"))
+    return d.select("document_id", F.inline(F.when(F.col("i") % 6 == 5, F.array(own, blank)).otherwise(F.array(own))))
 
 
 PAGED_SQL = r"""
 raw AS (SELECT doc_id::VARCHAR AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS i, piece FROM (
   SELECT doc_id, k, substr(text, k + 1, 500) AS piece FROM documents, LATERAL (SELECT unnest(range(0, greatest(0, ceil((length(text) - 500) / 500.0)::BIGINT) * 500 + 1, 500)) AS k)) WHERE regexp_matches(piece, '\S')),
-clean AS (SELECT document_id, i + 1 AS page, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS piece FROM raw WHERE i % 7 != 3),
+clean AS (SELECT document_id, i + 1 + i // 6 AS page, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS piece FROM raw),
 lined AS (SELECT document_id, page, j, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM (SELECT document_id, page, unnest(string_split(piece, chr(10))) AS line, generate_subscripts(string_split(piece, chr(10)), 1) AS j FROM clean)),
 promoted AS (SELECT document_id, page, regexp_replace(string_agg({promote}, chr(10) ORDER BY j), '^\s+|\s+$', '', 'g') AS piece FROM lined GROUP BY ALL),
 placed AS (SELECT *, coalesce(sum(length(piece) + 2) OVER (PARTITION BY document_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start FROM promoted WHERE piece != '')"""
 
+# The words and shapes of headings, as in sources/pages.py.
 PROMOTE_SQL = r"""CASE WHEN s = '' OR regexp_matches(s, '(?i)^\s*(Page\s+\d+\s+of\s+\d+|\d+\s*/\s*\d+)\s*$') THEN ''
   WHEN length(s) < 80 AND (regexp_matches(s, '^(?:PART|SECTION|CHAPTER|ARTICLE|ANNEXURE|ANNEX|APPENDIX|SCHEDULE|CLAUSE|EXHIBIT|TITLE|DIVISION|MODULE)\s*[-–—:]?\s*(?:[IVXLC]+|[A-Z]|\d{1,3})\b') OR regexp_matches(s, '^[A-Z][A-Z &,\-''/()0-9.]{5,60}$')) THEN chr(10) || '## ' || s || chr(10)
   WHEN regexp_matches(s, '^(\d{1,2}(?:\.\d{1,2})*)\.?\s+([A-Z].{2,})$') THEN chr(10) || '### ' || regexp_extract(s, '^(\d{1,2}(?:\.\d{1,2})*)\.?\s+([A-Z].{2,})$', 1) || '. ' ||
@@ -267,13 +302,14 @@ def asof_page(spark, sf_dir):
     return at.select("document_id", "at", chunking.as_of(F.col("page_breaks"), F.col("at"), "page").alias("page"))
 
 
-_LINES = ["Page {0} of 12", "{0} / 20", "PART - A", "SECTION {0}: SCOPE", "PREAMBLE", "Part C of this document", "4.{0} Termination", "12. Annuity means a series of payments that goes on for the whole life of the person {0} it is for", "  DEFINITIONS AND SCOPE ", "plain text {0}", "", "   ", "ARTICLE II", "3 lower case"]
+_LINES = ["Page {0} of 31", "{0} / 9", "ANNEX - B", "CHAPTER {0}: TOOLS", "FOREWORD", "Chapter D of the manual", "7.{0} Opening hours", "11. Lanterns that hang at the gate of the harbour are lit every evening by the keeper {0} at dusk", "  TERMS AND TOOLS ", "plain words {0}", "", "   ", "MODULE IV", "5 small letters"]
 
 
-@query("WITH l AS (SELECT doc_id, i, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, replace(unnest(ls), '{0}', (doc_id % 10)::VARCHAR) AS line FROM (SELECT doc_id, [" + ", ".join("'" + x + "'" for x in _LINES) + "] AS ls FROM documents))) SELECT doc_id, i::INTEGER AS i, " + PROMOTE_SQL + " AS line FROM l")
+@query("WITH l AS (SELECT doc_id, i, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, replace(unnest(ls), '{0}', (doc_id % 10)::VARCHAR) AS line FROM (SELECT doc_id, list_concat([" + ", ".join("'" + x + "'" for x in _LINES) + "], string_split(text, chr(10))) AS ls FROM documents))) SELECT doc_id, i::INTEGER AS i, " + PROMOTE_SQL + " AS line FROM l")
 def promote_headings(spark, sf_dir):
-    lines = F.array(*[F.replace(F.lit(x), F.lit("{0}"), (F.col("doc_id") % 10).cast("string")) for x in _LINES])
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("i", "line"))
+    """Every line of every text, and some lines with headings."""
+    lines = F.concat(F.array(*map(F.lit, _LINES)), F.split("text", "\n"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(lines, lambda x: F.replace(x, F.lit("{0}"), (F.col("doc_id") % 10).cast("string")))).alias("i", "line"))
     return d.select("doc_id", "i", pages.promote_line(F.col("line")).alias("line"))
 
 
@@ -410,11 +446,15 @@ def gate_decision(spark, sf_dir):
     return d.select("question_id", "grounded", F.left("reason", F.lit(20)).alias("reason"), *(F.col("diagnostics")[c].alias(c) for c in ("candidates", "best_cosine", "best_rerank", "reranked")))
 
 
-@query("""WITH p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[\\p{L}\\p{N}]+')) AS q, regexp_extract_all(lower(substr(text, 40, 200)), '[\\p{L}\\p{N}]+') AS w FROM documents)
+@query("""WITH n AS (SELECT count(*) AS n FROM benchmark), p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+')) AS q, regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}]+') AS w
+  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT n FROM n))
 SELECT doc_id, round_even(1 / (1 + exp(-(8 * (len(list_intersect(q, w))::DOUBLE / greatest(len(q), 1)) - 4))), 4) AS score FROM p""")
 def rerank_sigmoid(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents")
-    return d.select("doc_id", embedding.rerank_score(F.substring("text", 1, 60), F.substring("text", 40, 200)).alias("score"))
+    """Each whole text as a passage to one of the benchmark items as a question."""
+    b = _t(spark, sf_dir, "benchmark")
+    asks = b.select(F.col("item_id"), F.col("text").alias("question"))
+    d = _t(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % b.count())
+    return d.join(asks, "item_id").select("doc_id", embedding.rerank_score(F.col("question"), F.col("text")).alias("score"))
 
 
 # ---------------------------------------------------------------- answers
@@ -437,7 +477,7 @@ def citation_struct(spark, sf_dir):
 
 
 _RAW = ("A [2]. B [1][2].", "A [1]. B [7].", "A [7] [0].", "A without marker", "Sorry, not_in_documents. [1]", "[03] and [3] [99999999999999]")
-_RAW_SQL = f"raws AS (SELECT doc_id, [{', '.join(repr(r) for r in _RAW)}][(doc_id % 6)::INTEGER + 1] AS raw FROM documents)"
+_RAW_SQL = f"raws AS (SELECT doc_id, text || ' ' || [{', '.join(repr(r) for r in _RAW)}][(doc_id % 6)::INTEGER + 1] AS raw FROM documents)"
 _CITED_SQL = f"""{_RAW_SQL},
 marks AS (SELECT doc_id, raw, i, regexp_replace(m, '^0+([0-9])', '\\1') AS m FROM (SELECT doc_id, raw, unnest(regexp_extract_all(raw, '\\[([0-9]+)\\]', 1)) AS m, generate_subscripts(regexp_extract_all(raw, '\\[([0-9]+)\\]', 1), 1) AS i FROM raws)),
 firsts AS (SELECT doc_id, m, min(i) AS i, coalesce(try_cast(m AS INTEGER) BETWEEN 1 AND 5, false) AS valid FROM marks GROUP BY doc_id, m),
@@ -445,7 +485,8 @@ cited AS (SELECT r.doc_id, r.raw, coalesce(string_agg(m, ',' ORDER BY i) FILTER
 
 
 def _raws(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, _RAW)), (F.col("doc_id") % 6 + 1).cast("int")).alias("raw"))
+    """Answers that are a whole text each, with markers behind it."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, _RAW)), (F.col("doc_id") % 6 + 1).cast("int"))).alias("raw"))
 
 
 @query(f"WITH {_CITED_SQL} SELECT doc_id, used, invented FROM cited")
@@ -486,17 +527,28 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty documents for each gold question, by number."""
-    b = _t(spark, sf_dir, "benchmark").select("item_id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("rank"))
+    """The twenty documents nearest to each gold question, of all documents."""
     d = _t(spark, sf_dir, "documents")
-    return b.withColumn("doc_id", (F.col("item_id") * 37 + F.col("rank") * 11) % 200).join(d, "doc_id").select(F.col("item_id").alias("question_id"), "rank", F.col("doc_id").cast("string").alias("document_id"), "text")
-
-
-_GOLD_SQL = """gold AS (SELECT item_id AS question_id, CASE item_id % 3 WHEN 0 THEN 'answerable' WHEN 1 THEN 'superseded' ELSE 'unanswerable' END AS kind, lower(string_split(text, ' ')[1]) AS a, lower(string_split(text, ' ')[2]) AS b, lower(string_split(text, ' ')[4]) AS c FROM benchmark),
-gh AS (SELECT g.*, r.rank::INTEGER AS rank, lower(d.text) AS text FROM gold g, generate_series(1, 20) r(rank), documents d WHERE d.doc_id = (g.question_id * 37 + r.rank * 11) % 200),
-ranks AS (SELECT g.question_id, g.kind, min(rank) FILTER (WHERE contains(text, g.a) AND contains(text, g.b)) AS expect_rank, min(rank) FILTER (WHERE contains(text, g.a)) AS current_rank,
-  coalesce(min(rank) FILTER (WHERE contains(text, g.c)), min(rank) FILTER (WHERE contains(text, g.b))) AS stale_rank FROM gold g LEFT JOIN gh USING (question_id) GROUP BY ALL)"""
-_GOLD_SQL = _GOLD_SQL.replace("g.a)", "gh.a)").replace("g.b)", "gh.b)").replace("g.c)", "gh.c)")
+    asks = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), embedding.embed(F.col("text")).alias("vector"))
+    near = retrieval.candidates(asks, d.select(F.col("doc_id").alias("chunk_id"), embedding.embed(F.col("text")).alias("vector")), 20)
+    hits = near.join(d.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    return hits.select("question_id", F.col("cosine_rank").alias("rank"), F.col("chunk_id").cast("string").alias("document_id"), "text")
+
+
+def _unit_sql(name: str, table: str, key: str) -> str:
+    """Unit vectors of hashed words, kept in single precision and taken as unit vectors again."""
+    return f"""{name}_words AS (SELECT {key} AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM {table}),
+{name}_n AS (SELECT id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 384 AS dim, count(*)::DOUBLE AS n FROM {name}_words GROUP BY ALL),
+{name}_v AS (SELECT id, dim, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS v FROM {name}_n),
+{name} AS (SELECT id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM {name}_v)"""
+
+
+_GOLD_SQL = f"""{_unit_sql("q", "benchmark", "item_id")}, {_unit_sql("d", "documents", "doc_id")},
+near AS (SELECT q.id AS question_id, d.id AS doc_id, row_number() OVER (PARTITION BY q.id ORDER BY round_even(sum(q.v * d.v), 4) DESC, d.id)::INTEGER AS rank FROM q JOIN d USING (dim) GROUP BY q.id, d.id QUALIFY rank <= 20),
+gold AS (SELECT item_id AS question_id, CASE item_id % 3 WHEN 0 THEN 'answerable' WHEN 1 THEN 'superseded' ELSE 'unanswerable' END AS kind, lower(string_split(text, ' ')[1]) AS a, lower(string_split(text, ' ')[2]) AS b, lower(string_split(text, ' ')[4]) AS c FROM benchmark),
+gh AS (SELECT g.*, r.rank, lower(x.text) AS text FROM gold g JOIN near r USING (question_id) JOIN documents x USING (doc_id)),
+ranks AS (SELECT g.question_id, g.kind, min(rank) FILTER (WHERE contains(text, gh.a) AND contains(text, gh.b)) AS expect_rank, min(rank) FILTER (WHERE contains(text, gh.a)) AS current_rank,
+  coalesce(min(rank) FILTER (WHERE contains(text, gh.c)), min(rank) FILTER (WHERE contains(text, gh.b))) AS stale_rank FROM gold g LEFT JOIN gh USING (question_id) GROUP BY ALL)"""
 _SUMMARY_SQL = """count(*) FILTER (WHERE gold) AS n_gold, avg((r IS NOT NULL)::INTEGER) FILTER (WHERE gold) AS hit_at_k, avg(coalesce(1.0 / r, 0)) FILTER (WHERE gold) AS mrr,
   avg((current_rank IS NOT NULL AND (stale_rank IS NULL OR current_rank < stale_rank))::INTEGER) FILTER (WHERE kind = 'superseded') AS current_wins, avg((NOT grounded)::INTEGER) FILTER (WHERE kind = 'unanswerable') AS abstain_rate"""
 
@@ -529,6 +581,31 @@ def eval_sweep(spark, sf_dir):
     return evaluation.summary(_flag(evaluation.gold_ranks(gold(spark, sf_dir), hits, "depth")), 20, "depth")
 
 
+@query()
+def eval_configs(spark, sf_dir):
+    """The five chunk configurations over all documents and gold questions: an index each, its candidates, its quality."""
+    g, rows = gold(spark, sf_dir), None
+    asks = g.select("question_id", embedding.embed(F.col("question")).alias("vector"))
+    for cfg in SWEEP:
+        built = _kept(index.build(chunking.chunk(documents(spark, sf_dir), cfg)).select("chunk_id", "document_id", "text", "vector"), "chunks")
+        near = retrieval.candidates(asks, built, RetrievalParams().candidate_k).join(built.drop("vector"), "chunk_id")
+        hits = near.select("question_id", F.col("cosine_rank").alias("rank"), "document_id", "text").where(F.col("rank") <= RetrievalParams().top_k)
+        one = evaluation.summary(_flag(evaluation.gold_ranks(g, hits))).withColumn("chunk_slug", F.lit(cfg.slug))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("""SELECT lang AS doc_type, count(*) AS n_documents, sum(ceil(greatest(length(text) - 300, 0) / 300.0) + 1)::BIGINT AS n_chunks FROM documents WHERE lang != 'de' AND regexp_matches(text, '\\S') GROUP BY lang""")
+def reingest_counts(spark, sf_dir):
+    """A collection written twice, the second time without the documents of one language: what it then holds."""
+    store = f"{_shared(spark)}/store-{uuid.uuid4().hex}"
+    cut = chunking.chunk(documents(spark, sf_dir).withColumn("corpus_id", F.lit("all")), ChunkConfig("fixed", 300, 0)).drop("embed_text").withColumn("embed_model", F.lit("none"))
+    index.write(cut, store)
+    index.write(cut.where("doc_type != 'de'"), store)
+    held = index.read(spark, store, "all", ChunkConfig("fixed", 300, 0), "none")
+    return held.groupBy("doc_type").agg(F.count_distinct("document_id").alias("n_documents"), F.count(F.lit(1)).alias("n_chunks"))
+
+
 _SCORES_SQL = "scores AS (SELECT doc_id, quality = 1 AS positive, round_even(((doc_id * 7919) % 1000 / 1000.0::DOUBLE + quality) / 2, 4) AS score FROM labels)"
 
 
@@ -566,7 +643,7 @@ def score_overlap(spark, sf_dir):
 @query()
 def ask_benchmark(spark, sf_dir):
     """Every benchmark item as a question to an index of all documents: retrieve, gate, answer by quotation."""
-    built = index.build(chunking.chunk(documents(spark, sf_dir).withColumns({"source_url": F.lit(""), "relpath": F.lit("")}), ChunkConfig()))
+    built = _kept(index.build(chunking.chunk(documents(spark, sf_dir).withColumns({"source_url": F.lit(""), "relpath": F.lit("")}), ChunkConfig())), "chunks")
     asks = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")).withColumn("vector", embedding.embed_query(F.col("question")))
     hits, decisions = retrieval.retrieve(asks, built, RetrievalParams(min_cosine=0.2))
     a = answering.answer(hits, decisions)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Strategies, depths of a search, thresholds of the gates, and how close scores count as equal.
 STRATEGIES = ("fixed", "heading", "recursive")
 SEARCH_DEFAULTS = {"top_k": 5, "candidate_k": 20}
 MIN_COSINE, MIN_RERANK = 0.64, 0.10
@@ -32,11 +33,8 @@ class ChunkConfig:
     def slug(self) -> str:
         return f"{self.strategy}_{self.chunk_size}_{self.overlap}"
 
-    def describe(self) -> str:
-        return f"{self.strategy} · {self.chunk_size} chars · {self.overlap} overlap"
 
-
-#: The configurations of a sweep.
+# The configurations of a sweep.
 SWEEP = (ChunkConfig("fixed", 300, 0), ChunkConfig("recursive", 300, 60), ChunkConfig("recursive", 800, 150), ChunkConfig("recursive", 1600, 200), ChunkConfig("heading", 2000, 0))
 
 

@@ -19,7 +19,7 @@ FORMATS = {".md": "markdown", ".markdown": "markdown", ".txt": "markdown", ".htm
 SIDECAR = "metadata.yaml"
 FRONT_MATTER = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 _META = T.MapType(T.StringType(), T.StringType())
-_PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("meta", _META), T.StructField("page_breaks", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("page", T.IntegerType())])))])
+_PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("meta", _META), T.StructField("page_breaks", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("page", T.IntegerType())]))), T.StructField("error", T.StringType())])
 
 
 def suffix(path: Column) -> Column:
@@ -80,34 +80,49 @@ def _parse_pdf(content: bytes) -> tuple[list[str], dict]:
     return [(p.extract_text() or "") for p in reader.pages], meta
 
 
-@F.arrow_udf(_PARSED)
-def _parse(files: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _parse_text(kind: str, raw: bytes) -> tuple[str, dict]:
     import re
 
     import yaml
 
     from passagecraft.sources.markup import parse as parse_html
 
-    kind = pa.struct([("text", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("page_breaks", pa.list_(pa.struct([("start", pa.int32()), ("page", pa.int32())])))])
+    text = raw.decode("utf-8", "replace").replace("\r\n", "\n")
+    if kind == "html":
+        return parse_html(text)
+    m = re.match(FRONT_MATTER, text)
+    meta = (yaml.safe_load(m[1]) or {}) if m else {}
+    return (text[m.end() :] if m else text).strip(), meta if isinstance(meta, dict) else {}
+
+
+@F.arrow_udf(_PARSED)
+def _parse(files: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    kind = pa.struct([("text", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("page_breaks", pa.list_(pa.struct([("start", pa.int32()), ("page", pa.int32())]))), ("error", pa.string())])
     for kinds, contents in files:
         out = []
         for k, c in zip(kinds.to_pylist(), contents, strict=True):
-            raw = c.as_py() or b""
-            if k == "pdf":
-                pages, meta = _parse_pdf(raw)
-                out.append({"text": json.dumps(pages), "meta": list(plain_values(meta).items()), "page_breaks": []})
-                continue
-            text = raw.decode("utf-8", "replace").replace("\r\n", "\n")
-            if k == "html":
-                text, meta = parse_html(text)
-            else:
-                m = re.match(FRONT_MATTER, text)
-                meta = (yaml.safe_load(m[1]) or {}) if m else {}
-                text = (text[m.end() :] if m else text).strip()
-            out.append({"text": text, "meta": list(plain_values(meta if isinstance(meta, dict) else {}).items()), "page_breaks": []})
+            text, meta, error = "", {}, None
+            try:
+                if k == "pdf":
+                    pages, meta = _parse_pdf(c.as_py() or b"")
+                    text = json.dumps(pages)
+                else:
+                    text, meta = _parse_text(k, c.as_py() or b"")
+            except Exception as e:  # a file that can't be read is a row with an error, and the others go on
+                error = f"{type(e).__name__}: {e}"
+            out.append({"text": text, "meta": list(plain_values(meta).items()), "page_breaks": [], "error": error})
         yield pa.array(out, kind)
 
 
+# parsed once, whatever is filtered by the outcome
+_parse = _parse.asNondeterministic()
+
+
+def failures(spark: SparkSession, root: str) -> DataFrame:
+    """path and error of the files below a folder that read_corpus() leaves out as they can't be read."""
+    return scan(spark, root).select("path", _parse("format", "content").alias("p")).where("p.error is not null").select("path", F.col("p.error").alias("error"))
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Files of supported formats below a folder: path, format, content; hidden files and the sidecar are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -116,11 +131,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, root: str, corpus_id: str = "default") -> DataFrame:
-    """The documents below a folder, as rows of schema.DOCUMENT with corpus_id; those without text are left out."""
+    """The documents below a folder, as rows of schema.DOCUMENT with corpus_id; those without text are left out, as are files that can't be read: see failures()."""
     from .pages import join_pages
 
     base = f"file:{os.path.abspath(root)}/" if "://" not in root else f"{root.rstrip('/')}/"
-    parsed = scan(spark, root).withColumn("p", _parse("format", "content"))
+    parsed = scan(spark, root).withColumn("p", _parse("format", "content")).where("p.error is null")
     known = defaults(F.col("path"), F.col("p.meta"), base)
     extra = F.map_filter("p.meta", lambda k, v: ~k.isin(*KNOWN_KEYS)).alias("extra")
     docs = parsed.select(*(c.alias(k) for k, c in known.items()), extra, F.col("p.text").alias("text"), F.col("p.page_breaks").alias("page_breaks"), "format")

@@ -106,9 +106,9 @@ def parse(page: str) -> tuple[str, dict[str, str]]:
             rows = "\n".join(node.cells())
             line = f"\n{rows}\n" if rows else ""
         elif node.name in _LEVEL:
-            line = f"\n{'#' * _LEVEL[node.name]} {node.words()}\n" if node.words() else ""
+            line = f"\n{'#' * _LEVEL[node.name]} {node.words()}\n"
         else:
-            line = f"- {node.words()}" if node.name == "li" and node.words() else node.words()
+            line = f"- {node.words()}" if node.name == "li" else node.words()
         if line.strip():
             lines.append(line)
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip(), meta
