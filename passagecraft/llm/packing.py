@@ -164,14 +164,14 @@ def _tokenize(definition, key: str, window: int):
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 rows = []
-                for ids in encode_all(part.column(1), key, definition.value):
+                for nth, ids in enumerate(encode_all(part.column(1), key, definition.value)):
                     ids = np.append(ids, ids.dtype.type(END))
                     n = len(ids) // window
                     rest = ids[n * window :]
-                    rows.append((len(ids), [_crc(ids[i * window : (i + 1) * window]) for i in range(n)], len(rest), _crc(rest), rest.astype("<u4").tobytes() if ids.dtype != np.uint16 else rest.tobytes(), ids.dtype.itemsize))
-                c = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(c, kinds, strict=True))], ["doc_id", "doc_tokens", "crcs", "rest", "rest_crc", "rest_ids", "id_bytes"])
+                    rows.append((len(ids), [_crc(ids[i * window : (i + 1) * window]) for i in range(n)], len(rest), _crc(rest), rest.astype("<u4").tobytes() if ids.dtype != np.uint16 else rest.tobytes(), ids.dtype.itemsize, nth))
+                c = list(zip(*rows, strict=True)) or [()] * 7
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(c, kinds, strict=True))], ["doc_id", "doc_tokens", "crcs", "rest", "rest_crc", "rest_ids", "id_bytes", "salt"])
 
     return run
 
@@ -207,15 +207,15 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     latter are powers of two alone and at most one for each bit of the window at the very end.
 
     Texts are encoded once, into a table of checksums of whole windows and of the ids of remainders, which are shorter
-    than a window whatever the document. The driver gets one sum for each length. Equal lengths are dealt over buckets.
+    than a window whatever the document. The driver gets one sum for each length. Equal lengths are dealt over buckets, repeated rows too.
     """
     spark = docs.sparkSession
     definition = spark.sparkContext.broadcast(definition_of(path))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long, doc_tokens long, crcs array<long>, rest int, rest_crc long, rest_ids binary, id_bytes int"
+    kind = "doc_id long, doc_tokens long, crcs array<long>, rest int, rest_crc long, rest_ids binary, id_bytes int, salt int"
     made = materialize(some.mapInArrow(_tokenize(definition, path, window), kind), "packed-ids")
     buckets = cells(made.count(), BUCKET_ROWS, BUCKETS)
-    made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "rest_crc", "doc_tokens"), F.lit(buckets)))
+    made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "rest_crc", "doc_tokens", "salt"), F.lit(buckets)))
     sums = materialize(made.groupBy("rest", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("crcs")).alias("n_full")), "packed-sums")
     before = W.partitionBy("rest").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     firsts = sums.select("rest", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"), F.coalesce(F.sum("n_full").over(before), F.lit(0)).alias("full0"))
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     for r in sums.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("n_full").alias("n_full")).collect():
         h[r["rest"]], full[r["rest"]] = r["n"], r["n_full"]
     shared = spark.sparkContext.broadcast(vars(plan(h, full, window)))  # a few numbers for each combination there is
-    within = W.partitionBy("rest", "bucket").orderBy("doc_id", "rest_crc", "doc_tokens", F.hash("crcs"))
+    within = W.partitionBy("rest", "bucket").orderBy("doc_id", "rest_crc", "doc_tokens", F.hash("crcs"), "salt")
     ranked = made.join(firsts, ["rest", "bucket"]).select(
         "doc_id", "doc_tokens", "crcs", "rest", "rest_crc", "rest_ids", "id_bytes",
         (F.col("rank0") + F.row_number().over(within) - 1).alias("rank"),

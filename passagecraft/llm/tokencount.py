@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenizer import BYTE_WORDS, LOWER_WORDS, PLAIN_TEXT, WHOLE_TEXTS, definition_of, ids_of, kind_of, loaded
+from .tokenizer import LOWER_WORDS, PLAIN_TEXT, WHOLE_TEXTS, definition_of, ids_of, kind_of, loaded, parts_of
 
 LIMIT = 2048
 #: A block: documents and characters at most, and characters that are split in one go.
@@ -30,19 +30,6 @@ TOGETHER = 128
 # lower case letter, and what is letter, digit, white space or neither is plain. Other text is split by the library.
 _LETTERS = "a-zß-öø-ÿĀ-įı-ňŊ-ž"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
-#: Where a text can be cut, by kind: no pre-token reaches over such a place.
-_CUT = {LOWER_WORDS: re.compile(r"(?<=\s)(?=\S)"), BYTE_WORDS: re.compile(r"(?<=[^\s])(?= [^\s])")}
-
-
-def parts_of(text: str, kind: str, size: int = _PART_CHARS) -> Iterator[str]:
-    """The text in parts of about ``size``, if its kind of tokenizer allows cuts."""
-    at = 0
-    while kind != WHOLE_TEXTS and len(text) - at > size and (m := _CUT[kind].search(text, at + size)):
-        yield text[at : m.start()]
-        at = m.start()
-    if at < len(text):
-        yield text[at:] if at else text
-
 
 def pre_tokens(text: str, tok, specials: re.Pattern | None, kind: str = LOWER_WORDS) -> list[str]:
     """What the tokenizer counts one by one, in order; a special string stands for itself, and a text that can't be cut for itself."""
@@ -153,7 +140,7 @@ def _blocks(definition, key: str, buckets: int):
                 ids.append(doc_id.as_py())
                 sizes.append(len(t.encode()))
                 counts.append(0)
-                for part in parts_of(t, kind):
+                for part in parts_of(t, kind, _PART_CHARS):
                     own = pre_tokens(part, tok, specials, kind)
                     counts[-1] += len(own)
                     pieces += own

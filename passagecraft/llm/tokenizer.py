@@ -6,16 +6,14 @@ import json
 import re
 import sys
 import types
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-#: Encoded pieces that a worker remembers: two generations of so many.
-REMEMBERED = 150_000
-_CHARS = 4 << 20
+#: Characters that are encoded in one go.
+_CHARS = 1 << 20
 
 # What kinds of tokenizers are known by; the word pattern of byte-level tokenizers, and their bytes that stand for themselves.
 _LOWER_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -93,22 +91,19 @@ def ids_of(tok, texts: list[str]) -> list[list[int]]:
     return tok.encode(texts, num_threads=1)
 
 
-# A byte-level tokenizer with the usual word pattern never joins text across these places: a lone space is the head of
-# what follows it, and a lone line end stands alone. Each needs visible characters on its two sides.
-_SEAM = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-#: White space that is not alone, or at an end, or another one than these two; and what marks the cuts below.
-_UNEVEN = r"[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]|\A[ \n]|[ \n]\z"
+#: Where a text can be cut, by kind: no word of the tokenizer reaches over such a place. A lone space is the head of what
+#: follows it, and a lone line end stands alone; each needs visible characters on its two sides.
+_CUT = {LOWER_WORDS: re.compile(r"(?<=\s)(?=\S)"), BYTE_WORDS: re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")}
 
 
-def seams(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All texts, without nulls, cut at places where their encoding can be cut: the pieces, and how many of them each has."""
-    uneven = pc.match_substring_regex(texts, _UNEVEN)
-    even = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
-    if not pc.any(uneven).as_py():
-        cut = pc.split_pattern(even, "\0")
-        return cut.flatten(), cut.value_lengths().to_numpy(zero_copy_only=False)
-    lists = [_SEAM.split(t) if u else e.split("\0") for t, u, e in zip(texts.to_pylist(), uneven.to_pylist(), even.to_pylist(), strict=True)]
-    return pa.array([p for x in lists for p in x], pa.string()), np.array([len(x) for x in lists], np.int64)
+def parts_of(text: str, kind: str, size: int = _CHARS) -> Iterator[str]:
+    """The text in parts of about ``size``, if its kind of tokenizer allows cuts."""
+    at = 0
+    while kind != WHOLE_TEXTS and len(text) - at > size and (m := _CUT[kind].search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    if at < len(text):
+        yield text[at:] if at else text
 
 
 def _merges_by_rank(definition: str | bytes):
@@ -130,66 +125,52 @@ def _merges_by_rank(definition: str | bytes):
     return tiktoken.Encoding("by-rank", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def _encoder(key: str, definition: str | bytes):
-    """A function from pieces to their ids: the library's, and for plain pieces its equal if there is one."""
-    store = worker_store()
-    if f"encoder {key}" not in store:
-        tok, fast = loaded(key, definition), _merges_by_rank(definition)
+def _plain(text: str) -> bool:
+    return "<" not in text and PLAIN_TEXT.fullmatch(text) is not None
 
-        def encode(pieces: list[str]) -> list[list[int]]:
-            slow = [p for p in pieces if fast is None or "<" in p or not PLAIN_TEXT.fullmatch(p)]
-            found = dict(zip(slow, ids_of(tok, slow), strict=True)) if slow else {}
-            return [found[p] if p in found else fast(p) for p in pieces]
 
-        store[f"encoder {key}"] = encode
+def _encoder(key: str, definition: str | bytes) -> tuple[Callable[[list[str]], list[np.ndarray]], int]:
+    """A function from texts to their ids, as small as they can be; and how many characters it gets at once."""
+    store = worker_store()
+    if f"encoder {key}" in store:
+        return store[f"encoder {key}"]
+    tok, fast, kind = loaded(key, definition), _merges_by_rank(definition), kind_of(definition)
+    size = tok.get_vocab_size() if hasattr(tok, "get_vocab_size") else tok.vocab_size()
+    small = np.uint16 if size <= 1 << 16 else np.uint32
+
+    def of_text(text: str) -> np.ndarray:
+        """By parts; what is plain in one by the faster encoder, what is not by the library, each as far as it reaches."""
+        found = []
+        for part in parts_of(text, kind):
+            if _plain(part):
+                found.append(np.array(fast(part), small))
+                continue
+            for plain, run in groupby(_CUT[kind].split(part), _plain):
+                run = "".join(run)
+                found.append(np.array(fast(run) if plain else ids_of(tok, [run])[0], small))
+        return np.concatenate(found) if len(found) != 1 else found[0]
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        if fast is None:
+            return [np.array(ids, small) for ids in ids_of(tok, texts)]
+        return [of_text(t) if t else np.zeros(0, small) for t in texts]
+
+    store[f"encoder {key}"] = encode, _CHARS if fast is None else 0
     return store[f"encoder {key}"]
 
 
 def encode_all(texts: pa.Array, key: str, definition: str | bytes) -> Iterator[np.ndarray]:
     """The ids of each text (null: empty) as the library gives them without added special tokens.
 
-    Texts go in groups, cut into pieces if the tokenizer is known to allow it. The distinct pieces of a group are looked
-    up among those that were encoded lately, or encoded; a group's ids are then laid out by piece numbers, so that no
-    step goes over all pieces one by one.
+    A few texts at a time are in memory as ids; a long one is cut where its tokenizer allows it.
     """
-    encode, tok = _encoder(key, definition), loaded(key, definition)
-    kind, code = (np.uint16, "H") if (tok.get_vocab_size() if hasattr(tok, "get_vocab_size") else tok.vocab_size()) <= 1 << 16 else (np.uint32, "I")
-    cut = kind_of(definition) == BYTE_WORDS
-    texts = pc.fill_null(texts.cast(pa.string()), "")
-    young, old = worker_store().setdefault(f"ids {key}", ({}, {}))
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else []
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _CHARS, "right")))
-        group = texts.slice(at, upto - at)
-        pieces, lengths = seams(group) if cut else (group, np.ones(len(group), np.int64))
-        numbers = pieces.dictionary_encode()
-        distinct = numbers.dictionary.to_pylist()
-        if len(young) + len(distinct) > REMEMBERED:  # what is used again moves on to the next generation
-            young, old = {}, young
-            worker_store()[f"ids {key}"] = young, old
-        found = [young.get(p) for p in distinct]
-        new = []
-        for i, ids in enumerate(found):
-            if ids is None:
-                p = distinct[i]
-                if p in old:
-                    found[i] = young[p] = old[p]
-                else:
-                    new.append(i)
-        for k in range(0, len(new), 4096):
-            part = [distinct[i] for i in new[k : k + 4096]]
-            for i, p, ids in zip(new[k : k + 4096], part, encode(part), strict=True):
-                found[i] = young[p] = array(code, ids).tobytes()
-        flat = np.frombuffer(b"".join(found), kind)
-        n = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(kind).itemsize
-        first = np.cumsum(n) - n
-        index = numbers.indices.to_numpy(zero_copy_only=False)
-        n_of = n[index]
-        ends = np.cumsum(n_of)
-        ids = flat[np.repeat(first[index] - ends + n_of, n_of) + np.arange(ends[-1] if len(ends) else 0)]
-        doc_ends = np.cumsum(lengths)
-        ends = np.concatenate([[0], ends])
-        for a, b in zip(doc_ends - lengths, doc_ends, strict=True):
-            yield ids[ends[a] : ends[b]]
-        at = upto
+    encode, chars = _encoder(key, definition)
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield from encode(held)
+            held, size = [], 0
+    if held:
+        yield from encode(held)

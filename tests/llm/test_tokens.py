@@ -75,9 +75,9 @@ def test_long_texts_are_cut_where_nothing_is_lost():
         ids = library(path)
         for _ in range(60):
             t = "".join(rnd.choice(odd_texts()[:20] + [" ", "\n", "e\u0301", "x y z "]) or "" for _ in range(8))
-            parts = list(tokencount.parts_of(t, kind, 5))
+            parts = list(tokenizer.parts_of(t, kind, 5))
             assert "".join(parts) == t and sum(len(ids(p)) for p in parts) == len(ids(t)), t
-    assert list(tokencount.parts_of("", tokenizer.LOWER_WORDS)) == [] and list(tokencount.parts_of("a b c", tokenizer.WHOLE_TEXTS, 1)) == ["a b c"]
+    assert list(tokenizer.parts_of("", tokenizer.LOWER_WORDS)) == [] and list(tokenizer.parts_of("a b c", tokenizer.WHOLE_TEXTS, 1)) == ["a b c"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -136,6 +136,32 @@ def test_pack(spark, copies):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_pack_repeated_rows_and_null_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, text = Tokenizer.from_file(path), "the same words again and again " * 300
+    rows = [(7, text)] * 700 + [(None, text)] * 5 + [(None, None), (7, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack(df, path).collect()
+    n = len(tok.encode(text, add_special_tokens=False).ids) + 1
+    total = 705 * n + 1 + len(tok.encode("other words", add_special_tokens=False).ids) + 1
+    assert sum(p.length for p in pieces) == total and sum(p.length for p in pieces if p.doc_id is None) == 5 * n + 1
+    ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+    per = {}
+    for p in pieces:
+        if p.doc_tokens == n:
+            assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+            per[p.start] = per.get(p.start, 0) + p.length
+    by_seq = {}
+    for p in pieces:
+        by_seq.setdefault(p.sequence_id, []).append(p)
+    for ps in by_seq.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == 1024 or at & (at - 1) == 0
+
+
 def test_plan_fills_what_it_can():
     rnd = np.random.default_rng(0)
     h = rnd.integers(0, 50, 1024)
