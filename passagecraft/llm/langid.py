@@ -11,11 +11,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
@@ -92,6 +92,10 @@ def _vector(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([None if v is None else v.tobytes() for v in made], pa.binary())
 
 
+# a filter on a result must not make Spark compute it once for the filter and once more
+_vector = _vector.asNondeterministic()
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages, their families, and one weight vector (the last weight is the bias) for each family and each pair of a family's languages."""
@@ -155,23 +159,33 @@ def train(x: np.ndarray, y: list[str], rounds: int = 400, ridge: float = 1e-4) -
 def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
     """A model from text and lang of the documents that are not held out; None if there is nothing to learn from.
 
-    Documents are taken by a hash of doc_id until about ``max_labelled`` are there, of each language about as many; the
-    driver gets one vector for each of them.
+    Documents are taken by a hash of doc_id and text until about ``max_labelled`` are there, of each language about as
+    many; the driver gets one vector for each of them, twice ``max_labelled`` at the very most. Where rows repeat so much
+    that none is taken by its hash, those with the smallest are. Documents without id, language or letter teach nothing.
     """
-    small_batches(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_labelled).collect()}
     if not counts:
         return None
     share = max_labelled / len(counts)
     part = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, min(1.0, share / n))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    some = known.where(drawn < F.coalesce(part[F.col("lang")], F.lit(0.0))).select("doc_id", "lang", _vector("text").alias("x"))
-    rows = some.where(F.col("x").isNotNull()).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    hashed = known.select("doc_id", "lang", "text", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("langid")).alias("hash"))
+    drawn = F.pmod("hash", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    taken = hashed.where(drawn < F.coalesce(part[F.col("lang")], F.lit(0.0))).select("doc_id", "lang", "hash", _vector("text").alias("x"))
+    rows = taken.where(F.col("x").isNotNull()).orderBy("hash", "doc_id", "lang").limit(2 * max_labelled).toArrow()
     if not len(rows):
-        return None
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(len(rows), -1)
-    return train(x, rows["lang"].to_pylist())
+        few = hashed.orderBy("hash", "doc_id", "lang").limit(max_labelled).select("doc_id", "lang", "hash", _vector("text").alias("x"))
+        rows = few.where(F.col("x").isNotNull()).toArrow()
+        if not len(rows):
+            return None
+    order = pc.sort_indices(rows.select(["hash", "doc_id", "lang"]), [("hash", "ascending"), ("doc_id", "ascending"), ("lang", "ascending")]).to_numpy()
+    x = np.empty((len(rows), DIMENSIONS), np.float32)
+    for i, k in enumerate(order):
+        x[i] = np.frombuffer(rows["x"][int(k)].as_buffer(), np.float32)
+    langs = rows["lang"].take(pa.array(order)).to_pylist()
+    del rows
+    pa.default_memory_pool().release_unused()
+    return train(x, langs)
 
 
 def predictor(model: Model | None):
@@ -191,14 +205,13 @@ def predictor(model: Model | None):
                             langs[at + i], scores[at + i] = model.langs[b], s
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    return predict
+    return predict.asNondeterministic()  # computed once, filter or not
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with ``_lang`` = struct(lang, score), predicted from the whole text alone.
+def identify(docs: DataFrame, model: Model | None, into: str = "predicted") -> DataFrame:
+    """docs with a column ``into`` = struct(lang, score), predicted from the whole text alone; one of that name is replaced.
 
     Null text and text without a letter: ``und`` and 0, as is everything where nothing could be learned. Equal texts
-    have equal results. No other column is read.
+    have equal results, repeated rows too; an empty table stays empty. No other column is read.
     """
-    small_batches(docs.sparkSession)
-    return docs.withColumn("_lang", predictor(model)("text"))
+    return docs.withColumn(into, predictor(model)("text"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import Tables, materialize, parted, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side that are an entity's context; contexts a term needs; share of the entity's own bits that it must tell; posteriors to generalise and to remove.
@@ -136,6 +136,8 @@ def _contexts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(entities, kind), pa.array(terms, pa.list_(pa.string()))], ["entities", "terms"])
 
 
+_contexts = _contexts.asNondeterministic()  # computed once, filter or not
+
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _HIT = T.StructType([*_SPAN.fields, T.StructField("term", T.StringType())])
 _SCAN = T.StructType([T.StructField("base", T.ArrayType(_SPAN)), T.StructField("hits", T.ArrayType(_HIT))])
@@ -219,20 +221,20 @@ def _scanner(filled):
     return scan
 
 
-def disclosing(docs: DataFrame) -> DataFrame:
+def disclosing(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     """term, removed: the terms of docs(text) over the thresholds, by two looks at each whole text.
 
     The first takes entities, their contexts and, of texts that have one, all terms; equal texts meet as one with its
     number. The second counts the texts that hold a term with enough contexts: words that pass a filter of such terms,
-    summed up within a partition, then joined exactly.
+    summed up within a partition, then joined exactly. The result reads tables that belong to ``tables``.
     """
-    small_batches(docs.sparkSession)
+    tables = tables or Tables()
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     looked = texts.select(F.md5("text").alias("key"), _contexts("text").alias("c")).where(F.size("c.entities") > 0)
-    around = materialize(looked.select("key", "c.entities", "c.terms"), "pii-contexts")
+    around = tables.keep(looked.select("key", "c.entities", "c.terms"), "pii-contexts")
     mentions = around.select("key", F.inline("entities"))
     several = mentions.select("entity", F.explode("contexts").alias("context")).groupBy("entity").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= MIN_CONTEXTS)
-    of_entity = materialize(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).join(several.select("entity"), "entity", "left_semi"), "pii-entities")
+    of_entity = tables.keep(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).join(several.select("entity"), "entity", "left_semi"), "pii-entities")
     kept = around.select("key", "terms", F.inline("entities")).join(of_entity.select("entity"), "entity", "left_semi")
     one = kept.groupBy("entity", "key").agg(F.count(F.lit(1)).alias("n"), F.first("contexts").alias("contexts"), F.first("terms").alias("terms"))
     each = one.select("entity", "n", "terms", F.posexplode("contexts").alias("at", "context"))
@@ -243,7 +245,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     # the texts with any entity are some of all texts: a term too common among them can be no candidate
     smooth = F.col("contexts") / (F.col("contexts") + 1)
     seen = around.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    near = materialize(near.join(seen, "term").where(F.col("texts") / F.col("seen") * smooth >= GENERALISE).drop("seen"), "pii-terms")
+    near = tables.keep(near.join(seen, "term").where(F.col("texts") / F.col("seen") * smooth >= GENERALISE).drop("seen"), "pii-terms")
     holding = texts.mapInArrow(_holding(_filled(near)), "term string, n long").groupBy("term").agg(F.sum("n").alias("all_texts"))
     share = F.col("texts") / F.greatest("all_texts", "texts") * smooth
     own = F.log2(F.lit(float(max(texts.count(), 1))) / F.col("entity_texts"))
@@ -258,7 +260,9 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     added has key, terms (array of start, kind, end, removed). Only words that pass a filter of the disclosing terms are
     shuffled, and the join with those terms then decides exactly.
     """
-    terms = materialize(disclosing(docs), "pii-disclosing")
+    tables = Tables()
+    terms = materialize(disclosing(docs, tables), "pii-disclosing")
+    tables.release()
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", F.md5(text).alias("key"), _scanner(_filled(terms))(text).alias("s"))
     scanned = materialize(found.select("doc_id", "key", "s.base", "s.hits"), "pii-spans")
@@ -307,12 +311,19 @@ def _rewrite(texts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[p
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with text rewritten, all rows kept; null text stays null. Texts meet their spans by key, one row of each on the other side."""
+    """docs with text rewritten, all rows kept; null text stays null, and empty text empty. Equal texts are rewritten alike.
+
+    Texts that may have spans meet them by a digest, one row of each on the other side; all others stay where they lie. Columns of any name pass through; an empty
+    table stays empty.
+    """
     scanned, added = find(docs)
-    spans = scanned.where(F.size("base") > 0).groupBy("key").agg(F.first("base").alias("_pii_base"))
-    both = spans.join(added, "key", "full").select(F.col("key").alias("_pii_key"), "_pii_base", F.col("terms").alias("_pii_terms"))
-    own = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(both, own == F.col("_pii_key"), "left")
-    touched = F.col("_pii_base").isNotNull() | F.col("_pii_terms").isNotNull()
-    text = F.when(touched, _rewrite("text", "_pii_base", "_pii_terms")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    own, base, terms = (unused(docs, c) for c in ("pii_key", "pii_base", "pii_terms"))
+    spans = scanned.where(F.size("base") > 0).groupBy("key").agg(F.first("base").alias("base"))
+    both = materialize(spans.join(added, "key", "full"), "pii-rewrites")
+    digest = F.md5(F.coalesce(docs["text"], F.lit("")))
+    clean, rest = parted(docs, digest, both, both.count())
+    both = both.select(F.col("key").alias(own), F.col("base").alias(base), F.col("terms").alias(terms))
+    joined = rest.join(both, F.md5(F.coalesce(rest["text"], F.lit(""))) == both[own], "left")
+    touched = F.col(base).isNotNull() | F.col(terms).isNotNull()
+    text = F.when(touched, _rewrite("text", base, terms)).otherwise(F.col("text"))
+    return clean.unionByName(joined.withColumn("text", text).select(*docs.columns))

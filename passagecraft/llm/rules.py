@@ -8,14 +8,14 @@ conditional expression.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import unused, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -42,12 +42,37 @@ def _repeated(hashes: Column, n_words: Column) -> Column:
     return F.when((n_words > WINDOW) & (F.size(F.array_distinct(hashes)) < n), slow).otherwise(0).cast("long")
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs and, in a column ``_q``, the statistics of each whole text; those of a null text are those of an empty one."""
-    text, w = F.coalesce(F.col("text"), F.lit("")), F.col("_q_words")
-    windows = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    made = docs.withColumn("_q_words", words(F.col("text"))).withColumns({"_q_windows": windows, "_q_lines": lines})
+def _bound(c: Column, made: Callable[[Column], Column]) -> Column:
+    """made(c), where c is computed once however often it is used."""
+    return F.transform(F.array(c), lambda x: made(x))[0]
+
+
+def window_hashes(hashes: Column, n: Column) -> Column:
+    """A hash of every WINDOW neighbours of ``hashes``, n of them, by doubling: of two, of four, of eight."""
+
+    def doubled(x: Column, step: int) -> Column:
+        beside = F.slice(x, 1 + step, F.greatest(F.size(x) - step, F.lit(0)))
+        return F.zip_with(x, beside, lambda a, b: F.xxhash64(a, b))
+
+    out = hashes
+    for step in (1, 2, 4):
+        # bound as an element, as a column that is used twice would be made twice
+        out = _bound(out, lambda x, n=step: doubled(x, n))
+    return F.when(n >= WINDOW, F.slice(out, 1, F.greatest(n - (WINDOW - 1), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def with_statistics(docs: DataFrame, into: str = "stats") -> DataFrame:
+    """docs and, in a column ``into``, the statistics of each whole text; those of a null text are those of an empty one.
+
+    A column of that name is replaced, and all others pass through, whatever their names. Repeated rows have equal
+    statistics; an empty table stays empty.
+    """
+    docs = docs.drop(into)
+    named = {k: unused(docs, k) for k in ("words", "hashes", "windows", "lines")}
+    text, w, h, lines = F.coalesce(F.col("text"), F.lit("")), F.col(named["words"]), F.col(named["hashes"]), F.col(named["lines"])
+    made = docs.withColumns({named["words"]: words(F.col("text")), named["lines"]: F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))})
+    made = made.withColumn(named["hashes"], F.transform(w, lambda x: F.xxhash64(x)))
+    made = made.withColumn(named["windows"], window_hashes(h, F.size(w)))
     chars = F.length(F.array_join(w, ""))
     # a generator, so that no later use of a statistic computes it anew
     stats = F.array(
@@ -55,15 +80,15 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             F.size(w).cast("long").alias("n_words"),
             chars.cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
-            _repeated(F.col("_q_windows"), F.size(w)).alias("n_repeat_words"),
-            F.size("_q_lines").alias("n_lines"),
-            F.size(F.array_distinct(w)).alias("n_distinct"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _repeated(F.col(named["windows"]), F.size(w)).alias("n_repeat_words"),
+            F.size(lines).alias("n_lines"),
+            F.size(F.array_distinct(h)).alias("n_distinct"),
             F.regexp_count(text, F.lit(r"[!?]")).alias("n_marks"),
             F.regexp_count(text, F.lit(r"[0-9]")).alias("n_digits"),
         ),
     )
-    return made.select(*docs.columns, F.explode(stats).alias("_q"))
+    return made.select(*docs.columns, F.explode(stats).alias(into))
 
 
 def base_failed(q: Column) -> Column:
@@ -182,21 +207,22 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
 
     At most ``max_labelled`` labelled rows are used; that many and no more are sent to all executors and to the driver.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q_label"))
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     stats = with_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
-    made = features(F.col("_q"))
-    rows = stats.where(~base_failed(F.col("_q"))).orderBy(F.xxhash64("doc_id"), "doc_id", *(made[f] for f in FEATURES)).limit(max_labelled)
-    found = rows.select("_q_label", *(made[f].alias(f) for f in FEATURES)).collect()
+    made = features(F.col("stats"))
+    rows = stats.where(~base_failed(F.col("stats"))).orderBy(F.xxhash64("doc_id"), "doc_id", *(made[f] for f in FEATURES)).limit(max_labelled)
+    found = rows.select("label", *(made[f].alias(f) for f in FEATURES)).collect()
     x = np.array([r[1:] for r in found], float).reshape(-1, len(FEATURES))
     return learn(x, np.array([r[0] == 0 for r in found], bool), **how)
 
 
 def assess(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """docs with ``_q`` (statistics), ``_q_base_failed``, ``_q_rule`` (the rule that rejects, else null) and ``_q_kept``.
+    """docs with stats (the statistics), base_failed, rule (the rule that rejects, else null) and kept; columns of these names are replaced.
 
-    Null or empty text fails for want of words. Each row is judged by itself, so ties and repeats are judged alike.
+    Null or empty text fails for want of words. Each row is judged by itself, so ties and repeats are judged alike. An
+    empty table stays empty.
     """
-    out = with_statistics(docs).withColumn("_q_base_failed", base_failed(F.col("_q")))
-    out = out.withColumn("_q_rule", rules.verdict(F.col("_q")))
-    return out.withColumn("_q_kept", ~F.col("_q_base_failed") & F.col("_q_rule").isNull())
+    out = with_statistics(docs.drop("base_failed", "rule", "kept"))
+    q = F.col("stats")
+    return out.withColumns({"base_failed": base_failed(q), "rule": rules.verdict(q)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -15,7 +15,7 @@ def corpus(n=900, seed=1):
     for i in range(n):
         lang = rnd.choice(list(SYLLABLES))
         text = " ".join("".join(rnd.choice(SYLLABLES[lang].split()) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(1, 80)))
-        out.append(Row(doc_id=i, text=text, lang=lang, _lang_clash="x"))
+        out.append(Row(doc_id=i, text=text, lang=lang, predicted="x"))
     return out
 
 
@@ -24,7 +24,7 @@ def test_held_out_accuracy(spark):
     df = spark.createDataFrame(rows)
     model = langid.fit(df, max_labelled=500)
     assert model.families == ["germanic", "other", "romance", "slavic"] and len(model.pairs) == 2
-    got = langid.identify(df, model).select("doc_id", "lang", "text", langid.held_out(F.col("doc_id")).alias("h"), "_lang.*").toDF("doc_id", "lang", "text", "h", "pred", "score").collect()
+    got = langid.identify(df, model).select("doc_id", "lang", "text", langid.held_out(F.col("doc_id")).alias("h"), "predicted.*").toDF("doc_id", "lang", "text", "h", "pred", "score").collect()
     for r in got:
         assert r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
     held = [r for r in got if r.h and len(r.text) > 30]
@@ -44,12 +44,12 @@ def test_odd_texts(spark):
     texts = [None, "", "1234 .!", "the", "x" * 3_000_000, "the the", "the the", "\U00010400", "𝟘 \ud800".encode("utf-8", "replace").decode()]
     df = spark.createDataFrame([Row(doc_id=None, text=t, source="s") for t in texts], "doc_id long, text string, source string")
     got = langid.identify(df, model).collect()
-    assert [r._lang.lang == "und" for r in got] == [True, True, True, False, False, False, False, False, True]
-    assert got[5]._lang == got[6]._lang and got[0]._lang.score == 0
+    assert [r.predicted.lang == "und" for r in got] == [True, True, True, False, False, False, False, False, True]
+    assert got[5].predicted == got[6].predicted and got[0].predicted.score == 0
     none = langid.identify(df, langid.fit(df.withColumn("lang", F.lit(None).cast("string"))))
-    assert {r._lang.lang for r in none.collect()} == {"und"}
+    assert {r.predicted.lang for r in none.collect()} == {"und"}
     one = langid.fit(spark.createDataFrame([(1, "hello there", "en")], "doc_id long, text string, lang string"))
-    assert langid.identify(df, one).collect()[3]._lang.lang == "en"
+    assert langid.identify(df, one).collect()[3].predicted.lang == "en"
 
 
 def test_pieces_of_a_long_text_add_up(monkeypatch):

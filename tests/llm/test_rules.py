@@ -25,8 +25,8 @@ def test_statistics_against_brute_force(spark):
     rnd = random.Random(9)
     parts = ["a", "bb", " ", "  ", "\n", "\t", "é", "#", "a b c d e f g h ", "a b c d e f g h i\n", "\xa0", "|", "z\r"]
     texts = [None, "", " ", "x", "a " * 7, "a " * 8, "a " * 9, "a " * 30_000] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 80))) for _ in range(300)]
-    df = spark.createDataFrame([(i if i % 3 else None, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, _clash string")
-    for r in rules.with_statistics(df).select("text", "_q.*").collect():
+    df = spark.createDataFrame([(i if i % 3 else None, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, words string")
+    for r in rules.with_statistics(df).select("text", "stats.*").collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain(r.text), r.text
     assert rules.with_statistics(df.limit(0)).count() == 0
 
@@ -50,22 +50,22 @@ def test_learns_and_keeps(spark):
     docs, labels = corpus(spark)
     found = rules.learn_from(docs, labels, max_labelled=400)
     assert found.rules
-    got = rules.assess(docs, found).select("doc_id", "_q_kept", "_q_rule", "_q_base_failed").collect()
-    right = sum(r._q_kept == (r.doc_id % 5 != 0) for r in got)
+    got = rules.assess(docs, found).select("doc_id", "kept", "rule", "base_failed").collect()
+    right = sum(r.kept == (r.doc_id % 5 != 0) for r in got)
     assert right >= 0.97 * len(got)
     plan = rules.assess(docs, found)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     # rules say in SQL what they say in Python
     stats = rules.with_statistics(docs)
-    made = rules.features(F.col("_q"))
+    made = rules.features(F.col("stats"))
     x = np.array([list(r) for r in stats.select(*(made[f] for f in rules.FEATURES), F.col("doc_id")).collect()])
     hit = {int(r[-1]) for r, h in zip(x, np.any([rules._cover(rule, x[:, :-1]) for rule in found.rules], axis=0), strict=True) if h}
-    assert {r.doc_id for r in got if r._q_rule is not None} == hit
+    assert {r.doc_id for r in got if r.rule is not None} == hit
 
 
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "w " * 40), (2, None), (3, "one two three"), (4, " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
     none = rules.learn_from(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert list(none.rules) == []
-    got = {r.doc_id: (r._q_base_failed, r._q_kept) for r in rules.assess(docs, none).collect()}
+    got = {r.doc_id: (r.base_failed, r.kept) for r in rules.assess(docs, none).collect()}
     assert got == {1: (True, False), 2: (True, False), 3: (True, False), 4: (False, True)}
