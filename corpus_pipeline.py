@@ -9,35 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagecraft.llm import langid, mixing, packing, pii, simhash
-from passagecraft.llm.common import materialize, table
-
-#: A language less sure than this is no language; even texts of one word reach it.
-LEAST_SCORE = 0.2
+from passagecraft.llm.common import materialize, small_batches, table, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what is in a language that can be told; lang becomes the predicted one."""
-    found = langid.identify(docs, langid.fit(docs)).where((F.col("_lang.lang") != langid.UNKNOWN) & (F.col("_lang.score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.col("_lang.lang")).select(*docs.columns)
+    """Keeps what is in a language that can be told; lang becomes the predicted one.
+
+    A null or empty text, and one without a letter, is in none and goes. Where nothing can be learned, as from an empty
+    table, nothing stays. Repeated rows are judged alike, and columns of any name pass through.
+    """
+    small_batches(spark)
+    told = unused(docs, "told")
+    found = langid.identify(docs, langid.fit(docs), told).where(F.col(told)["lang"] != langid.UNKNOWN)
+    return found.withColumn("lang", F.col(told)["lang"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group."""
+    """Keeps one document of each group, as simhash.keep_one() says for ties, nulls and repeated rows."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document, with personal data replaced and n_chars counted anew."""
+    """Keeps every document, with personal data replaced and n_chars counted anew; null text stays null, with null n_chars."""
+    small_batches(spark)
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; one with null or empty text has no words, and its source says how often."""
     return mixing.mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and where they stand."""
+    """The pieces of all documents and where they stand; a document of null or empty text is one piece, the id that ends it."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
