@@ -62,10 +62,12 @@ class Tables:
     def __init__(self) -> None:
         self.paths: list[tuple[SparkSession, str]] = []
 
-    def keep(self, df: DataFrame, what: str) -> DataFrame:
-        """df, written and read back."""
+    def keep(self, df: DataFrame, what: str, narrow: bool = True) -> DataFrame:
+        """df, written and read back. One without texts is shuffled into files of a good size: many tasks often make little."""
         spark, path = df.sparkSession, scratch(df.sparkSession, what)
-        df.write.option("compression", "zstd").parquet(path)
+        df = df.hint("rebalance") if narrow else df
+        # the table counts as soon as this returns, so it needs no marker
+        df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         delete_at_end(spark, path)
         self.paths.append((spark, path))
         return spark.read.schema(df.schema).parquet(path)
@@ -75,9 +77,9 @@ class Tables:
             delete(*self.paths.pop())
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, narrow: bool = True) -> DataFrame:
     """df, written as a table to the shared folder and read back; the table is there until the driver ends."""
-    return Tables().keep(df, what)
+    return Tables().keep(df, what, narrow)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

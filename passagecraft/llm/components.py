@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .common import Tables
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every upper end has one lower end, which is no upper end itself."""
+    upper = edges.groupBy(F.col("hi").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    return upper.where("n > 1").isEmpty() and edges.join(upper, edges["lo"] == upper["u"], "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,8 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     some = edges.where(F.col("a") != F.col("b"))
     kept = Tables()
     now = kept.keep(some.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    before = _fingerprint(now)
-    while before[0]:
+    while not _are_stars(now):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -35,8 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         now = new.keep(small.where("hi != lo").distinct(), "edges")
         kept.release()
         kept = new
-        after = _fingerprint(now)
-        if after == before:
-            break
-        before = after
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

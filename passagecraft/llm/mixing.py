@@ -99,7 +99,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, max_r
 def allotment(docs: DataFrame, seed: int = 17) -> DataFrame:
     """Per document of docs: doc_id, size, source_size, target, taken. Reads each text once: the sizes are kept as a table."""
     sized = docs.select("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")).alias("text"), "source", size_of(F.col("text")).alias("_size"))
-    kept = with_copies(materialize(sized, "mix-sizes"), seed, size=F.col("_size"))
+    kept = with_copies(materialize(sized, "mix-sizes", narrow=False), seed, size=F.col("_size"))
     return kept.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken")
     )

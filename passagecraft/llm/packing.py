@@ -213,7 +213,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     definition = spark.sparkContext.broadcast(definition_of(path))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long, doc_tokens long, crcs array<long>, rest int, rest_crc long, rest_ids binary, id_bytes int, salt int"
-    made = materialize(some.mapInArrow(_tokenize(definition, path, window), kind), "packed-ids")
+    made = materialize(some.mapInArrow(_tokenize(definition, path, window), kind), "packed-ids", narrow=False)
     buckets = cells(made.count(), BUCKET_ROWS, BUCKETS)
     made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "rest_crc", "doc_tokens", "salt"), F.lit(buckets)))
     sums = materialize(made.groupBy("rest", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("crcs")).alias("n_full")), "packed-sums")

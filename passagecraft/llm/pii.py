@@ -326,4 +326,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
     joined = rest.join(both, F.md5(F.coalesce(rest["text"], F.lit(""))) == both[own], "left")
     touched = F.col(base).isNotNull() | F.col(terms).isNotNull()
     text = F.when(touched, _rewrite("text", base, terms)).otherwise(F.col("text"))
-    return clean.unionByName(joined.withColumn("text", text).select(*docs.columns))
+    return clean.unionByName(joined.withColumn("text", text).select(*docs.columns).hint("rebalance"))

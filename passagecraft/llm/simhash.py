@@ -170,21 +170,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = tables.keep(docs.select("doc_id", fingerprint("text").alias("fp")), "fingerprints")
     best = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "fp"))
     won = rooted(marked).groupBy("root").agg(best.alias("w")).select(F.col("w.doc_id").alias("won"), F.col("w.fp").alias("won_fp"))
+    won = Tables().keep(won, "winners")
     per = marked.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
-    judged = per.join(won, (per["fp"] == won["won_fp"]) & per["doc_id"].eqNullSafe(won["won"]), "left").select("doc_id", "fp", "n", F.col("won_fp").isNotNull().alias("stays"))
-    judged = Tables().keep(judged, "judged")
-    tables.release()
+    judged = per.join(won, (per["fp"] == won["won_fp"]) & per["doc_id"].eqNullSafe(won["won"]), "left").select("doc_id", "n", F.col("won_fp").isNotNull().alias("stays"))
     ids = judged.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays"))
     special = Tables().keep(ids.where(~(F.col("stays") & (F.col("n") == 1))).select(F.col("doc_id").alias("key"), (F.col("n") > 1).alias("again")), "judged-ids")
+    tables.release()
     # rows whose doc_id is surely not among those stay where they lie; the others meet them
     kept, rest = parted(docs, docs["doc_id"], special, special.count())
-    kept = kept.unionByName(rest.join(special, rest["doc_id"].eqNullSafe(special["key"]), "left_anti"))
+    # of those few stay, so they go on in few tasks
+    kept = kept.unionByName(rest.join(special, rest["doc_id"].eqNullSafe(special["key"]), "left_anti").hint("rebalance"))
     again = special.where("again").select("key")
     if again.isEmpty():
         return kept
     fp = unused(docs, "fp")
     some = docs.join(again, docs["doc_id"].eqNullSafe(again["key"]), "left_semi").withColumn(fp, fingerprint("text"))
-    won = judged.where("stays").select(F.col("doc_id").alias("won"), F.col("fp").alias("won_fp"))
     some = some.join(won, some["doc_id"].eqNullSafe(won["won"]) & (some[fp] == won["won_fp"]), "left_semi")
     row = F.struct(*(some[c] for c in docs.columns))
     one = some.groupBy(some["doc_id"], some[fp]).agg(F.min_by(row, F.struct(F.coalesce(some["text"], F.lit("")), F.to_json(row))).alias("row"))
