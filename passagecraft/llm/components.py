@@ -10,8 +10,9 @@ from .common import Tables
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every upper end has one lower end, which is no upper end itself."""
-    upper = edges.groupBy(F.col("hi").alias("u")).agg(F.count(F.lit(1)).alias("n"))
-    return upper.where("n > 1").isEmpty() and edges.join(upper, edges["lo"] == upper["u"], "left_semi").isEmpty()
+    ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up")).unionByName(edges.select(F.col("lo").alias("u"), F.lit(0).alias("up")))
+    seen = ends.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.where("ups > 1 or ups = 1 and least = 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:

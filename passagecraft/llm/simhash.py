@@ -177,12 +177,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     special = Tables().keep(ids.where(~(F.col("stays") & (F.col("n") == 1))).select(F.col("doc_id").alias("key"), (F.col("n") > 1).alias("again")), "judged-ids")
     tables.release()
     # rows whose doc_id is surely not among those stay where they lie; the others meet them
-    kept, rest = parted(docs, docs["doc_id"], special, special.count())
+    n, repeated = special.agg(F.count(F.lit(1)), F.coalesce(F.max("again"), F.lit(False))).first()
+    kept, rest = parted(docs, docs["doc_id"], special, n)
     # of those few stay, so they go on in few tasks
     kept = kept.unionByName(rest.join(special, rest["doc_id"].eqNullSafe(special["key"]), "left_anti").hint("rebalance"))
-    again = special.where("again").select("key")
-    if again.isEmpty():
+    if not repeated:
         return kept
+    again = special.where("again").select("key")
     fp = unused(docs, "fp")
     some = docs.join(again, docs["doc_id"].eqNullSafe(again["key"]), "left_semi").withColumn(fp, fingerprint("text"))
     some = some.join(won, some["doc_id"].eqNullSafe(won["won"]) & (some[fp] == won["won_fp"]), "left_semi")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -46,7 +47,7 @@ def test_report_and_terms(spark):
         r, spans = got[i if i else None], plain_spans(t or "")
         said = ",".join(f"{list(PATTERNS)[k]}:{s}:{e}" for s, k, e in spans)
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
-        assert r.n_email == sum(k == 0 for _, k, _ in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == n for _, k, _ in spans) for n in range(4))
         assert set(said.split(",")) - {""} <= set(r.spans.split(","))
     assert got[6].spans == "term:0:7"  # the name alone gives the address away
     assert "term" not in got[9].spans and "term" not in got[20].spans
@@ -72,3 +73,40 @@ def test_terms_of_whole_texts(spark):
     assert {r.doc_id: r.spans for r in pii.report(more).collect()}[90] == "term:0:6"
     common = spark.createDataFrame([Row(doc_id=i, text=f"Footer word{i} mail help@corp.example.com now") for i in range(30)])
     assert "footer" not in {r.term for r in pii.disclosing(common).collect()}  # in every text: tells nothing
+
+
+def test_disclosure_against_a_plain_estimate(spark):
+    rnd = random.Random(12)
+    names, usual = [f"Name{chr(97 + i)}x" for i in range(12)], [f"usual{chr(97 + i)}" for i in range(20)]
+    texts = []
+    for i in range(700):
+        words = [rnd.choice(usual) for _ in range(rnd.randint(5, 25))]
+        if i % 3 == 0:
+            k = rnd.randrange(12)
+            words.insert(rnd.randrange(len(words)), names[k] if rnd.random() < 0.9 else rnd.choice(names))
+            if rnd.random() < 0.2 + 0.06 * k:
+                words.insert(rnd.randrange(len(words)), f"u{k}@corp.example.com")
+        texts.append(" ".join(words) + ".")
+    df = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(texts)])
+    terms_of = [set(re.findall(r"[a-z]{3,}", re.sub(r"\S+@\S+", " ", t.lower()))) for t in texts]
+    want = {}
+    for k in range(12):
+        mail = f"u{k}@corp.example.com"
+        having, contexts = [], {}
+        for i, t in enumerate(texts):
+            at = t[:-1].split(" ")
+            if mail in at:
+                having.append(i)
+                p = at.index(mail)
+                around = " ".join(w.lower() for w in at[max(0, p - 5) : p] + at[p + 1 : p + 6])
+                contexts[i] = around
+        for term in set().union(*(terms_of[i] for i in having)) if having else ():
+            holding = [i for i in having if term in terms_of[i]]
+            n = len({contexts[i] for i in holding})
+            if n < 2 or len(set(contexts.values())) < 2:
+                continue
+            share = len(holding) / sum(term in x for x in terms_of) * n / (n + 1)
+            own = math.log2(len(texts) / len(having))
+            if share >= 0.5 and math.log2(share) + own >= 0.5 * own:
+                want[term] = want.get(term, False) or share >= 0.9
+    assert want and {r.term: r.removed for r in pii.disclosing(df).collect()} == want

@@ -55,6 +55,20 @@ def test_learns_and_keeps(spark):
     assert right >= 0.97 * len(got)
     plan = rules.assess(docs, found)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    # the verdict by a plain reading of the rules' own text, over statistics counted without the operator
+    for r in rules.assess(docs, found).select("doc_id", "text", "kept", "rule").collect():
+        n_words, chars, symbols, dup_lines, repeats = plain(r.text)
+        lines = [x for x in r.text.split("\n") if x.strip()]
+        value = {
+            "n_words": n_words, "word_length": chars / n_words, "symbol_share": symbols / chars, "dup_line_share": dup_lines / len(lines), "repeat_share": repeats / n_words,
+            "distinct_share": len(set(r.text.split())) / n_words, "mark_share": sum(map(r.text.count, "!?")) / chars, "digit_share": sum(c.isdigit() for c in r.text) / chars,
+        }
+        says = None
+        for rule in found.rules:
+            if says is None and all(value[c.feature] > c.bound if c.above else value[c.feature] <= c.bound for c in rule):
+                says = " and ".join(map(str, rule))
+        assert r.rule == says
+        assert r.kept == (says is None and n_words >= 20 and 100 * repeats <= 30 * n_words)
     # rules say in SQL what they say in Python
     stats = rules.with_statistics(docs)
     made = rules.features(F.col("stats"))
