@@ -198,8 +198,8 @@ def sentence_atoms(spark, sf_dir):
     return marked_up(spark, sf_dir).select("doc_id", F.posexplode(chunking.atoms(F.col("text"))).alias("nth", "atom"))
 
 
-def _packed_sql(size: int, overlap: int) -> str:
-    """One section packed, as a fold over its atoms; the texts have no heading, so they are one section."""
+def _packed_cte(source: str, size: int, overlap: int) -> str:
+    """What texts over the size are packed into, as a fold over the atoms of source(doc_id, text): cut(doc_id, p, i)."""
     strip = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
     done = strip.format("s.buf")
     keep = f"right({done}, {overlap})" if overlap else "''"
@@ -207,18 +207,23 @@ def _packed_sql(size: int, overlap: int) -> str:
     at = f"CASE WHEN regexp_matches(s.buf, '\\S') THEN s.at + length({done}) - length({keep}) ELSE s.at END"
     step = size - overlap
     hard = f"list_transform(range(0, greatest(0, ceil((length(a.text) - {size}) / {step}.0)::BIGINT) * {step} + 1, {step}), lambda k: {{'at': {at}, 'text': substr(a.text, k + 1, {size})}})"
-    return f"""
-WITH {ATOMS_SQL.format(source="documents")},
+    return f"""{ATOMS_SQL.format(source=source)},
 listed AS (SELECT doc_id, list({{'out': []::STRUCT("at" BIGINT, "text" VARCHAR)[], 'buf': '', 'n': 0::BIGINT, 'at': 0::BIGINT, 'text': atom}} ORDER BY nth) AS l FROM atoms GROUP BY doc_id),
 folded AS (SELECT doc_id, list_reduce(l, lambda s, a: CASE
   WHEN length(a.text) > {size} THEN {{'out': list_concat({closed}, {hard}), 'buf': CASE WHEN regexp_matches(s.buf, '\\S') THEN {keep} ELSE '' END, 'n': CASE WHEN regexp_matches(s.buf, '\\S') THEN length({keep}) ELSE 0 END, 'at': {at} + length(a.text), 'text': ''}}
   WHEN s.n > 0 AND s.n + length(a.text) + 1 > {size} THEN {{'out': {closed}, 'buf': CASE WHEN regexp_matches(s.buf, '\\S') THEN {keep} ELSE '' END || CASE WHEN regexp_matches(s.buf, '\\S') AND {overlap} > 0 THEN chr(10) ELSE '' END || a.text, 'n': CASE WHEN regexp_matches(s.buf, '\\S') THEN length({keep}) ELSE 0 END + length(a.text) + 1, 'at': {at}, 'text': ''}}
   ELSE {{'out': s.out, 'buf': CASE WHEN s.n > 0 THEN s.buf || chr(10) || a.text ELSE a.text END, 'n': s.n + length(a.text) + 1, 'at': s.at, 'text': ''}} END,
   {{'out': []::STRUCT("at" BIGINT, "text" VARCHAR)[], 'buf': '', 'n': 0::BIGINT, 'at': 0::BIGINT, 'text': ''}}) AS s FROM listed),
-pieces AS (
-  SELECT doc_id, unnest({closed}) AS p, generate_subscripts({closed}, 1) AS i FROM folded JOIN documents USING (doc_id) WHERE length(documents.text) > {size}
-  UNION ALL SELECT doc_id, {{'at': 0::BIGINT, 'text': {strip.format("text")}}}, 1 FROM documents WHERE length(text) <= {size}
-)
+packed AS (SELECT doc_id, unnest({closed}) AS p, generate_subscripts({closed}, 1) AS i FROM folded JOIN {source} USING (doc_id) WHERE length({source}.text) > {size})"""
+
+
+_STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+def _packed_sql(size: int, overlap: int) -> str:
+    """Texts without a heading, which are one section each."""
+    return f"""WITH {_packed_cte("documents", size, overlap)},
+pieces AS (SELECT doc_id, p, i FROM packed UNION ALL SELECT doc_id, {{'at': 0::BIGINT, 'text': {_STRIPPED}}}, 1 FROM documents WHERE length(text) <= {size})
 SELECT doc_id::VARCHAR AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index, p.at::INTEGER AS char_start, (p.at + length(p.text))::INTEGER AS char_end, length(p.text)::INTEGER AS n_chars, md5(p.text) AS digest
 FROM pieces WHERE regexp_matches(p.text, '\\S')"""
 
@@ -233,22 +238,28 @@ def pack_recursive_800_0(spark, sf_dir):
     return _digest(chunking.chunk(documents(spark, sf_dir), ChunkConfig("recursive", 800, 0)))
 
 
-@query()
-def chunk_heading_2000_0(spark, sf_dir):
-    return chunking.chunk(marked_up(spark, sf_dir), ChunkConfig("heading", 2000, 0)).select("chunk_id", "section", "label", "char_start", "n_chars", F.md5("embed_text").alias("digest"))
-
-
 SECTIONS_SQL = f"""{MARKED_SQL},
-lines AS (SELECT doc_id, text, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+text_lines AS (SELECT doc_id, text, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM marked)),
 heads AS (SELECT doc_id, text, pos, length(regexp_extract(line, '^(#{{1,6}})\\s', 1)) AS level, trim(regexp_extract(line, '^#{{1,6}}\\s+(.*)$', 1)) AS heading,
-  lead(pos, 1, length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM lines WHERE regexp_matches(line, '^#{{1,6}}\\s')),
+  lead(pos, 1, length(text)) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM text_lines WHERE regexp_matches(line, '^#{{1,6}}\\s')),
 named AS (SELECT h.doc_id, h.pos AS start, (SELECT string_agg(u.heading, ' > ' ORDER BY u.level) FROM heads u WHERE u.doc_id = h.doc_id AND u.pos <= h.pos AND NOT EXISTS (
     SELECT 1 FROM heads v WHERE v.doc_id = u.doc_id AND v.pos > u.pos AND v.pos <= h.pos AND v.level <= u.level)) AS section,
   regexp_replace(substr(h.text, h.pos + 1, h.nxt - h.pos), '^\\s+|\\s+$', '', 'g') AS body FROM heads h
   UNION ALL SELECT doc_id, 0, '', substr(text, 1, (SELECT min(pos) FROM heads h WHERE h.doc_id = marked.doc_id)) FROM marked)"""
 
 
+@query(f"""WITH {SECTIONS_SQL},
+secs AS (SELECT row_number() OVER (ORDER BY doc_id, start) AS doc_id, doc_id AS real_id, start, section, body AS text FROM named),
+{_packed_cte("secs", 2000, 0)},
+pieces AS (SELECT doc_id, p, i FROM packed UNION ALL SELECT doc_id, {{'at': 0::BIGINT, 'text': text}}, 1 FROM secs WHERE length(text) <= 2000),
+chunks AS (SELECT s.real_id, s.section, s.start + x.p.at AS char_start, x.p.text AS text, row_number() OVER (PARTITION BY s.real_id ORDER BY s.start, x.i) - 1 AS nth, concat_ws(' > ', 'Document ' || s.real_id, nullif(s.section, '')) AS label
+  FROM pieces x JOIN secs s USING (doc_id) WHERE regexp_matches(x.p.text, '\\S'))
+SELECT real_id || '::' || nth AS chunk_id, section, label, char_start::INTEGER AS char_start, length(text)::INTEGER AS n_chars, md5('[' || label || ']' || chr(10) || text) AS digest FROM chunks""")
+def chunk_heading_2000_0(spark, sf_dir):
+    return chunking.chunk(marked_up(spark, sf_dir), ChunkConfig("heading", 2000, 0)).select("chunk_id", "section", "label", "char_start", "n_chars", F.md5("embed_text").alias("digest"))
+
+
 @query(f"WITH {SECTIONS_SQL} SELECT doc_id, start::INTEGER AS start, section, md5(body) AS digest FROM named")
 def sections_trail(spark, sf_dir):
     return marked_up(spark, sf_dir).select("doc_id", F.inline(chunking.sections(F.col("text")))).select("doc_id", "start", "section", F.md5("text").alias("digest"))
