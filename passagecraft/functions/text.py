@@ -22,6 +22,13 @@ def is_blank(c: Column) -> Column:
     return strip(c) == ""
 
 
+def title_case(c: Column) -> Column:
+    """Each run of letters with a case begins with a capital and goes on in lower case; digits and apostrophes end a run, too."""
+    cased = r"[\p{Lu}\p{Ll}\p{Lt}]+"
+    runs = F.regexp_extract_all(c, F.lit(rf"{cased}|{cased.replace('[', '[^', 1)}"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
+
+
 def or_default(c: Column, default: Column | str) -> Column:
     """The default where c is null or empty."""
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default) if isinstance(default, str) else default)

@@ -365,7 +365,7 @@ def html_text(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", markup.read("html")["text"].alias("text"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS title FROM pages")
+@query("SELECT page_id, regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS title FROM pages")
 def html_title(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.coalesce(markup.read("html")["meta"]["title"], F.lit("")).alias("title"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagecraft.functions.text import is_blank
+from passagecraft.functions.text import is_blank, title_case
 from passagecraft.schema import KNOWN_KEYS
 
 # Formats by suffix, and the file of a corpus that holds metadata for others.
@@ -47,7 +47,7 @@ def defaults(path: Column, meta: Column, root: str = "") -> dict[str, Column]:
     relative = F.when(F.lit(bool(root)) & path.startswith(root), F.substring(path, len(root) + 1, 1 << 30)).otherwise(path)
     own = {
         "document_id": F.upper(stem),
-        "title": F.initcap(F.translate(stem, "-_", "  ")),
+        "title": title_case(F.translate(stem, "-_", "  ")),
         "doc_type": folder,
         "effective_date": F.lit(""),
         "source_url": path,
@@ -87,7 +87,7 @@ def _parse_text(kind: str, raw: bytes) -> tuple[str, dict]:
 
     from passagecraft.sources.markup import parse as parse_html
 
-    text = raw.decode("utf-8", "replace").replace("\r\n", "\n")
+    text = raw.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
     if kind == "html":
         return parse_html(text)
     m = re.match(FRONT_MATTER, text)

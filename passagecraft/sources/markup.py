@@ -44,8 +44,8 @@ class Node:
         return node is not None
 
     def words(self) -> str:
-        """All text below, with white space as one space."""
-        return " ".join(" ".join(n.text for n in self.walk() if n.name == "#").split())
+        """All pieces of text below without white space at their ends, joined by a space; what is inside a piece stays as it is."""
+        return " ".join(t for n in self.walk() if n.name == "#" and (t := n.text.strip()))
 
     def cells(self) -> Iterator[str]:
         for row in self.walk():
@@ -64,7 +64,7 @@ class _Tree(HTMLParser):
         if tag == "meta":
             values = dict(attrs)
             if values.get("name") and values.get("content"):
-                self.meta[values["name"].lower()] = values["content"]
+                self.meta[values["name"]] = values["content"]
         if tag not in _VOID:
             self.here = node
 
@@ -81,9 +81,20 @@ class _Tree(HTMLParser):
             self.here = node.parent
 
     def handle_data(self, data):
-        if self.here.name not in ("script", "style"):
+        last = self.here.children[-1] if self.here.children else None
+        if self.here.name in ("script", "style"):
+            return
+        if last is not None and last.name == "#":
+            last.text += data
+        else:
             Node("#", self.here, data)
 
+    def apart(self, data):
+        """Comments and the like are no text, but part the pieces beside them."""
+        Node("#apart", self.here)
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = apart
+
 
 def parse(page: str) -> tuple[str, dict[str, str]]:
     """Text and metadata of a page: the main element, else the body, else all of it, without chrome."""
@@ -92,8 +103,8 @@ def parse(page: str) -> tuple[str, dict[str, str]]:
     tree.close()
     meta = dict(tree.meta)
     title = tree.root.first("title")
-    if title is not None and "title" not in meta and title.words():
-        meta["title"] = title.words()
+    if title is not None and len(title.children) == 1 and title.children[0].text.strip():
+        meta.setdefault("title", title.children[0].text.strip())
     for node in list(tree.root.walk()):
         if node.name in _CHROME and node.parent is not None:
             node.parent.children.remove(node)

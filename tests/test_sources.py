@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from passagecraft.functions import text as tx
 from passagecraft.sources import files, markup, pages
 
-PAGE = """<html><head><meta name="Effective_Date" content="2026-01-02"><title>A  page</title></head><body><nav><li>menu</li></nav>
+PAGE = """<html><head><meta name="effective_date" content="2026-01-02"><meta name="Author" content="A. B"><title>A  page</title></head><body><nav><li>menu</li></nav>
 <blockquote>outside</blockquote><main><h1>Top</h1><p>One <b>two</b>\n three</p><div>lost</div><ul><li>item</li></ul>
 <table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td><p>2</p></td></tr></table><h2>Next</h2><p></p></main><footer>foot</footer></body></html>"""
 
@@ -11,9 +11,12 @@ PAGE = """<html><head><meta name="Effective_Date" content="2026-01-02"><title>A
 def test_html():
     text, meta = markup.parse(PAGE)
     assert text == "# Top\n\nOne two three\n- item\n\na | b\n1 | 2\n\n\n## Next".replace("\n\n\n", "\n\n")
-    assert meta == {"effective_date": "2026-01-02", "title": "A page"}
+    assert meta == {"effective_date": "2026-01-02", "Author": "A. B", "title": "A  page"}
     assert markup.parse("") == ("", {})
-    assert markup.parse("<p>one<p>two")[0] == "onetwo\ntwo" or "two" in markup.parse("<p>one<p>two")[0]
+    assert markup.parse("<p>one<p>two")[0] == "one two\ntwo"
+    assert markup.parse("<p> a\n  b <i>c  d</i><!-- x -->e &lt; 5 &amp; f</p>")[0] == "a\n  b c  d e < 5 & f"
+    assert markup.parse("<li></li><h2> </h2>")[0] == "- \n\n##"
+    assert markup.parse("<title></title><title>Second</title>")[1] == {}
 
 
 def test_promote(spark):
@@ -55,6 +58,12 @@ def test_questions(spark):
     assert q[0].expect_text == ["x", "y"] and q[1].near_miss is True and q[1].expect_text is None
 
 
+def test_titles(spark):
+    cases = ["form10k annual", "o'brien's NOTE", "2nd éclair", "x", "", "a1b2 c", "ÉTUDE 日本go", "3"]
+    got = spark.createDataFrame([(c,) for c in cases], "s string").select("s", tx.title_case(F.col("s")).alias("t")).collect()
+    assert {r.s: r.t for r in got} == {c: c.title() for c in cases}
+
+
 def test_names_and_numbers(spark):
     r = spark.sql("select 'My Docs!' a, '---' b, '\\u00a0\\n x \\u00a0' c").select(tx.safe_name(F.col("a")).alias("a"), tx.safe_name(F.col("b")).alias("b"), tx.strip(F.col("c")).alias("c"), tx.model_tag(F.lit("BAAI/bge-small-en-v1.5")).alias("m"), tx.half_even(F.lit(2.5)).alias("h")).first()
     assert tuple(r) == ("my_docs", "corpus", "x", "bgesmallenv15", 2.0)
