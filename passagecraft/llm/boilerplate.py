@@ -27,6 +27,8 @@ SURGE = 160
 BESIDE, SOME, LITTLE, NONE = 0.25, 0.6, 0.125, 0.0
 #: Marked elements around an element that are looked at; one more says nothing new.
 DEEPEST = 64
+#: Tags of a page whose quotes may be open up to its end; further ones end at their first >, so that work is linear in a page.
+UNBALANCED = 64
 
 # Elements without text; elements that begin a line; what surrounds an article, by element, role and words of class and id.
 _NO_TEXT = frozenset("title button select option textarea input label datalist menu noscript template iframe svg canvas object audio video map".split())
@@ -51,13 +53,10 @@ _BY_WORD |= dict.fromkeys(
 #: A word after one of these says that the element holds such a block, not that it is one.
 _HOLDS = frozenset("has with no is not without show hide".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+>|[^>]*>)"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|[!?]|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*))")
+#: The rest of a tag, where what is quoted may have a > in it.
+_REST = re.compile(r"[^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+>")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 _A = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -174,6 +173,8 @@ class _Page:
         if name in _OPTIONAL and name != "p":
             same = ("li",) if name == "li" else ("dt", "dd")
             for k in range(len(self.open) - 1, -1, -1):
+                if not any(self.count[x] for x in same):
+                    break
                 if self.open[k][0] in same:
                     self.end(self.open[k][0])
                 if k >= len(self.open) or _boxed(self.open[k][0]):
@@ -197,6 +198,30 @@ class _Page:
         self.headings += name in _HEADING
 
 
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends an element, its rest) of each tag, in order; what has no text, as comments and scripts, has no name."""
+    last, at, unbalanced = page.rfind(">"), 0, 0
+    while m := _OPEN.search(page, at):
+        start, name, rest = m.start(), (m["name"] or "").lower(), ""
+        if m["comment"]:
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(page)
+        elif start > last:  # nothing closes a tag here, so only a comment can begin
+            at = page.find("<!--", start)
+            if at < 0:
+                return
+            continue
+        elif name in _RAW_END and not m["end"]:
+            end = _RAW_END[name].search(page, page.index(">", start) + 1)
+            name, at = "", end.end() if end else len(page)
+        else:
+            whole = _REST.match(page, m.end()) if name and unbalanced < UNBALANCED else None
+            unbalanced += whole is None and bool(name)
+            at = whole.end() if whole else page.index(">", m.end()) + 1
+            rest = page[m.end() : at]
+        yield start, at, name, bool(m["end"]), rest
+
+
 def lines_of(page: str) -> tuple[list[Line], list[Mark]]:
     """The lines of a page, one for each block with text and empty ones between containers, and the marks that they name."""
     p = _Page()
@@ -212,14 +237,13 @@ def lines_of(page: str) -> tuple[list[Line], list[Mark]]:
             p.plain += len(piece)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
+    for start, stop, name, end, rest in tags_of(page):
+        if start > at:
+            text(page[at:start])
+        at = stop
         if not name or name == "head":
             continue
-        block, end = name in _BLOCK, bool(m["end"])
+        block = name in _BLOCK
         if end:
             if name == "a":
                 links = 0
@@ -233,9 +257,9 @@ def lines_of(page: str) -> tuple[list[Line], list[Mark]]:
                     while p.open:
                         p.pop()
                 p.make_way(name)
-            if name not in _VOID and not m["attrs"].endswith("/>"):
-                mark = mark_of(name, m["attrs"], p.inside)
-                if name == "a" and _HREF.search(m["attrs"]):
+            if name not in _VOID and not rest.endswith("/>"):
+                mark = mark_of(name, rest, p.inside)
+                if name == "a" and _HREF.search(rest):
                     # one that is never closed ends with the first block that starts or ends
                     closes = _A.search(page, at)
                     links = len(p.open) + 1 if closes and closes[1] else len(page)

@@ -1,5 +1,6 @@
 import os
 import re
+import time
 from html.parser import HTMLParser
 
 import pyarrow.parquet as pq
@@ -128,3 +129,20 @@ def test_real_pages_against_a_plain_version():
     assert all("article" not in p.lower() and "class=" not in p for p in bare)
     got = [boilerplate.main_text(p) for p in bare]
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.95 * len(pages)
+
+
+def test_work_is_linear_in_a_page():
+    # each of these was quadratic in some plain way of scanning: minutes, where a second is plenty
+    for piece, n in {"<a ": 300_000, "<": 1_000_000, '<a x="': 200_000, "<a x='b' y=\"": 100_000, "<!": 500_000, "<script": 200_000, '<a ">" ': 100_000, "<a '>' \">\" ": 60_000}.items():
+        began = time.perf_counter()
+        boilerplate.main_text(piece * n)
+        boilerplate.main_text("<p>text</p>" + piece * n + ">")
+        assert time.perf_counter() - began < 10, piece
+    assert boilerplate.main_text("<div>" * 20_000 + "<li>x" * 20_000).split() == ["x"] * 20_000
+
+
+def test_tags_whose_quotes_do_not_close():
+    assert boilerplate.main_text(f"<article><p title='a > b'>one</p><p title=\"it's\">two</p><p>{LONG}</p></article>") == f"one two {LONG.strip()}"
+    assert boilerplate.main_text(f'<article><p title="open>one</p><p>{LONG}</p></article>') == f"one {LONG.strip()}"
+    assert boilerplate.main_text(f"<article><p>{LONG}</p><p>3 < 4 and <b") == f"{LONG.strip()} 3 < 4 and <b"
+    assert boilerplate.main_text(f"<article><p>{LONG}</p><p>end<!-- <p>no") == f"{LONG.strip()} end"
