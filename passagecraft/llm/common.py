@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of anything but ASCII white space.
@@ -121,6 +122,31 @@ def parted(docs: DataFrame, key: Column, keys: DataFrame, n_keys: int) -> tuple[
     return joined.where(~there).select(*docs.columns), joined.where(there).select(*docs.columns)
 
 
+def ranked(df: DataFrame, groups: list[str], order: list[Column], tables: Tables, place: str, size: str) -> DataFrame:
+    """df with its row's place in its group (from 0) in the order given, and the group's number of rows.
+
+    Rows are dealt out by ranges of (groups, order) and sorted there, so a group of any size is spread over tasks, equal
+    rows too; a row's place is its line in its range, and what the ranges before hold of its group. Nulls are a group
+    like any other. The sorted rows are a table that belongs to ``tables``, so that all looks see the same ranges.
+    """
+    line, part, first, held = (unused(df, c) for c in ("rank_line", "rank_part", "rank_first", "rank_held"))
+    # equal rows differ by where they stand, else no range could part them
+    keys = [*map(F.col, groups), *order, F.monotonically_increasing_id()]
+    named = df.withColumns({f"{line}{i}": k for i, k in enumerate(keys)})
+    sort = [F.col(f"{line}{i}") for i in range(len(keys))]
+    dealt = named.repartitionByRange(*sort).sortWithinPartitions(*sort).select(*df.columns, F.monotonically_increasing_id().alias(line))
+    rows = tables.keep(dealt.withColumn(part, F.shiftrightunsigned(line, 33)), "ranked", narrow=False)
+    per = rows.groupBy(*groups, part).agg(F.min(line).alias(first), F.count(F.lit(1)).alias(held))
+    # one row a group and range
+    own = W.partitionBy(*groups)
+    before = F.coalesce(F.sum(held).over(own.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(*(F.col(g).alias(f"{part}{i}") for i, g in enumerate(groups)), F.col(part).alias(f"{part}_"), (before - F.col(first)).alias(first), F.sum(held).over(own).alias(size))
+    same = rows[part] == per[f"{part}_"]
+    for i, g in enumerate(groups):
+        same = same & rows[g].eqNullSafe(per[f"{part}{i}"])
+    return rows.join(per, same).select(*df.columns, (F.col(line) + F.col(first)).alias(place), F.col(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, langid, mixing, packing, pii, rules, simhash, tokencount, topk, warc
+from . import boilerplate, langid, merkle, mixing, packing, pii, rules, simhash, tokencount, topk, warc
 from .common import scratch, small_batches, table
 
 
@@ -60,6 +60,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", F.coalesce(tampered, F.col("text")))
+    return merkle.proven(rows, "doc_id")
+
+
 def _on_texts(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -69,7 +75,7 @@ def _on_texts(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _on_texts(f) for f in (op1_warc, op2_language_id, op3_token_counts, op4_html_extraction, op5_pii, op6_exact_top_k, op7_packing, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: _on_texts(f) for f in (op1_warc, op2_language_id, op3_token_counts, op4_html_extraction, op5_pii, op6_exact_top_k, op7_packing, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup, op12_merkle_manifest)}
 
 
 OP1_SQL = """
@@ -120,6 +126,60 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT doc_id, source,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body,
+    coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') AS tampered
+  FROM documents
+), bits AS (
+  -- crc32 of the decimal doc_id, a bit at a time
+  SELECT doc_id, doc_id::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS crc FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, s, i + 1, list_reduce(list_prepend(xor(crc, ascii(s[i + 1])::BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)
+  FROM bits WHERE i < length(s)
+), odd AS (
+  SELECT doc_id FROM bits WHERE i = length(s) AND crc & 1 = 0 GROUP BY doc_id
+), leaves AS (
+  SELECT *, coalesce(strlen(source) || ':' || source, '-') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM (SELECT g.doc_id, source, sha256(head || body) AS leaf, sha256(head || CASE WHEN o.doc_id IS NOT NULL THEN body ELSE tampered END) AS used FROM given g LEFT JOIN odd o ON g.doc_id = o.doc_id)
+), trees AS (
+  SELECT g, 0 AS level, place, leaf AS node FROM leaves
+  UNION ALL
+  SELECT g, level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM trees) WHERE n > 1 GROUP BY g, level, place // 3
+), sub AS (
+  SELECT *, row_number() OVER (ORDER BY g = '-' DESC, substr(g, instr(g, ':') + 1)) - 1 AS nth
+  FROM (SELECT g, node AS subroot, level AS height FROM trees QUALIFY level = max(level) OVER (PARTITION BY g))
+), top AS (
+  SELECT 0 AS level, nth AS place, subroot AS node FROM sub
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(node, '' ORDER BY place)) FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY level, place // 3
+), every AS (
+  SELECT * FROM trees UNION ALL SELECT '', level, place, node FROM top
+), height AS (
+  SELECT max(level) AS level FROM top
+), folds AS (
+  SELECT l.g, l.place AS leaf_place, l.g AS tree, 0 AS level, l.place, l.used AS node, '' AS proof, s.height, s.nth FROM leaves l JOIN sub s USING (g)
+  UNION ALL
+  SELECT f.g, f.leaf_place, CASE WHEN f.level = f.height AND f.tree != '' THEN '' ELSE f.tree END,
+    CASE WHEN f.level = f.height AND f.tree != '' THEN 0 ELSE f.level + 1 END, CASE WHEN f.level = f.height AND f.tree != '' THEN f.nth ELSE f.place // 3 END,
+    CASE WHEN f.level = f.height AND f.tree != '' THEN f.node ELSE sha256(concat(a.node, b.node, f.node, c.node, d.node)) END,
+    CASE WHEN f.level = f.height AND f.tree != '' THEN f.proof ELSE concat(f.proof, a.node, b.node, c.node, d.node) END,
+    CASE WHEN f.level = f.height AND f.tree != '' THEN (SELECT level FROM height) ELSE f.height END, f.nth
+  FROM folds f
+  LEFT JOIN every a ON a.g = f.tree AND a.level = f.level AND a.place = f.place - 2 AND f.place % 3 = 2
+  LEFT JOIN every b ON b.g = f.tree AND b.level = f.level AND b.place = f.place - 1 AND f.place % 3 > 0
+  LEFT JOIN every c ON c.g = f.tree AND c.level = f.level AND c.place = f.place + 1 AND f.place % 3 < 2
+  LEFT JOIN every d ON d.g = f.tree AND d.level = f.level AND d.place = f.place + 2 AND f.place % 3 = 0
+  WHERE f.tree != '' OR f.level < f.height
+)
+SELECT l.doc_id, l.leaf, s.subroot, t.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.node AS verified
+FROM folds f JOIN leaves l ON l.g = f.g AND l.place = f.leaf_place JOIN sub s ON s.g = l.g JOIN top t ON t.level = (SELECT level FROM height)
+WHERE f.tree = '' AND f.level = f.height
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op8_mix_sources": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op8_mix_sources": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
