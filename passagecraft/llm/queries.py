@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, langid, merkle, mixing, packing, pii, rules, simhash, tokencount, topk, warc
+from . import boilerplate, chat, langid, merkle, mixing, packing, pii, rules, simhash, tokencount, topk, warc
 from .common import scratch, small_batches, table
 
 
@@ -66,6 +66,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proven(rows, "doc_id")
 
 
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.report(chat.windows(given.unionByName(added)))
+
+
 def _on_texts(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -75,7 +82,7 @@ def _on_texts(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _on_texts(f) for f in (op1_warc, op2_language_id, op3_token_counts, op4_html_extraction, op5_pii, op6_exact_top_k, op7_packing, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup, op12_merkle_manifest)}
+    return {f.__name__: _on_texts(f) for f in (op1_warc, op2_language_id, op3_token_counts, op4_html_extraction, op5_pii, op6_exact_top_k, op7_packing, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup, op12_merkle_manifest, op13_chat_windows)}
 
 
 OP1_SQL = """
@@ -180,6 +187,43 @@ FROM folds f JOIN leaves l ON l.g = f.g AND l.place = f.leaf_place JOIN sub s ON
 WHERE f.tree = '' AND f.level = f.height
 """
 
+#: For conversations of at most 256 turns, which are one chapter.
+OP13_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i,
+    len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) + 4 AS tokens,
+    list_sum(list_transform([role, text], lambda x: length(x) + length(x) - length(replace(x, '\', ''))
+      + length(x) - length(replace(x, '#', '')) - len(regexp_extract_all(x, '#+')) + (length(x) - length(replace(x, '</', ''))) // 2)) + 17 AS chars
+  FROM given
+), t AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i) - tokens AS before, count(*) OVER (PARTITION BY conv_id) AS n,
+    max(CASE WHEN i = 0 AND role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS led,
+    max(CASE WHEN i = 0 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS led_tokens,
+    max(CASE WHEN i = 0 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS led_chars
+  FROM sized
+), dealt AS (
+  SELECT conv_id, i, i AS s, before AS base, 1 AS k FROM t WHERE i = led
+  UNION ALL
+  SELECT t.conv_id, t.i, CASE WHEN opens THEN t.i ELSE s END, CASE WHEN opens THEN before ELSE base END, CASE WHEN opens THEN k + 1 ELSE k END
+  FROM (SELECT t.*, d.s, d.base, d.k, before + tokens - base > 1024 - led_tokens - CASE WHEN k = 1 THEN 0 ELSE 256 END AS opens FROM dealt d JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.i = d.i + 1) t
+), spans AS (
+  SELECT d.conv_id, d.s, max(d.i) AS last, min(base) AS base, least(256, greatest(0, 1024 - max(led_tokens) - sum(tokens))) AS allowed, max(led_chars) AS led_chars, max(led) AS led
+  FROM dealt d JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.i = d.i GROUP BY d.conv_id, d.s
+), formatted AS (
+  SELECT s.conv_id, s.s, max(led_chars) AS led_chars, (SELECT sum(chars) FROM t WHERE t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i <= s.last AND (t.i >= s.s OR t.i >= greatest(s.led, s.s - 2) AND s.base - t.before <= s.allowed)) AS chars
+  FROM spans s GROUP BY ALL
+), totals AS (
+  SELECT conv_id, sum(led_chars + chars) AS chars, count(*) AS n_windows FROM formatted GROUP BY conv_id
+)
+SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  coalesce(max(x.chars), max(t.led_chars))::BIGINT AS formatted_chars, coalesce(max(x.n_windows), 1)::BIGINT AS n_windows
+FROM t LEFT JOIN totals x ON x.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op8_mix_sources": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op1_warc": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op8_mix_sources": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_chat_windows": OP13_SQL}
