@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, chat, langid, merkle, mixing, packing, pii, rules, simhash, tokencount, topk, warc
+from . import boilerplate, chat, collocations, langid, merkle, mixing, packing, pii, rules, simhash, tokencount, topk, warc
 from .common import scratch, small_batches, table
 
 
@@ -60,6 +60,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
     rows = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", F.coalesce(tampered, F.col("text")))
@@ -82,7 +86,7 @@ def _on_texts(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _on_texts(f) for f in (op1_warc, op2_language_id, op3_token_counts, op4_html_extraction, op5_pii, op6_exact_top_k, op7_packing, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup, op12_merkle_manifest, op13_chat_windows)}
+    return {f.__name__: _on_texts(f) for f in (op1_warc, op2_language_id, op3_token_counts, op4_html_extraction, op5_pii, op6_exact_top_k, op7_packing, op8_mix_sources, op9_quality_rules, op10_simhash_near_dedup, op11_collocations, op12_merkle_manifest, op13_chat_windows)}
 
 
 OP1_SQL = """
@@ -133,6 +137,38 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), said AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), placed AS (
+  SELECT lang, piece, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM said
+), four AS (
+  SELECT lang, word AS w1, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4 FROM placed WINDOW p AS (PARTITION BY piece ORDER BY i)
+), phrases AS (
+  SELECT lang, w1 AS phrase, 1 AS k FROM four UNION ALL SELECT lang, w1 || ' ' || w2, 2 FROM four WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3), 3 FROM four WHERE w3 IS NOT NULL UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3, w4), 4 FROM four WHERE w4 IS NOT NULL
+), counts AS (
+  SELECT lang, phrase, k, count(*) AS f FROM phrases GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), often AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT s.lang, s.phrase, s.k, s.a, c.cut, l.f AS l, r.f AS r, (2000000::HUGEINT * s.a) // (l.f + r.f) AS score
+  FROM often s JOIN range(1, 4) c(cut) ON c.cut < s.k
+  JOIN counts l ON l.lang = s.lang AND l.phrase = array_to_string(s.w[1:c.cut], ' ') JOIN counts r ON r.lang = s.lang AND r.phrase = array_to_string(s.w[c.cut + 1:], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_phrases AS (
+  SELECT s.lang, array_to_string(s.w[i:i + m - 1], ' ') AS phrase, max(s.a) AS longer FROM often s JOIN range(2, 4) m(m) ON m.m < s.k JOIN range(1, 4) i(i) ON i.i + m.m - 1 <= s.k GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_phrases i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 80 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH RECURSIVE given AS (
   SELECT doc_id, source,
@@ -226,4 +262,4 @@ FROM t LEFT JOIN totals x ON x.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op8_mix_sources": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_chat_windows": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op8_mix_sources": OP8_SQL, "op11_collocations": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_chat_windows": OP13_SQL}
