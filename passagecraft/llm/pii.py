@@ -1,10 +1,13 @@
 """Personal data: patterns find entities, and corpus co-occurrence finds the terms that give them away.
 
 A term discloses an entity by how much it says about it: the share of the texts with the term that hold the entity, too
-(the posterior), against the entity's share of all texts. All documents count, and of each the whole text. The entity
-must be seen with the term in several contexts (the words around the entity), so copies and near copies of one passage
-do not make one; the posterior is smoothed by their number n, times n / (n + 1). A term over the posterior that tells
-enough of the entity's own information is generalised; one that names its entity almost for certain is removed.
+(the posterior), against the entity's share of all texts. All documents count, and of each the whole text. The corpus
+is the witness, never one text: a pair counts once a text, however often both stand in it, and copies and near copies of
+a text are one witness. For that a text has SHAPES min-hashes of its shingles and, for each entity, the words around it: of a
+pair's texts these are counted apart, and the least number of different ones is the number of witnesses, n. A pair needs
+MIN_TEXTS of them; what two texts share by chance is told by the likelihood ratio (SIGNIFICANT); the posterior is smoothed
+by n / (n + 1). A term over the posterior that tells enough of the entity's own information is generalised; one that names
+its entity almost for certain is removed.
 """
 
 from __future__ import annotations
@@ -18,16 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Tables, materialize, parted, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side that are an entity's context; contexts a term needs; share of the entity's own bits that it must tell; posteriors to generalise and to remove.
-CONTEXT = 5
-MIN_CONTEXTS = 2
+#: Words on each side that are an entity's context; words of a shingle; min-hashes of a text.
+CONTEXT, SHINGLE, SHAPES = 5, 5, 4
+#: Witnesses that a pair needs; the least G2 of its likelihood ratio (chance alone reaches it about once in a million); share of the entity's own bits that a term must tell; posteriors to generalise and to remove.
+MIN_TEXTS = 2
+SIGNIFICANT = 24.0
 MIN_SHARE = 0.5
 GENERALISE, REMOVE = 0.5, 0.9
 #: Places of the filter that spares most words the shuffle: its size is fixed, whatever the corpus.
@@ -103,37 +108,47 @@ def _outside(spans: list[tuple[int, int, int]]):
     return clear
 
 
-def contexts_of(text: str) -> tuple[list[tuple[str, list[str]]], list[str]]:
-    """(entity, the different contexts it stands in) for each entity of the base spans, and all terms of the text if it has one."""
+def shapes_of(words: list[str]) -> list[int]:
+    """Min-hashes of the shingles of words; texts that share most of those share most of these."""
+    from xxhash import xxh64_intdigest
+
+    n = max(1, len(words) - SHINGLE + 1)
+    h = np.fromiter((xxh64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(n)), np.uint64, n)
+    return [int((h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)).min()) >> 1 for k in range(SHAPES)]
+
+
+def contexts_of(text: str) -> tuple[list[tuple[str, str]], list[str], list[int]]:
+    """(entity, the words around one of its places) for each entity of the base spans; and, if there is one, all terms of the text and its shapes.
+
+    Of the places of an entity the one with the least digest of its context counts, so a text is one witness.
+    """
     spans = base_spans(text)
     if not spans:
-        return [], []
+        return [], [], []
     clear = _outside(spans)
     words = [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(text) if clear(*m.span())]
     starts, ends = [w[0] for w in words], [w[1] for w in words]
-    found: dict[str, set[str]] = {}
+    found: dict[str, str] = {}
     for start, kind, end in spans:
         k = bisect_right(ends, start)
         before, after = words[max(0, k - CONTEXT) : k], words[(j := bisect_left(starts, end)) : j + CONTEXT]
-        around = " ".join(w[2] for w in before + after)
-        found.setdefault(_entity(text, (start, kind, end)), set()).add(hashlib.md5(around.encode()).hexdigest())
-    return [(e, sorted(c)) for e, c in found.items()], sorted({w[2] for w in words})
+        around = hashlib.md5(" ".join(w[2] for w in before + after).encode()).hexdigest()
+        entity = _entity(text, (start, kind, end))
+        found[entity] = min(found.get(entity, around), around)
+    return list(found.items()), sorted({w[2] for w in words}), shapes_of([w[2] for w in words])
 
 
-_ENTITY = T.StructType([T.StructField("entity", T.StringType()), T.StructField("contexts", T.ArrayType(T.StringType()))])
-_CONTEXTS = T.StructType([T.StructField("entities", T.ArrayType(_ENTITY)), T.StructField("terms", T.ArrayType(T.StringType()))])
+_ENTITY = T.StructType([T.StructField("entity", T.StringType()), T.StructField("context", T.StringType())])
+_CONTEXTS = T.StructType([T.StructField("entities", T.ArrayType(_ENTITY)), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("shapes", T.ArrayType(T.LongType()))])
 
 
 @F.arrow_udf(_CONTEXTS)
 def _contexts(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("entity", pa.string()), ("contexts", pa.list_(pa.string()))]))
+    kind = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string())]))
     for batch in texts:
-        entities, terms = [], []
-        for x in batch:
-            found, all_terms = contexts_of(x.as_py() or "")
-            entities.append([{"entity": e, "contexts": c} for e, c in found])
-            terms.append(all_terms)
-        yield pa.StructArray.from_arrays([pa.array(entities, kind), pa.array(terms, pa.list_(pa.string()))], ["entities", "terms"])
+        found = [contexts_of(x.as_py() or "") for x in batch]
+        entities = pa.array([[{"entity": e, "context": c} for e, c in f[0]] for f in found], kind)
+        yield pa.StructArray.from_arrays([entities, pa.array([f[1] for f in found], pa.list_(pa.string())), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["entities", "terms", "shapes"])
 
 
 _contexts = _contexts.asNondeterministic()  # computed once, filter or not
@@ -221,37 +236,54 @@ def _scanner(filled):
     return scan
 
 
-def disclosing(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
-    """term, removed: the terms of docs(text) over the thresholds, by two looks at each whole text.
+def _witnesses() -> Column:
+    """Aggregate: the least number of different contexts and shapes."""
+    return F.least(F.count_distinct("context"), *(F.count_distinct(F.col("shapes")[k]) for k in range(SHAPES))).alias("n")
+
 
-    The first takes entities, their contexts and, of texts that have one, all terms; equal texts meet as one with its
-    number. The second counts the texts that hold a term with enough contexts: words that pass a filter of such terms,
-    summed up within a partition, then joined exactly. The result reads tables that belong to ``tables``.
+def likelihood_ratio(both: Column, one: Column, other: Column, every: Column) -> Column:
+    """G2 of two things that stand in ``one`` and ``other`` of ``every`` texts, in ``both`` together."""
+    x = lambda c: F.when(c > 0, c * F.log(c.cast("double"))).otherwise(F.lit(0.0))
+    return 2 * (x(both) + x(one - both) + x(other - both) + x(every - one - other + both) - x(one) - x(every - one) - x(other) - x(every - other) + x(every))
+
+
+def judged(docs: DataFrame, tables: Tables) -> DataFrame:
+    """term, entity_texts, n, posterior, own, g2 of the pairs of docs(text) that have MIN_TEXTS witnesses, by two looks at each whole text.
+
+    The first takes of each text its entities with their contexts, and if it has one its terms and shapes. Entities with
+    witnesses enough that stand in exactly the same texts are one class, as all counts of theirs are the same: a list of
+    addresses costs its texts no more than one address. Only texts of such a class give pairs with terms. The second look
+    counts the texts that hold a term: words that pass a filter of such terms, summed up within a partition, then joined
+    exactly. The result reads tables that belong to ``tables``.
     """
-    tables = tables or Tables()
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     looked = texts.select(F.md5("text").alias("key"), _contexts("text").alias("c")).where(F.size("c.entities") > 0)
-    around = tables.keep(looked.select("key", "c.entities", "c.terms"), "pii-contexts")
-    mentions = around.select("key", F.inline("entities"))
-    several = mentions.select("entity", F.explode("contexts").alias("context")).groupBy("entity").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= MIN_CONTEXTS)
-    of_entity = tables.keep(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).join(several.select("entity"), "entity", "left_semi"), "pii-entities")
-    kept = around.select("key", "terms", F.inline("entities")).join(of_entity.select("entity"), "entity", "left_semi")
-    one = kept.groupBy("entity", "key").agg(F.count(F.lit(1)).alias("n"), F.first("contexts").alias("contexts"), F.first("terms").alias("terms"))
-    each = one.select("entity", "n", "terms", F.posexplode("contexts").alias("at", "context"))
-    # the copies of a text count once, with the first of its contexts
-    pairs = each.select("entity", "context", F.when(F.col("at") == 0, F.col("n")).otherwise(0).alias("n"), F.explode("terms").alias("term"))
-    near = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.sum("n").alias("texts"))
-    near = near.where(F.col("contexts") >= MIN_CONTEXTS)
-    # the texts with any entity are some of all texts: a term too common among them can be no candidate
-    smooth = F.col("contexts") / (F.col("contexts") + 1)
-    seen = around.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    near = tables.keep(near.join(seen, "term").where(F.col("texts") / F.col("seen") * smooth >= GENERALISE).drop("seen"), "pii-terms")
+    around = tables.keep(looked.select("key", "c.*"), "pii-contexts")
+    # copies of a text have one key
+    per = around.select("key", "shapes", F.inline("entities")).groupBy("entity", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("context").alias("context"), F.first("shapes").alias("shapes"))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), F.col("key"))).alias(f"same{i}") for i in range(2)]
+    of_entity = per.groupBy("entity").agg(F.sum("copies").alias("entity_texts"), _witnesses(), *same).where(F.col("n") >= MIN_TEXTS)
+    of_entity = tables.keep(of_entity, "pii-entities")
+    names = ["same0", "same1", "entity_texts"]
+    classes = of_entity.groupBy(*names).agg(F.max("n").alias("entity_n"))
+    of_class = per.join(of_entity.select("entity", *names), "entity").groupBy(*names, "key").agg(F.first("copies").alias("copies"), F.min("context").alias("context"), F.first("shapes").alias("shapes"))
+    of_class = tables.keep(of_class, "pii-classes")
+    held = around.select("key", "terms").join(of_class.select("key").distinct(), "key").dropDuplicates(["key"]).select("key", F.explode("terms").alias("term"))
+    near = of_class.join(held, "key").groupBy(*names, "term").agg(F.sum("copies").alias("texts"), _witnesses()).where(F.col("n") >= MIN_TEXTS)
+    near = tables.keep(near, "pii-terms")
     holding = texts.mapInArrow(_holding(_filled(near)), "term string, n long").groupBy("term").agg(F.sum("n").alias("all_texts"))
-    share = F.col("texts") / F.greatest("all_texts", "texts") * smooth
-    own = F.log2(F.lit(float(max(texts.count(), 1))) / F.col("entity_texts"))
-    both = near.join(of_entity, "entity").join(holding, "term").select("term", share.alias("posterior"), own.alias("own"))
+    both = near.join(classes, names).join(holding, "term")
+    every = F.lit(max(texts.count(), 1))
+    posterior = F.col("texts") / F.greatest("all_texts", "texts") * F.col("n") / (F.col("n") + 1)
+    g2 = likelihood_ratio(F.col("n"), F.greatest("n", "entity_n"), F.col("n") + F.greatest(F.col("all_texts") - F.col("texts"), F.lit(0)), every)
+    return both.select("term", "entity_texts", "n", posterior.alias("posterior"), F.log2(every.cast("double") / F.col("entity_texts")).alias("own"), g2.alias("g2"))
+
+
+def disclosing(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """term, removed: the terms of docs(text) over the thresholds."""
     told = F.log2("posterior") + F.col("own")
-    return both.where((F.col("posterior") >= GENERALISE) & (told >= MIN_SHARE * F.col("own"))).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("removed"))
+    over = (F.col("posterior") >= GENERALISE) & (F.col("g2") >= SIGNIFICANT) & (told >= MIN_SHARE * F.col("own"))
+    return judged(docs, tables or Tables()).where(over).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("removed"))
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
