@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from passagecraft.schema import ChunkConfig
 
 from .embedding import Embedder, embed, hashed_words
+from .storage import hadoop_path, store_of
 
 PARTITIONS = ("corpus_id", "embed_model", "chunk_slug", "doc_type")
 
@@ -28,14 +29,14 @@ def write(index: DataFrame, path: str) -> None:
     there are gone, as are values of doc_type that no document has any more.
     """
     spark = index.sparkSession
-    store, root = _store(spark, path)
+    store, root = store_of(spark, path)
     staged = f"{path}/_staged-{uuid.uuid4().hex}"
     try:
         index.write.partitionBy(*PARTITIONS).parquet(staged)
-        again = duplicate_ids(_open(spark, staged)).limit(5).collect() if _collections(store, _store(spark, staged)[1]) else []
+        again = duplicate_ids(_open(spark, staged)).limit(5).collect() if _collections(store, store_of(spark, staged)[1]) else []
         if again:
             raise ValueError(f"chunks share an id: {', '.join(r['chunk_id'] for r in again)}")
-        for new in _collections(store, _store(spark, staged)[1]):
+        for new in _collections(store, store_of(spark, staged)[1]):
             parts = str(new.toString()).split("/")[-3:]
             old = hadoop_path(spark, "/".join([root.toString(), *parts]))
             store.delete(old, True)
@@ -43,18 +44,7 @@ def write(index: DataFrame, path: str) -> None:
             if not store.rename(new, old):
                 raise OSError(f"{old.toString()} can't be put in place")
     finally:
-        store.delete(_store(spark, staged)[1], True)
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _store(spark: SparkSession, path: str):
-    """The file system of a path, and the path in it."""
-    p = hadoop_path(spark, path)
-    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return store, store.makeQualified(p)
+        store.delete(store_of(spark, staged)[1], True)
 
 
 def _collections(store, root) -> list:
@@ -94,5 +84,5 @@ def drop_corpus(spark: SparkSession, path: str, corpus_id: str) -> bool:
     """Removes the collections of exactly this corpus; whether there were any."""
     from urllib.parse import quote
 
-    store, root = _store(spark, path)
+    store, root = store_of(spark, path)
     return store.delete(hadoop_path(spark, f"{root.toString()}/corpus_id={quote(corpus_id, safe=' -_.~')}"), True)

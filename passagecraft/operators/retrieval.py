@@ -15,6 +15,7 @@ from passagecraft.functions.text import half_even
 from passagecraft.schema import RECENCY_BAND, RetrievalParams
 
 from .embedding import Scorer, rerank_score
+from .storage import kept
 
 #: Questions that are sent to all executors at once, about.
 QUESTION_BLOCK = 2048
@@ -36,7 +37,7 @@ def matches(params: RetrievalParams) -> Column:
     return out
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each column the k highest scores (four digits count) and their ids; ties go to the smaller id."""
     order = np.lexsort((ids, -np.round(scores, 4)), axis=0)[:k]
     return np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
@@ -56,8 +57,8 @@ def _nearest_in_place(asks: np.ndarray, questions: np.ndarray, k: int, kind: pa.
                     reach = (np.round(scores, 4) >= np.round(best[-1], 4)).any(1)
                     names, scores = names[reach], scores[reach]
                 every = np.broadcast_to(names[:, None], scores.shape)
-                new, found = _best(every, scores, k)
-                ids, best = (new, found) if ids is None else _best(np.concatenate([ids, new]), np.concatenate([best, found]), k)
+                new, found = best_of(every, scores, k)
+                ids, best = (new, found) if ids is None else best_of(np.concatenate([ids, new]), np.concatenate([best, found]), k)
         if ids is not None:
             q = np.broadcast_to(asks, best.shape)
             yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(ids.ravel().tolist(), kind), pa.array(best.ravel())], ["question_id", "chunk_id", "raw"])
@@ -69,8 +70,9 @@ def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUES
     """question_id, chunk_id, cosine, cosine_rank: exactly the k nearest of index(chunk_id, vector) to each of questions(question_id, vector).
 
     Questions go in blocks by a hash of their id, so what is sent out has a bound whatever the number of questions; every
-    block meets the index where it lies, and only k rows a question and task are shuffled. Ties go to the smaller
-    chunk_id. Rows without a vector take no part, nor do those of another length than most questions' vectors have.
+    block meets the index where it lies, and only k rows a question and task are shuffled. With several blocks, what one
+    finds is written to the shared folder and the block is forgotten, so neither the driver nor the plan grows with the
+    questions by more than a table's name for each block. Ties go to the smaller chunk_id. Rows without a vector take no part, nor do those of another length than most questions' vectors have.
     """
     spark = questions.sparkSession
     asks = questions.where(F.col("vector").isNotNull()).select("question_id", F.col("vector").cast("array<double>").alias("vector"))
@@ -88,9 +90,16 @@ def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUES
         v = np.asarray(own.column("vector").combine_chunks().flatten(), np.float64).reshape(len(own), -1)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         part = rows.mapInArrow(_nearest_in_place(np.array(own.column("question_id").to_pylist()), v, k, to_arrow_type(index.schema["chunk_id"].dataType)), kinds)
+        # the k best of a block: few rows are kept
+        part = top_of(part, k) if blocks == 1 else kept(top_of(part, k), "hits")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], kinds.replace("raw", "cosine") + ", cosine_rank int")
+    return found
+
+
+def top_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best of found(question_id, chunk_id, raw) by rounded cosine, then chunk_id."""
     scored = found.withColumn("cosine", half_even(F.col("raw"), 4))
     nth = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("cosine"), "chunk_id"))
     return scored.withColumn("cosine_rank", nth).where(F.col("cosine_rank") <= k).drop("raw")

@@ -6,17 +6,14 @@ structured texts are put together from documents by fixed rules.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagecraft.functions import text as tx
-from passagecraft.operators import answering, chunking, embedding, evaluation, index, retrieval
+from passagecraft.operators import ann, answering, chunking, embedding, evaluation, index, retrieval
+from passagecraft.operators.storage import kept, scratch
 from passagecraft.schema import SWEEP, ChunkConfig, RetrievalParams
 from passagecraft.sources import files, markup, pages
 
@@ -39,29 +36,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN_DIR: list[str] = []
-
-
-def _shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or in a single process without one a folder of its own."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="passagecraft-"))
-        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
-    return f"file://{_OWN_DIR[0]}"
-
-
-def _kept(df: DataFrame, what: str) -> DataFrame:
-    """df, written to the shared folder and read back, so that two uses of it are one computation."""
-    path = f"{_shared(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _date(doc_id: Column) -> Column:
     return F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (doc_id % 365).cast("int")), "yyyy-MM-dd")
 
@@ -124,6 +98,24 @@ def vector_topk_filtered(spark, sf_dir):
     return _search(spark, sf_dir, 20, RetrievalParams(doc_type="3", effective_on_or_after="2024-03-01"))
 
 
+def _by_lists(spark: SparkSession, sf_dir: str, k: int, **how) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    built = ann.build(e, f"{scratch(spark, 'ann')}/index")
+    return built.search(e.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("question_id"), "vector"), k, **how)
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """As vector_topk, in the lists that a question probes only; tests measure the recall."""
+    return _by_lists(spark, sf_dir, 20)
+
+
+@query(_cosines("true", 20, "q.vec_id % 100 = 0"))
+def ann_topk_all_lists(spark, sf_dir):
+    """With every list probed the neighbours are the exact ones: each row is in the index, once."""
+    return _by_lists(spark, sf_dir, 20, probes=ann.MAX_LISTS)
+
+
 @query("""SELECT vec_id, i - 1 AS dim, round((embedding[i]::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-12)), 6) AS value
 FROM embeddings, generate_series(1, 64) g(i)""")
 def l2_normalize(spark, sf_dir):
@@ -598,7 +590,7 @@ def eval_configs(spark, sf_dir):
     g, rows = gold(spark, sf_dir), None
     asks = g.select("question_id", embedding.embed(F.col("question")).alias("vector"))
     for cfg in SWEEP:
-        built = _kept(index.build(chunking.chunk(documents(spark, sf_dir), cfg)).select("chunk_id", "document_id", "text", "vector"), "chunks")
+        built = kept(index.build(chunking.chunk(documents(spark, sf_dir), cfg)).select("chunk_id", "document_id", "text", "vector"), "chunks")
         near = retrieval.candidates(asks, built, RetrievalParams().candidate_k).join(built.drop("vector"), "chunk_id")
         hits = near.select("question_id", F.col("cosine_rank").alias("rank"), "document_id", "text").where(F.col("rank") <= RetrievalParams().top_k)
         one = evaluation.summary(_flag(evaluation.gold_ranks(g, hits))).withColumn("chunk_slug", F.lit(cfg.slug))
@@ -609,7 +601,7 @@ def eval_configs(spark, sf_dir):
 @query("""SELECT lang AS doc_type, count(*) AS n_documents, sum(ceil(greatest(length(text) - 300, 0) / 300.0) + 1)::BIGINT AS n_chunks FROM documents WHERE lang != 'de' AND regexp_matches(text, '\\S') GROUP BY lang""")
 def reingest_counts(spark, sf_dir):
     """A collection written twice, the second time without the documents of one language: what it then holds."""
-    store = f"{_shared(spark)}/store-{uuid.uuid4().hex}"
+    store = scratch(spark, "store")
     cut = chunking.chunk(documents(spark, sf_dir).withColumn("corpus_id", F.lit("all")), ChunkConfig("fixed", 300, 0)).drop("embed_text").withColumn("embed_model", F.lit("none"))
     index.write(cut, store)
     index.write(cut.where("doc_type != 'de'"), store)
@@ -654,7 +646,7 @@ def score_overlap(spark, sf_dir):
 @query()
 def ask_benchmark(spark, sf_dir):
     """Every benchmark item as a question to an index of all documents: retrieve, gate, answer by quotation."""
-    built = _kept(index.build(chunking.chunk(documents(spark, sf_dir).withColumns({"source_url": F.lit(""), "relpath": F.lit("")}), ChunkConfig())), "chunks")
+    built = kept(index.build(chunking.chunk(documents(spark, sf_dir).withColumns({"source_url": F.lit(""), "relpath": F.lit("")}), ChunkConfig())), "chunks")
     asks = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")).withColumn("vector", embedding.embed_query(F.col("question")))
     hits, decisions = retrieval.retrieve(asks, built, RetrievalParams(min_cosine=0.2))
     a = answering.answer(hits, decisions)
