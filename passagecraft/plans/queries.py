@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagecraft.functions import text as tx
-from passagecraft.operators import ann, answering, chunking, embedding, evaluation, index, retrieval
+from passagecraft.operators import ann, answering, chunking, embedding, evaluation, index, lexical, retrieval
 from passagecraft.operators.storage import kept, scratch
 from passagecraft.schema import SWEEP, ChunkConfig, RetrievalParams
 from passagecraft.sources import files, markup, pages
@@ -556,6 +556,39 @@ _SUMMARY_SQL = """count(*) FILTER (WHERE gold) AS n_gold, avg((r IS NOT NULL)::I
   avg((current_rank IS NOT NULL AND (stale_rank IS NULL OR current_rank < stale_rank))::INTEGER) FILTER (WHERE kind = 'superseded') AS current_wins, avg((NOT grounded)::INTEGER) FILTER (WHERE kind = 'unanswerable') AS abstain_rate"""
 
 
+_BM25_SQL = """bm_words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
+bm_tf AS (SELECT doc_id, term, count(*) AS tf FROM bm_words GROUP BY ALL),
+bm_len AS (SELECT doc_id, sum(tf) AS len FROM bm_tf GROUP BY doc_id),
+bm_all AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT count(*) FROM bm_words)::DOUBLE / (SELECT count(*) FROM documents) AS average),
+bm_df AS (SELECT term, count(*)::DOUBLE AS df FROM bm_tf GROUP BY term),
+bm_q AS (SELECT DISTINCT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark),
+bm AS (SELECT question_id, doc_id AS chunk_id, round_even(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / average))), 6) AS score
+  FROM bm_q JOIN bm_tf USING (term) JOIN bm_df USING (term) JOIN bm_len USING (doc_id), bm_all GROUP BY ALL),
+bm_top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id)::INTEGER AS lexical_rank FROM bm QUALIFY lexical_rank <= 20)"""
+
+
+def _lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = lexical.build(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), f"{scratch(spark, 'lexical')}/index")
+    return built.search(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")), 20)
+
+
+@query(f"WITH {_BM25_SQL} SELECT question_id, chunk_id, score, lexical_rank FROM bm_top")
+def bm25_topk(spark, sf_dir):
+    """The documents whose words answer each benchmark item best, of all documents."""
+    return _lexical_hits(spark, sf_dir)
+
+
+@query(f"""WITH {_BM25_SQL}, {_unit_sql("q", "benchmark", "item_id")}, {_unit_sql("d", "documents", "doc_id")},
+near AS (SELECT q.id AS question_id, d.id AS chunk_id, row_number() OVER (PARTITION BY q.id ORDER BY round_even(sum(q.v * d.v), 4) DESC, d.id)::INTEGER AS rank FROM q JOIN d USING (dim) GROUP BY q.id, d.id QUALIFY rank <= 20),
+parts AS (SELECT question_id, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM near UNION ALL SELECT question_id, chunk_id, 1.0::DOUBLE / (60 + lexical_rank) FROM bm_top),
+f AS (SELECT question_id, chunk_id, round_even(sum(part), 9) AS fusion FROM parts GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY fusion DESC, chunk_id)::INTEGER AS fusion_rank FROM f QUALIFY fusion_rank <= 10""")
+def hybrid_topk(spark, sf_dir):
+    """Words and vectors together: reciprocal ranks of both rankings of all documents."""
+    near = gold_hits(spark, sf_dir).select("question_id", F.col("document_id").cast("long").alias("chunk_id"), "rank")
+    return lexical.fused([(_lexical_hits(spark, sf_dir), "lexical_rank"), (near, "rank")], 10)
+
+
 def _flag(df: DataFrame) -> DataFrame:
     return df.withColumn("grounded", F.col("question_id") % 4 != 0)
 
