@@ -25,26 +25,57 @@ def write(index: DataFrame, path: str) -> None:
     """Replaces, as a whole, the collections that index has rows of, and no others.
 
     Rows are written beside the collections first. If a collection has two rows of one chunk_id, that is an error, and
-    what was there before stays. Then each collection takes the place of the old one, so documents that are no longer
-    there are gone, as are values of doc_type that no document has any more.
+    what was there before stays. Then the old collection is put aside and the new one takes its place, so documents that
+    are no longer there are gone, as are values of doc_type that no document has any more. If that fails the old one comes
+    back; if the driver is lost between the two, readers find it where it lies and the next writer brings it back. Readers
+    who need the old rows after that take a store of versions.
     """
     spark = index.sparkSession
     store, root = store_of(spark, path)
-    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    recover(spark, path)
+    name = uuid.uuid4().hex
+    staged, aside = f"{path}/_staged-{name}", f"{path}/_old-{name}"
     try:
         index.write.partitionBy(*PARTITIONS).parquet(staged)
-        again = duplicate_ids(_open(spark, staged)).limit(5).collect() if _collections(store, store_of(spark, staged)[1]) else []
+        found = _collections(store, store_of(spark, staged)[1])
+        again = duplicate_ids(_open(spark, staged)).limit(5).collect() if found else []
         if again:
             raise ValueError(f"chunks share an id: {', '.join(r['chunk_id'] for r in again)}")
-        for new in _collections(store, store_of(spark, staged)[1]):
-            parts = str(new.toString()).split("/")[-3:]
-            old = hadoop_path(spark, "/".join([root.toString(), *parts]))
-            store.delete(old, True)
-            store.mkdirs(old.getParent())
-            if not store.rename(new, old):
-                raise OSError(f"{old.toString()} can't be put in place")
+        for new in found:
+            parts = "/".join(str(new.toString()).split("/")[-3:])
+            _replace(store, new, hadoop_path(spark, f"{root.toString()}/{parts}"), hadoop_path(spark, f"{aside}/{parts}"))
     finally:
         store.delete(store_of(spark, staged)[1], True)
+    store.delete(store_of(spark, aside)[1], True)
+
+
+def _replace(store, new, place, aside) -> None:
+    """Puts a folder in place of another, which comes back if that fails."""
+    held = store.exists(place)
+    if held:
+        store.mkdirs(aside.getParent())
+        if not store.rename(place, aside):
+            raise OSError(f"{place.toString()} can't be put aside")
+    try:
+        store.mkdirs(place.getParent())
+        if not store.rename(new, place):
+            raise OSError(f"{place.toString()} can't be put in place")
+    except BaseException:
+        if held and not store.exists(place):
+            store.rename(aside, place)
+        raise
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Brings back collections that a writer had put aside when it was lost; those that were replaced go. Not while a writer is at work."""
+    store, root = store_of(spark, path)
+    for folder, aside, place in _put_aside(spark, store, root):
+        if not store.exists(place):
+            store.mkdirs(place.getParent())
+            store.rename(aside, place)
+    for s in store.listStatus(root) if store.exists(root) else []:
+        if s.getPath().getName().startswith("_old-"):
+            store.delete(s.getPath(), True)
 
 
 def _collections(store, root) -> list:
@@ -55,10 +86,24 @@ def _collections(store, root) -> list:
     return found
 
 
+def _put_aside(spark: SparkSession, store, root) -> list[tuple]:
+    """(folder put aside, collection in it, its place) for each collection that a lost writer has put aside."""
+    folders = [s.getPath() for s in (store.listStatus(root) if store.exists(root) else []) if s.getPath().getName().startswith("_old-")]
+    return [(f, c, hadoop_path(spark, "/".join([root.toString(), *str(c.toString()).split("/")[-3:]]))) for f in folders for c in _collections(store, f)]
+
+
 def _open(spark: SparkSession, path: str) -> DataFrame:
-    """The table, with its partition values as the strings that they are."""
-    found = spark.read.parquet(path).schema
-    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in found])).parquet(path)
+    """The table, with its partition values as the strings that they are; a collection that a lost writer has put aside is read where it lies."""
+    store, root = store_of(spark, path)
+    lost = [(str(f.toString()), str(c.toString())) for f, c, place in _put_aside(spark, store, root) if not store.exists(place)]
+    places = [(path, path)] if _collections(store, root) or not lost else []
+    rows = None
+    for base, folder in [*places, *lost]:
+        found = spark.read.option("basePath", base).parquet(folder).schema
+        kind = T.StructType([T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in found])
+        one = spark.read.option("basePath", base).schema(kind).parquet(folder)
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    return rows
 
 
 def read(spark: SparkSession, path: str, corpus_id: str, cfg: ChunkConfig, model: str = "hashed-words") -> DataFrame:
