@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagecraft.functions import text as tx
-from passagecraft.operators import ann, answering, chunking, embedding, evaluation, index, lexical, retrieval
+from passagecraft.operators import ann, answering, chunking, embedding, evaluation, index, lexical, retrieval, versions
 from passagecraft.operators.storage import kept, scratch
 from passagecraft.schema import SWEEP, ChunkConfig, RetrievalParams
 from passagecraft.sources import files, markup, pages
@@ -642,6 +642,27 @@ def reingest_counts(spark, sf_dir):
     return held.groupBy("doc_type").agg(F.count_distinct("document_id").alias("n_documents"), F.count(F.lit(1)).alias("n_chunks"))
 
 
+@query("""WITH d AS (SELECT doc_id, lang, text FROM documents WHERE regexp_matches(text, '\\S')), v AS (
+  SELECT 1 AS version, lang, text, true AS fresh FROM d
+  UNION ALL SELECT 2, lang, CASE WHEN lang = 'fr' THEN text || ' (revised)' ELSE text END, lang = 'fr' FROM d WHERE lang != 'de'
+) SELECT version, lang AS doc_type, count(*) AS n_documents, sum(ceil(greatest(length(text) - 300, 0) / 300.0) + 1)::BIGINT AS n_chunks, count(*) FILTER (WHERE fresh) AS n_written FROM v GROUP BY ALL""")
+def versioned_ingest(spark, sf_dir):
+    """Two versions of a collection of all documents: in the second one language is revised and one is gone, and only what is revised is cut again."""
+    root = scratch(spark, "versions")
+    docs = documents(spark, sf_dir)
+    cut = lambda some: chunking.chunk(some, ChunkConfig("fixed", 300, 0)).drop("embed_text")
+    versions.commit(docs, root, cut, ["text", "title"])
+    revised = docs.where("doc_type != 'de'").withColumn("text", F.when(F.col("doc_type") == "fr", F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text")))
+    versions.commit(revised, root, cut, ["text", "title"])
+    rows = None
+    for n in (1, 2):
+        newest = versions.version(spark, root, n).parts[-1]
+        per = versions.read(spark, root, n).groupBy("doc_type").agg(F.count_distinct("document_id").alias("n_documents"), F.count(F.lit(1)).alias("n_chunks"), F.count_distinct(F.when(F.col("part") == newest, F.col("document_id"))).alias("n_written"))
+        one = per.withColumn("version", F.lit(n))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 _SCORES_SQL = "scores AS (SELECT doc_id, quality = 1 AS positive, round_even(((doc_id * 7919) % 1000 / 1000.0::DOUBLE + quality) / 2, 4) AS score FROM labels)"
 
 
