@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagecraft.functions import text as tx
-from passagecraft.operators import ann, answering, chunking, embedding, evaluation, index, lexical, retrieval, versions
+from passagecraft.operators import ann, answering, asof, chunking, containment, embedding, evaluation, index, lexical, retrieval, versions
 from passagecraft.operators.storage import kept, scratch
 from passagecraft.schema import SWEEP, ChunkConfig, RetrievalParams
 from passagecraft.sources import files, markup, pages
@@ -663,6 +663,23 @@ def versioned_ingest(spark, sf_dir):
     return rows
 
 
+@query("SELECT item_id AS needle_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
+def needles_contained(spark, sf_dir):
+    """Which benchmark passages stand in which documents: all of both."""
+    needles = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+    return containment.contained(needles, _t(spark, sf_dir, "documents"))
+
+
+@query("""WITH b AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, event_id AS view_id, value FROM events WHERE event_type = 'view')
+SELECT b.event_id, b.user_id, v.view_id, v.value FROM b ASOF LEFT JOIN v ON b.user_id = v.user_id AND b.ts >= v.ts""")
+def asof_events(spark, sf_dir):
+    """Each purchase with its user's last view at or before it, from two tables of events."""
+    e = _t(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), "value")
+    found = asof.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "ts", "ts", ["user_id"])
+    return found.select("event_id", "user_id", "found.view_id", "found.value")
+
+
 _SCORES_SQL = "scores AS (SELECT doc_id, quality = 1 AS positive, round_even(((doc_id * 7919) % 1000 / 1000.0::DOUBLE + quality) / 2, 4) AS score FROM labels)"
 
 
