@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,44 +45,55 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def _nearest_in_place(asks: np.ndarray, questions: np.ndarray, k: int, kind: pa.DataType):
+    """The k nearest rows of each group that a task has seen, for each question."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, best = None, np.zeros((0, len(asks)))
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         some = max(1, _SCORES // max(1, len(asks)))
         for whole in batches:
             for at in range(0, len(whole), some):
-                part = whole.slice(at, some)
-                names = np.array(part.column(0).to_pylist())
-                v = np.asarray(part.column(1).flatten(), np.float64).reshape(len(part), -1)
-                scores = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ questions.T
-                if len(best) == k:  # rows that reach no question's worst are of no use
-                    reach = (np.round(scores, 4) >= np.round(best[-1], 4)).any(1)
-                    names, scores = names[reach], scores[reach]
-                every = np.broadcast_to(names[:, None], scores.shape)
-                new, found = best_of(every, scores, k)
-                ids, best = (new, found) if ids is None else best_of(np.concatenate([ids, new]), np.concatenate([best, found]), k)
-        if ids is not None:
+                chunk = whole.slice(at, some)
+                for group in chunk.column(2).unique().to_pylist():
+                    part = chunk.filter(pc.equal(chunk.column(2), group))
+                    ids, best = held.get(group, (None, np.zeros((0, len(asks)))))
+                    names = np.array(part.column(0).to_pylist())
+                    v = np.asarray(part.column(1).flatten(), np.float64).reshape(len(part), -1)
+                    scores = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ questions.T
+                    if len(best) == k:  # rows that reach no question's worst are of no use
+                        reach = (np.round(scores, 4) >= np.round(best[-1], 4)).any(1)
+                        names, scores = names[reach], scores[reach]
+                    every = np.broadcast_to(names[:, None], scores.shape)
+                    new, found = best_of(every, scores, k)
+                    held[group] = (new, found) if ids is None else best_of(np.concatenate([ids, new]), np.concatenate([best, found]), k)
+        for group, (ids, best) in held.items():
             q = np.broadcast_to(asks, best.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(ids.ravel().tolist(), kind), pa.array(best.ravel())], ["question_id", "chunk_id", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(ids.ravel().tolist(), kind), pa.array(best.ravel()), pa.array([group] * best.size, pa.string())], ["question_id", "chunk_id", "raw", "group"])
 
     return run
 
 
-def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUESTION_BLOCK) -> DataFrame:
+def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUESTION_BLOCK, by: str | None = None) -> DataFrame:
     """question_id, chunk_id, cosine, cosine_rank: exactly the k nearest of index(chunk_id, vector) to each of questions(question_id, vector).
 
     Questions go in blocks by a hash of their id, so what is sent out has a bound whatever the number of questions; every
     block meets the index where it lies, and only k rows a question and task are shuffled. With several blocks, what one
     finds is written to the shared folder and the block is forgotten, so neither the driver nor the plan grows with the
-    questions by more than a table's name for each block. Ties go to the smaller chunk_id. Rows without a vector take no part, nor do those of another length than most questions' vectors have.
+    questions by more than a table's name for each block. Ties go to the smaller chunk_id. Rows without a vector take no
+    part, nor do those of another length than most questions' vectors have.
+
+    With ``by``, a string column of index with few values such as a configuration, the k nearest are found for each value,
+    all in the same look at the index, and the result has that column, too.
     """
     spark = questions.sparkSession
     asks = questions.where(F.col("vector").isNotNull()).select("question_id", F.col("vector").cast("array<double>").alias("vector"))
-    rows = index.where(F.col("vector").isNotNull()).select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
+    group = F.col(by) if by else F.lit("")
+    rows = index.where(F.col("vector").isNotNull()).select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), F.coalesce(group, F.lit("")).alias("group"))
     lengths = asks.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "n").first()
     width, n = lengths if lengths else (0, 0)
     asks, rows = asks.where(F.size("vector") == width), rows.where(F.size("vector") == width)
     blocks = max(1, -(-n // block))
-    kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {index.schema['chunk_id'].dataType.simpleString()}, raw double"
+    kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {index.schema['chunk_id'].dataType.simpleString()}, raw double, group string"
+    named = lambda df: df.withColumnRenamed("group", by) if by else df.drop("group")
     found = None
     for b in range(blocks):
         own = (asks.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b) if blocks > 1 else asks).toArrow()
@@ -91,17 +103,17 @@ def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUES
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         part = rows.mapInArrow(_nearest_in_place(np.array(own.column("question_id").to_pylist()), v, k, to_arrow_type(index.schema["chunk_id"].dataType)), kinds)
         # the k best of a block: few rows are kept
-        part = top_of(part, k) if blocks == 1 else kept(top_of(part, k), "hits")
+        part = top_of(part, k, "group") if blocks == 1 else kept(top_of(part, k, "group"), "hits")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return spark.createDataFrame([], kinds.replace("raw", "cosine") + ", cosine_rank int")
-    return found
+        return named(spark.createDataFrame([], kinds.replace("raw double, group string", "group string, cosine double") + ", cosine_rank int"))
+    return named(found)
 
 
-def top_of(found: DataFrame, k: int) -> DataFrame:
-    """The k best of found(question_id, chunk_id, raw) by rounded cosine, then chunk_id."""
+def top_of(found: DataFrame, k: int, *by: str) -> DataFrame:
+    """The k best of found(question_id, chunk_id, raw) by rounded cosine, then chunk_id; for each value of ``by``."""
     scored = found.withColumn("cosine", half_even(F.col("raw"), 4))
-    nth = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("cosine"), "chunk_id"))
+    nth = F.row_number().over(W.partitionBy("question_id", *by).orderBy(F.desc("cosine"), "chunk_id"))
     return scored.withColumn("cosine_rank", nth).where(F.col("cosine_rank") <= k).drop("raw")
 
 

@@ -144,3 +144,16 @@ def test_embedder_plugs_in(spark):
     got = [r.v for r in df.select(embedding.embed(F.col("t"), lambda texts: np.array([[3.0, 4.0 * len(t)] for t in texts])).alias("v")).collect()]
     assert got[0] == pytest.approx([3 / np.hypot(3, 12), 12 / np.hypot(3, 12)]) and got[1] == [1, 0]
     assert embedding.hashed_words(["The the"]).max() == 2
+
+
+def test_nearest_of_each_configuration_in_one_look(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(f"c{i % 50}", ["a", "b", None][i % 3], rnd.normal(size=4).tolist()) for i in range(150)]
+    index = spark.createDataFrame(rows, "chunk_id string, cfg string, vector array<float>").repartition(3)
+    asks = spark.createDataFrame([(i, rnd.normal(size=4).tolist()) for i in range(7)], "question_id long, vector array<float>")
+    got = sorted(tuple(r) for r in retrieval.candidates(asks, index, 3, by="cfg").select("cfg", "question_id", "cosine_rank", "chunk_id", "cosine").collect())
+    want = []
+    for cfg in ("a", "b", ""):
+        one = retrieval.candidates(asks, index.where(F.coalesce("cfg", F.lit("")) == cfg), 3, block=3)
+        want += [(cfg, r.question_id, r.cosine_rank, r.chunk_id, r.cosine) for r in one.collect()]
+    assert got == sorted(want) and len(got) == 63
