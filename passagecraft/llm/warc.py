@@ -18,14 +18,14 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Tables, delete
 
-#: Compressed bytes after which a file is closed, payload bytes of a shard, ranges that are summed up in one look.
+#: Compressed bytes after which a file is closed, payload bytes of a shard.
 ROLL_BYTES = 64 << 20
 SHARD_BYTES = 256 << 20
-RANGES = 4096
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A header for URLs that can't stand in one as they are: null, empty, or with white space that would not come back.
@@ -142,35 +142,22 @@ def _write_rows(tmp: str, roll: int, date: str):
     return run
 
 
-def shard_bounds(sizes: DataFrame, shard_bytes: int = SHARD_BYTES, ranges: int = RANGES) -> list[int]:
-    """First keys of the shards, but for the first shard, of sizes(page_id, n_bytes): exact, by sums over ranges of keys.
+def shard_bounds(sizes: DataFrame, tables: Tables, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """First keys of the shards, but for the first shard, of sizes(page_id, n_bytes): exact, by prefix sums over sorted keys.
 
-    A range too full for one shard is looked at again in finer ranges. The driver gets at most ``ranges`` sums for each.
+    A shard begins with the first key whose prefix sum is in another multiple of ``shard_bytes`` than the one before. Keys
+    are sorted by ranges; a range's own sums and those of the ranges before it give each key's, so the jobs are the same
+    few whatever the number of shards, and the driver gets one key for each. The sorted keys are one of ``tables``.
     """
-    keyed = sizes.where(F.col("page_id").isNotNull())
-    low, high = keyed.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return []
-    bounds: list[int] = []
-    held = 0
-
-    def look(low: int, high: int) -> None:
-        nonlocal held
-        step = max(1, -(-(high - low + 1) // ranges))
-        at = F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)")).cast("long")
-        sums = keyed.where(F.col("page_id").between(low, high)).groupBy(at.alias("at")).agg(F.sum(F.col("n_bytes") + 512).alias("n")).orderBy("at").collect()
-        for row in sums:
-            start = low + row["at"] * step
-            if row["n"] > shard_bytes and step > 1:
-                look(start, min(high, start + step - 1))
-                continue
-            if held and held + row["n"] > shard_bytes:
-                bounds.append(start)
-                held = 0
-            held += row["n"]
-
-    look(low, high)
-    return bounds
+    per = sizes.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.sum(F.col("n_bytes") + 512).alias("n"))
+    dealt = per.repartitionByRange("page_id").sortWithinPartitions("page_id").withColumn("range", F.shiftrightunsigned(F.monotonically_increasing_id(), 33))
+    rows = tables.keep(dealt, "warc-keys", narrow=False)
+    sums = rows.groupBy("range").agg(F.sum("n").alias("held"))
+    before = F.coalesce(F.sum("held").over(W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    upto = F.sum("n").over(W.partitionBy("range").orderBy("page_id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    placed = rows.withColumn("upto", upto).join(sums.select("range", before.alias("before")), "range")
+    firsts = placed.groupBy(F.floor((F.col("upto") + F.col("before")) / F.lit(shard_bytes)).alias("shard")).agg(F.min("page_id").alias("page_id")).collect()
+    return sorted(r["page_id"] for r in firsts)[1:]
 
 
 @dataclass(frozen=True)
@@ -186,7 +173,8 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
 
     Of pages with equal payload, that with the largest page_id is a response and all others revisit it; null html is an
     empty payload, also shared. Null page_ids sort first and are never referred to unless no page of the payload has an
-    id; rows that repeat a page_id with its payload revisit that page. URLs come back as they are, null ones too. No pages:
+    id; rows that repeat a page_id with its payload revisit that page. Null page_ids of more than a shard's bytes have
+    shards of their own, by payload. URLs come back as they are, null ones too. No pages:
     no files and an empty manifest. Other columns are ignored. Pages have no date of their own: ``date`` stands for it.
 
     Payload bytes are shuffled once, to their shard; the references to copies travel along as small rows, which sort
@@ -202,7 +190,9 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
     none = F.lit(None).cast("string")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("long").alias("of"))
     rows = rows.unionByName(referring.select("page_id", none.alias("url"), none.alias("html"), hexed.alias("sha"), "of"))
-    bounds = shard_bounds(facts, shard_bytes)
+    bounds = shard_bounds(facts, tables, shard_bytes)
+    nameless = facts.where("page_id is null").agg(F.coalesce(F.sum(F.col("n_bytes") + 512), F.lit(0))).first()[0]
+    extra = -(-nameless // shard_bytes) if nameless > shard_bytes else 0
     known = spark.sparkContext.broadcast(bounds)  # one number for each SHARD_BYTES of payload
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +200,16 @@ def write_archive(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, sha
 
         for b in batches:
             ids = b.column("page_id")
-            at = np.searchsorted(np.array(known.value, np.int64), ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
+            at = extra + np.searchsorted(np.array(known.value, np.int64), ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right")
+            if extra:
+                for i in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)):
+                    sha = b.column("sha")[int(i)].as_py() or hashlib.sha1((b.column("html")[int(i)].as_py() or "").encode()).digest()
+                    at[i] = int.from_bytes(sha[:8]) % extra
             digests = pa.array([None if s is None else base64.b32encode(s).decode() for s in b.column("sha").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), ids, b.column("url"), b.column("html"), digests, b.column("of")], ["shard", "page_id", "url", "html", "digest", "of"])
 
     shards = rows.mapInArrow(numbered, "shard long, page_id long, url string, html string, digest string, of long")
-    shards = shards.repartitionById(len(bounds) + 1, F.col("shard").cast("int"))  # a shard is a task, by its number
+    shards = shards.repartitionById(extra + len(bounds) + 1, F.col("shard").cast("int"))  # a shard is a task, by its number
     tmp = f"{path}/_temporary/{uuid.uuid4().hex}"
     ordered = shards.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("of").asc_nulls_last(), "digest", F.md5("html"), "url")
     files = ordered.mapInArrow(_write_rows(tmp, roll_bytes, date), "shard long, part long, name string, bytes long, records long, sha256 string").collect()

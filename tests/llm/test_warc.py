@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import Row
 
 from passagecraft.llm import warc
-from passagecraft.llm.common import scratch
+from passagecraft.llm.common import Tables, scratch
 
 
 def pages():
@@ -65,3 +65,39 @@ def test_a_shard_is_a_task(spark):
     archive = warc.write_archive(df, scratch(spark, "warc"), shard_bytes=100_000)
     assert {f["name"][:11] for f in archive.files} == {f"part-{i:06d}" for i in range(len(archive.files))} and len(archive.files) >= 4
     assert max(f["records"] for f in archive.files) <= 2 * min(f["records"] for f in archive.files)
+
+
+def jobs_of(spark, name, f):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = f()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_bounds_take_the_same_jobs_for_any_number_of_shards(spark):
+    sizes = spark.range(20_000).selectExpr("id * 977 - 5000000 as page_id", "id % 700 as n_bytes").union(spark.range(50).selectExpr("null", "10"))
+    keys = sorted((i * 977 - 5_000_000, i % 700 + 512) for i in range(20_000))
+    took = []
+    for shard in (400_000, 3_000):
+        want, upto, last = [], 0, 0
+        for k, n in keys:
+            if upto // shard != last:
+                want.append(k)
+                last = upto // shard
+            upto += n
+        got, n = jobs_of(spark, f"bounds {shard}", lambda s=shard: warc.shard_bounds(sizes.repartition(5), Tables(), s))
+        assert got == want
+        took.append(n)
+    assert len(want) > 4000 and took[0] == took[1] <= 12
+
+
+def test_many_pages_without_an_id(spark):
+    rows = [(None, f"u{i}", f"{i % 40} " * 500) for i in range(200)] + [(7, "named", "3 " * 500), (8, "other", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.write_archive(df, scratch(spark, "warc"), shard_bytes=20_000)
+    assert len({f["name"][:11] for f in archive.files}) > 4
+    got = warc.read_archive(spark, archive).collect()
+    assert len(got) == 202 and sum(r.record_type == "response" for r in got) == 197  # five refer to 7; what has no id is never referred to
+    assert all(r.refers_to == 7 for r in got if r.page_id is None and r.payload_bytes == 1000 and r.payload_digest == next(x.payload_digest for x in got if x.page_id == 7))
