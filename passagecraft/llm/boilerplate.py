@@ -2,8 +2,8 @@
 
 A page becomes lines, one for each block of its markup, with empty lines where containers begin or end. The length of a
 line is the number of its characters outside of links, less where the markup speaks against it: text around a marked
-article counts a quarter, and what stands in headers, footers, adverts, notices and the like an eighth. Nothing is left
-out for that: lengths are summed up over a sliding window of lines, text begins where that sum surges, and ends where it
+article counts a twentieth, and what stands in headers, footers, adverts, notices and the like an eighth, and so much at most
+that no window of it can surge. Nothing is left out for that: lengths are summed up over a sliding window of lines, text begins where that sum surges, and ends where it
 dives to nothing. What lies between is kept, but for blocks in it that are marked and whose own sums never surge.
 """
 
@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 WINDOW = 3
 SURGE = 160
 #: What a character counts: beside a marked article; in a block with one mark of its name; in a block that is marked.
-BESIDE, SOME, LITTLE, NONE = 0.25, 0.6, 0.125, 0.0
+BESIDE, SOME, LITTLE, NONE = 0.05, 0.6, 0.125, 0.0
+#: Lines of marked blocks count so much at most that a window of them can't surge, however long they are.
+MOST = SURGE / (WINDOW + 1)
 #: Marked elements around an element that are looked at; one more says nothing new.
 DEEPEST = 64
 #: Tags of a page whose quotes may be open up to its end; further ones end at their first >, so that work is linear in a page.
@@ -50,6 +52,9 @@ _BY_WORD |= dict.fromkeys(
     "ad ads advert adverts advertisement advertising adsense banner consent cookie cookies footer footnav gdpr header login masthead newsletter notice notices notification popup promo promoted promotion related share sharing signup skip social sponsor sponsored subscribe widget widgets".split(),
     LITTLE,
 )
+#: Elements of running text: in an article such a name must be one of the block's kind through and through, and none that prose is named by, too.
+_RUNNING = _HEADING | frozenset("p li blockquote figcaption pre td th dd dt".split())
+_PROSE = frozenset("banner dialog footer header login menu notice notices notification promotion related search social widget".split())
 #: A word after one of these says that the element holds such a block, not that it is one.
 _HOLDS = frozenset("has with no is not without show hide".split())
 
@@ -99,6 +104,8 @@ def mark_of(name: str, attrs: str, inside: bool) -> Mark | None:
             said = []
             for token in value.split():
                 parts = re.split(r"[-_]+", token)
+                if inside and name in _RUNNING and not (all(w in _BY_WORD for w in parts) and not _PROSE.issuperset(parts)):
+                    continue
                 comments = bool(_COMMENTS.intersection(parts)) and not _HOLDS.intersection(parts)
                 if parts[-1] in ("header", "footer") and (inside or len(parts) > 1 and parts[0] not in ("site", "page", "main", "top")):
                     continue
@@ -310,7 +317,8 @@ def weighed(lines: list[Line], marks: list[Mark]) -> tuple[list[float], list[int
         held = [k for k in x.marks if holds[k] and not (x.heading and not marks[k].whole)]
         counts = min((marks[k].counts for k in held), default=1.0)
         here = x.article and not any(marks[k].comments for k in held)
-        lengths.append((len(x.text) if here else x.plain) * counts * (1.0 if here or not marked else BESIDE))
+        length = (len(x.text) if here else x.plain) * counts * (1.0 if here or not marked else BESIDE)
+        lengths.append(min(length, MOST) if counts <= LITTLE else length)
         outer.append(held[0] if held else -1)
     return lengths, outer
 
@@ -333,7 +341,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> s
 
 
 def _joined(lines: list[Line], lengths: list[float], outer: list[int], flow: list[int], keep: list[bool], window: int, surge: float) -> str:
-    """The text of the lines to keep, with what belongs to them, without marked blocks whose own sums never surge."""
+    """The text of the lines to keep, with what belongs to them, without marked blocks whose own sums never surge; those of adverts, notices and the like can't."""
     # up to the heading, or the first line of the article, that a surge came after
     for a, b in zip(reversed(flow[:-1]), reversed(flow[1:]), strict=True):
         if keep[b] and not keep[a] and lines[a].text and outer[a] < 0 and (lines[a].heading or lines[a].article):
@@ -364,6 +372,9 @@ def _joined(lines: list[Line], lengths: list[float], outer: list[int], flow: lis
 
 @F.arrow_udf(T.StringType())
 def extract(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The main text of each page; empty for null, for an empty page and for one without an article. Pages are judged one by one."""
+    """The main text of each page; empty for null, for an empty page and for one without an article.
+
+    Pages are judged one by one, so repeated rows have equal texts. Very long pages take time in proportion to their length.
+    """
     for batch in pages:
         yield pa.array([main_text(p.as_py()) for p in batch], pa.string())

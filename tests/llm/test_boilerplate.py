@@ -85,6 +85,22 @@ def test_wrappers_headings_and_links(page):
     assert boilerplate.main_text(page) == WRAPPED[page]
 
 
+MANY = " ".join(f"word{i}" for i in range(240))
+PROBES = {
+    f'<article><h1>T</h1><p>{LONG}</p><p class="market-share">Market share rose to 12 percent.</p><p class="social">Social care in the town costs much.</p><h2 class="search">In search</h2><p>{LONG}</p></article>': f"T {LONG.strip()} Market share rose to 12 percent. Social care in the town costs much. In search {LONG.strip()}",
+    f'<article><p>{LONG}</p><p class="ad">Buy now.</p><p class="newsletter-signup">Sign up.</p><li class="share">Tell all.</li><p>{LONG}</p></article>': f"{LONG.strip()} {LONG.strip()}",
+    f'<article><p>{LONG}</p><div class="ad">{MANY}</div><div class="cookie-notice"><p>{MANY}</p><p>{MANY}</p></div><p>{LONG}</p></article>': f"{LONG.strip()} {LONG.strip()}",
+    f"<article><p>{LONG}</p></article><div>{MANY[:785]}</div>": LONG.strip(),
+    f"<div>{MANY[:785]}</div><article><p>{LONG}</p></article>": LONG.strip(),
+    f'<div class="header"><p>{LONG}</p><p>{LONG}</p></div>': f"{LONG.strip()} {LONG.strip()}",
+}
+
+
+@pytest.mark.parametrize("page", PROBES)
+def test_names_in_prose_and_long_adverts(page):
+    assert boilerplate.main_text(page) == PROBES[page]
+
+
 class Plain(HTMLParser):
     """A plain version for the test pages: all that stands in the article element, by blocks."""
 
