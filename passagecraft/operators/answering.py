@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
@@ -83,22 +85,84 @@ def mode(grounded: Column, ready: Column, failed: Column, raw: Column, n_hits: C
     )
 
 
-def _generate(generator: Generator, retries: int):
+@dataclass(frozen=True)
+class Calls:
+    """How a back end is called: ``tasks`` times ``at_once`` calls run at a time over the whole job, the provider's budget.
+
+    ``store``, a folder that all workers share, keeps each answer under the digest of its name and prompt as soon as it is
+    there: what a lost worker or an earlier job has asked is not asked again. Failed calls are not kept.
+    """
+
+    at_once: int = 8
+    tasks: int = 4
+    store: str | None = None
+
+
+class Answers:
+    """Answers in a folder, a file for each; one is there as a whole or not at all."""
+
+    def __init__(self, store: str | None, name: str):
+        from pyarrow import fs
+
+        self.fs, self.root = fs.FileSystem.from_uri(store) if store else (None, "")
+        self.name = name
+
+    def _place(self, prompt: str) -> str:
+        digest = hashlib.sha256(f"{self.name}\n{prompt}".encode()).hexdigest()
+        return f"{self.root}/{digest[:2]}/{digest}.txt"
+
+    def get(self, prompt: str) -> str | None:
+        if not self.fs:
+            return None
+        try:
+            with self.fs.open_input_stream(self._place(prompt)) as f:
+                return f.read().decode()
+        except FileNotFoundError:
+            return None
+
+    def put(self, prompt: str, answer: str) -> None:
+        if not self.fs:
+            return
+        place = self._place(prompt)
+        self.fs.create_dir(place.rpartition("/")[0], recursive=True)
+        staged = f"{place}.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(staged) as f:
+            f.write(answer.encode())
+        self.fs.move(staged, place)
+
+
+def _generate(generator: Generator, retries: int, calls: Calls, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws, errors = [], []
-            for p in b.column("prompt").to_pylist():
-                try:
-                    raws.append(with_retry(lambda p=p: generator([p])[0], retries))
-                    errors.append(None)
-                except Exception as e:  # a failed call is an outcome here, not a failure of the job
-                    raws.append(None)
-                    errors.append(str(e) or type(e).__name__)
-            yield pa.RecordBatch.from_arrays([b.column("question_id"), pa.array(raws, pa.string()), pa.array(errors, pa.string())], ["question_id", "raw", "error"])
+        from concurrent.futures import ThreadPoolExecutor
+
+        answers = Answers(calls.store, name)
+
+        def one(prompt: str) -> tuple[str | None, str | None]:
+            try:
+                raw = answers.get(prompt)
+                if raw is None:
+                    raw = with_retry(lambda: generator([prompt])[0], retries)
+                    answers.put(prompt, raw)
+                return raw, None
+            except Exception as e:  # a failed call is an outcome here, not a failure of the job
+                return None, str(e) or type(e).__name__
+
+        with ThreadPoolExecutor(calls.at_once) as pool:
+            for b in batches:
+                got = list(pool.map(one, b.column("prompt").to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["key", "raw", "error"])
 
     return run
 
 
+def asked(prompts: DataFrame, generator: Generator, retries: int = 1, calls: Calls = Calls(), name: str = "") -> DataFrame:
+    """question_id, raw, error of prompts(question_id, prompt): each different prompt is one call, however many questions have it."""
+    kind = "key string, raw string, error string"
+    keyed = prompts.withColumn("key", F.sha2(F.coalesce("prompt", F.lit("")), 256))
+    each = keyed.groupBy("key").agg(F.first("prompt").alias("prompt")).where("prompt is not null").repartition(calls.tasks, "key")
+    return keyed.select("question_id", "key").join(each.mapInArrow(_generate(generator, retries, calls, name), kind), "key", "left").drop("key")
+
+
 class RateLimited(Exception):
     """A provider asks to wait; ``delay`` is what it says, in seconds."""
 
@@ -174,10 +238,11 @@ class Providers:
         return found
 
 
-def answer(hits: DataFrame, decisions: DataFrame, providers: Providers | None = None, provider: str | None = None, force_extractive: bool = False, retries: int = 1) -> DataFrame:
+def answer(hits: DataFrame, decisions: DataFrame, providers: Providers | None = None, provider: str | None = None, force_extractive: bool = False, retries: int = 1, calls: Calls = Calls()) -> DataFrame:
     """A row for each question: text, grounded, mode, reason, citations, invented, diagnostics.
 
-    The generator sees the prompts of grounded questions only. mode names the provider that answered.
+    The generator sees the prompts of grounded questions only, each once; ``calls`` says how many at a time and where
+    answers are kept. mode names the provider that answered.
     """
     providers = providers or Providers()
     name = provider or providers.default
@@ -186,9 +251,8 @@ def answer(hits: DataFrame, decisions: DataFrame, providers: Providers | None =
     empty = F.array().cast(per.schema["all_citations"].dataType)
     rows = decisions.join(per, "question_id", "left").withColumn("all_citations", F.coalesce("all_citations", empty)).withColumn("n_hits", F.size("all_citations"))
     if status.ready and not force_extractive:
-        asked = rows.where("grounded").select("question_id", prompt(F.col("context"), F.col("question")).alias("prompt"))
-        kind = f"question_id {decisions.schema['question_id'].dataType.simpleString()}, raw string, error string"
-        rows = rows.join(asked.mapInArrow(_generate(providers.get(provider), retries), kind), "question_id", "left")
+        prompts = rows.where("grounded").select("question_id", prompt(F.col("context"), F.col("question")).alias("prompt"))
+        rows = rows.join(asked(prompts, providers.get(provider), retries, calls, f"{name} {providers.models.get(name, '')}"), "question_id", "left")
     else:
         rows = rows.withColumns({"raw": F.lit(None).cast("string"), "error": F.lit("extractive answers were asked for" if force_extractive else status.detail)})
     used, invented = cited(F.coalesce("raw", F.lit("")), F.col("n_hits"))
@@ -208,7 +272,3 @@ def answer(hits: DataFrame, decisions: DataFrame, providers: Providers | None =
     citations = F.when(F.col("mode") == "extractive", F.slice("all_citations", 1, 1)).when(F.col("mode").isin("abstained", "unverified"), none).otherwise(picked)
     return rows.select("question_id", "question", text.alias("text"), (F.col("grounded") & ~F.col("mode").isin("abstained", "unverified")).alias("grounded"), "mode", why.alias("reason"), citations.alias("citations"), "invented", "diagnostics")
 
-
-def markers(text: str) -> list[int]:
-    """All markers of a text, for callers outside of Spark."""
-    return [int(m) for m in re.findall(r"\[(\d+)\]", text)]
