@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,10 +46,15 @@ class Filter:
     """A set of hashes: what is in it passes, and little else as long as it has bits enough."""
 
     def __init__(self, bits: bytes):
-        self.bits = np.frombuffer(bits, np.uint8)
+        self.bits, self.one = np.frombuffer(bits, np.uint8), bits
+        self.last = 8 * len(bits) - 1
+
+    def has(self, h: int) -> bool:
+        h &= self.last
+        return self.one[h >> 3] >> (h & 7) & 1 > 0
 
     def passes(self, h: np.ndarray) -> np.ndarray:
-        at = h & np.uint64(8 * len(self.bits) - 1)
+        at = h & np.uint64(self.last)
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
     @staticmethod
@@ -87,7 +93,7 @@ class Words(dict):
         h, n = 0, len(self.names)
         if self.passing is not None:
             h = self.digest(word)
-            if not self.passing.passes(np.array([h], np.uint64))[0]:
+            if not self.passing.has(h):
                 n = 0
         if n:
             self.names.append(word)
@@ -141,8 +147,9 @@ def grown(shard: Bitmaps, phrase: np.ndarray, at: np.ndarray, mask: np.ndarray,
     phrase, at = np.append(phrase, phrase[over]), np.append(at, at[over] + 1)
     mask = np.append(mask << np.uint64(1), np.ones(len(over), np.uint64))
     # the words that stand there are the only ones whose AND isn't empty
-    row, bit = np.nonzero(np.unpackbits(mask.view(np.uint8), bitorder="little").reshape(-1, 64))
-    place = at[row] * 64 + bit
+    bit = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
+    row = bit >> 6
+    place = at[row] * 64 + (bit & 63)
     may = going[place]
     row, place = row[may], place[may]
     longer, which = np.unique(phrase[row].astype(np.int64) * n_words + shard.seq[place], return_inverse=True)
@@ -158,8 +165,8 @@ def grown(shard: Bitmaps, phrase: np.ndarray, at: np.ndarray, mask: np.ndarray,
     return (phrase, at[row[one]], mask), longer // n_words, longer % n_words, counts
 
 
-def phrases_of(seq: np.ndarray, words: Words, pairs: Filter | None, least: int, most: int) -> Iterator[tuple[bytes, int]]:
-    """(phrase, popcount) of the phrases of least to most words in a shard."""
+def phrases_of(seq: np.ndarray, words: Words, pairs: Filter | None, least: int, most: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(phrases, their popcounts) of the phrases of least to most words in a shard, a level of a branch at a time."""
     shard = Bitmaps(seq)
     going = np.zeros(len(shard.seq), bool)
     going[1 : len(seq)] = (seq[1:] > 0) & (seq[:-1] > 0)
@@ -168,17 +175,18 @@ def phrases_of(seq: np.ndarray, words: Words, pairs: Filter | None, least: int,
         second = h << np.uint64(29) | h >> np.uint64(35)
         at = np.flatnonzero(going)
         going[at] = pairs.passes(h[seq[at - 1]] ^ second[seq[at]])
+    named = pa.array(words.names, pa.binary()).cast(pa.string())
     for part in shard.branches():
         first, phrase = np.unique(shard.word[part], return_inverse=True)
-        names = [words.names[w] for w in first]
+        names = named.take(pa.array(first))
         now = phrase, shard.at[part], shard.mask[part]
         for level in range(2, most + 1):
             now, parent, last, counts = grown(shard, *now, going, len(words.names))
-            names = [names[p] + b" " + words.names[w] for p, w in zip(parent.tolist(), last.tolist(), strict=True)]
-            if level >= least:
-                yield from zip(names, counts.tolist(), strict=True)
-            if not names:
+            if not len(counts):
                 break
+            names = pc.binary_join_element_wise(names.take(pa.array(parent)), named.take(pa.array(last)), " ")
+            if level >= least:
+                yield names, counts
 
 
 def _shards(batches: Iterator[pa.RecordBatch], passing: Filter | None) -> Iterator[tuple[str, np.ndarray, Words]]:
@@ -222,20 +230,8 @@ def _shards(batches: Iterator[pa.RecordBatch], passing: Filter | None) -> Iterat
     yield from out()
 
 
-def _batches(lang: str, counts: Iterator[tuple[bytes, int]]) -> Iterator[pa.RecordBatch]:
-    names, numbers = [], []
-    for name, n in counts:
-        names.append(name)
-        numbers.append(n)
-        if len(names) == 1 << 16:
-            yield _rows(lang, names, numbers)
-            names, numbers = [], []
-    if names:
-        yield _rows(lang, names, numbers)
-
-
-def _rows(lang: str, names: list[bytes], numbers: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], ["lang", "phrase", "f"])
+def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
 
 
 def _counted(words: object, pairs: object, least: int, most: int):
@@ -248,10 +244,12 @@ def _counted(words: object, pairs: object, least: int, most: int):
                 counts = np.bincount(seq, minlength=len(numbers.names))
                 counts[0] = 0
                 there = np.flatnonzero(counts)
-                yield from _batches(lang, ((numbers.names[w], int(counts[w])) for w in there))
-                yield from _batches(lang, [(b"", int(counts.sum()))])
+                words_there = pa.array([numbers.names[w] for w in there], pa.binary()).cast(pa.string())
+                yield _rows(lang, words_there, counts[there])
+                yield _rows(lang, pa.array([""]), counts.sum(keepdims=True))
             else:
-                yield from _batches(lang, phrases_of(seq, numbers, going, least, most))
+                for phrases, counts in phrases_of(seq, numbers, going, least, most):
+                    yield _rows(lang, phrases, counts)
 
     return run
 
