@@ -30,6 +30,8 @@ MAX_WORDS = 4
 #: Scores are millionths of a half; a phrase goes if a longer one has this share of its occurrences (percent).
 SCALE, SHARE = 2_000_000, 80
 TOP = 2000
+#: Parts of a language that are ranked apart before its best are.
+PARTS = 256
 UNKNOWN = "und"
 #: Places of a shard, of the first words that grow together, about; bytes that are split into words at once.
 SHARD, BRANCH, SLICE = 1 << 21, 1 << 18, 1 << 20
@@ -305,7 +307,10 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, most: int = MAX_WORDS,
     inner = F.explode(F.array(part(F.lit(1), F.size("w") - 1), part(F.lit(2), F.size("w"))))
     over = some.where(F.size("w") > 2).select("lang", F.col("a").alias("longer"), inner.alias("phrase")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = scored.join(over, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (wide(F.col("longer")) * 100 < wide(F.col("a")) * SHARE))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", nth).where(F.col("rank") <= top)
+    # the best of each part of a language first, so that no task sorts all of one
+    order = F.desc("cut.score"), F.desc("a"), F.col("phrase")
+    dealt = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    some_best = dealt.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = some_best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     named = best.join(found.where("phrase = ''").select("lang", F.col("f").alias("n")), "lang")
     return named.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
