@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +70,10 @@ def overridden(docs: DataFrame, sidecar: DataFrame) -> DataFrame:
     return out.drop("_file", "_side")
 
 
+#: From a file's bytes to the raw text of its pages, in order, and its metadata.
+PageReader = Callable[[bytes], tuple[list[str], dict]]
+
+
 def _parse_pdf(content: bytes) -> tuple[list[str], dict]:
     import io
 
@@ -95,32 +99,37 @@ def _parse_text(kind: str, raw: bytes) -> tuple[str, dict]:
     return (text[m.end() :] if m else text).strip(), meta if isinstance(meta, dict) else {}
 
 
-@F.arrow_udf(_PARSED)
-def _parse(files: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    kind = pa.struct([("text", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("page_breaks", pa.list_(pa.struct([("start", pa.int32()), ("page", pa.int32())]))), ("error", pa.string())])
-    for kinds, contents in files:
-        out = []
-        for k, c in zip(kinds.to_pylist(), contents, strict=True):
-            text, meta, error = "", {}, None
-            try:
-                if k == "pdf":
-                    pages, meta = _parse_pdf(c.as_py() or b"")
-                    text = json.dumps(pages)
-                else:
-                    text, meta = _parse_text(k, c.as_py() or b"")
-            except Exception as e:  # a file that can't be read is a row with an error, and the others go on
-                error = f"{type(e).__name__}: {e}"
-            out.append({"text": text, "meta": list(plain_values(meta).items()), "page_breaks": [], "error": error})
-        yield pa.array(out, kind)
+def parser(read_pages: PageReader = _parse_pdf):
+    """A column function of (format, content): text, metadata and error of a file; ``read_pages`` reads what has pages."""
+
+    @F.arrow_udf(_PARSED)
+    def parse(files: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.struct([("text", pa.string()), ("meta", pa.map_(pa.string(), pa.string())), ("page_breaks", pa.list_(pa.struct([("start", pa.int32()), ("page", pa.int32())]))), ("error", pa.string())])
+        for kinds, contents in files:
+            out = []
+            for k, c in zip(kinds.to_pylist(), contents, strict=True):
+                text, meta, error = "", {}, None
+                try:
+                    if k == "pdf":
+                        pages, meta = read_pages(c.as_py() or b"")
+                        text = json.dumps(pages)
+                    else:
+                        text, meta = _parse_text(k, c.as_py() or b"")
+                except Exception as e:  # a file that can't be read is a row with an error, and the others go on
+                    error = f"{type(e).__name__}: {e}"
+                out.append({"text": text, "meta": list(plain_values(meta).items()), "page_breaks": [], "error": error})
+            yield pa.array(out, kind)
 
+    # parsed once, whatever is filtered by the outcome
+    return parse.asNondeterministic()
 
-# parsed once, whatever is filtered by the outcome
-_parse = _parse.asNondeterministic()
 
+_parse = parser()
 
-def failures(spark: SparkSession, root: str) -> DataFrame:
+
+def failures(spark: SparkSession, root: str, read_pages: PageReader = _parse_pdf) -> DataFrame:
     """path and error of the files below a folder that read_corpus() leaves out as they can't be read."""
-    return scan(spark, root).select("path", _parse("format", "content").alias("p")).where("p.error is not null").select("path", F.col("p.error").alias("error"))
+    return scan(spark, root).select("path", parser(read_pages)("format", "content").alias("p")).where("p.error is not null").select("path", F.col("p.error").alias("error"))
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -130,12 +139,15 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~name.startswith(".") & (name != SIDECAR)).select("path", document_format(F.col("path")).alias("format"), "content").where("format is not null")
 
 
-def read_corpus(spark: SparkSession, root: str, corpus_id: str = "default") -> DataFrame:
-    """The documents below a folder, as rows of schema.DOCUMENT with corpus_id; those without text are left out, as are files that can't be read: see failures()."""
+def read_corpus(spark: SparkSession, root: str, corpus_id: str = "default", read_pages: PageReader = _parse_pdf) -> DataFrame:
+    """The documents below a folder, as rows of schema.DOCUMENT with corpus_id; those without text are left out, as are files that can't be read: see failures().
+
+    ``read_pages`` reads PDF files; without one that is what ``pypdf`` does, where it is installed.
+    """
     from .pages import join_pages
 
     base = f"file:{os.path.abspath(root)}/" if "://" not in root else f"{root.rstrip('/')}/"
-    parsed = scan(spark, root).withColumn("p", _parse("format", "content")).where("p.error is null")
+    parsed = scan(spark, root).withColumn("p", parser(read_pages)("format", "content")).where("p.error is null")
     known = defaults(F.col("path"), F.col("p.meta"), base)
     extra = F.map_filter("p.meta", lambda k, v: ~k.isin(*KNOWN_KEYS)).alias("extra")
     docs = parsed.select(*(c.alias(k) for k, c in known.items()), extra, F.col("p.text").alias("text"), F.col("p.page_breaks").alias("page_breaks"), "format")

@@ -67,3 +67,26 @@ def test_titles(spark):
 def test_names_and_numbers(spark):
     r = spark.sql("select 'My Docs!' a, '---' b, '\\u00a0\\n x \\u00a0' c").select(tx.safe_name(F.col("a")).alias("a"), tx.safe_name(F.col("b")).alias("b"), tx.strip(F.col("c")).alias("c"), tx.model_tag(F.lit("BAAI/bge-small-en-v1.5")).alias("m"), tx.half_even(F.lit(2.5)).alias("h")).first()
     assert tuple(r) == ("my_docs", "corpus", "x", "bgesmallenv15", 2.0)
+
+
+def test_files_with_pages(spark, tmp_path):
+    import json
+
+    def read(content):
+        if not content.startswith(b"%PDF"):
+            raise ValueError("no pages here")
+        return json.loads(content[4:]), {"title": "Of Pages", "author": "nobody"}
+
+    root = tmp_path / "corpus" / "terms"
+    root.mkdir(parents=True)
+    raw = ["Page 1 of 4\nSECTION 1 SCOPE\nfirst page", " \n", "last words\nof it", "é end"]
+    (root / "a.PDF").write_bytes(b"%PDF" + json.dumps(raw).encode())
+    (root / "b.pdf").write_bytes(b"other")
+    (root / "c.md").write_text("plain")
+    docs = {r.document_id: r for r in files.read_corpus(spark, str(tmp_path / "corpus"), read_pages=read).collect()}
+    assert set(docs) == {"A", "C"} and docs["A"].title == "Of Pages" and docs["A"].extra["author"] == "nobody"
+    text, breaks = docs["A"].text, [(b.start, b.page) for b in docs["A"].page_breaks]
+    assert [p for _, p in breaks] == [1, 3, 4]  # in order; a page without text is none, but keeps its number
+    cut = [text[s:e] for (s, _), e in zip(breaks, [b[0] - 2 for b in breaks[1:]] + [len(text)], strict=True)]
+    assert cut[1:] == ["last words\nof it", "é end"] and cut[0].endswith("first page") and "## " in cut[0] and "Page 1 of 4" not in cut[0]
+    assert [r.error for r in files.failures(spark, str(tmp_path / "corpus"), read).collect()] == ["ValueError: no pages here"]
