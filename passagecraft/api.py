@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagecraft.functions.text import collection_name
@@ -33,19 +33,19 @@ def as_questions(spark: SparkSession, questions: str | Iterable[str] | DataFrame
 def ask(
     spark: SparkSession, questions: str | Iterable[str] | DataFrame, store: str, cfg: ChunkConfig = ChunkConfig(), corpus_id: str = "default", params: RetrievalParams = RetrievalParams(),
     embedder: embedding.Embedder = embedding.hashed_words, model: str = "hashed-words", scorer: embedding.Scorer | None = None,
-    providers: answering.Providers | None = None, provider: str | None = None, force_extractive: bool = False,
+    providers: answering.Providers | None = None, provider: str | None = None, force_extractive: bool = False, where: Column | str | None = None, calls: answering.Calls = answering.Calls(),
 ) -> DataFrame:
-    """An answer for each question."""
+    """An answer for each question, from the chunks for which ``where`` holds."""
     asks = as_questions(spark, questions).withColumn("vector", embedding.embed_query(F.col("question"), embedder, model))
     name = spark.range(1).select(collection_name(F.lit(corpus_id), F.lit(model), F.lit(cfg.slug))).first()[0]
-    hits, decisions = retrieval.retrieve(asks, index.read(spark, store, corpus_id, cfg, model), params, scorer, name)
-    return answering.answer(hits, decisions, providers, provider, force_extractive)
+    hits, decisions = retrieval.retrieve(asks, index.read(spark, store, corpus_id, cfg, model), params, scorer, name, where)
+    return answering.answer(hits, decisions, providers, provider, force_extractive, calls=calls)
 
 
-def hits(spark: SparkSession, questions: str | Iterable[str] | DataFrame, store: str, cfg: ChunkConfig = ChunkConfig(), corpus_id: str = "default", params: RetrievalParams = RetrievalParams()) -> DataFrame:
+def hits(spark: SparkSession, questions: str | Iterable[str] | DataFrame, store: str, cfg: ChunkConfig = ChunkConfig(), corpus_id: str = "default", params: RetrievalParams = RetrievalParams(), where: Column | str | None = None) -> DataFrame:
     """The passages that answers are made from."""
     asks = as_questions(spark, questions).withColumn("vector", embedding.embed_query(F.col("question")))
-    return retrieval.retrieve(asks, index.read(spark, store, corpus_id, cfg), params)[0]
+    return retrieval.retrieve(asks, index.read(spark, store, corpus_id, cfg), params, where=where)[0]
 
 
 def ranks(spark: SparkSession, gold: DataFrame, store: str, cfg: ChunkConfig = ChunkConfig(), corpus_id: str = "default", params: RetrievalParams = RetrievalParams()) -> DataFrame:

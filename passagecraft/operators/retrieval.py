@@ -153,9 +153,13 @@ def decide(questions: DataFrame, hits: DataFrame, params: RetrievalParams, colle
     return joined.withColumn("grounded", F.col("reason") == "").drop("n", "c", "r")
 
 
-def retrieve(questions: DataFrame, index: DataFrame, params: RetrievalParams = RetrievalParams(), scorer: Scorer | None = None, collection: str = "") -> tuple[DataFrame, DataFrame]:
-    """(hits, decisions) of questions(question_id, question, vector) on an index of chunks with vectors."""
+def retrieve(questions: DataFrame, index: DataFrame, params: RetrievalParams = RetrievalParams(), scorer: Scorer | None = None, collection: str = "", where: Column | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, decisions) of questions(question_id, question, vector) on an index of chunks with vectors.
+
+    ``where`` is any further condition on the index's columns; it holds before candidates are chosen, as the filters of ``params`` do.
+    """
     some = index.where(matches(params))
+    some = some.where(where) if where is not None else some
     near = candidates(questions, some, params.candidate_k)
     # text and metadata meet the few candidates only
     full = near.join(some.drop("vector"), "chunk_id").join(questions.select("question_id", "question"), "question_id")

@@ -157,3 +157,14 @@ def test_nearest_of_each_configuration_in_one_look(spark):
         one = retrieval.candidates(asks, index.where(F.coalesce("cfg", F.lit("")) == cfg), 3, block=3)
         want += [(cfg, r.question_id, r.cosine_rank, r.chunk_id, r.cosine) for r in one.collect()]
     assert got == sorted(want) and len(got) == 63
+
+
+def test_any_condition_before_candidates_are_chosen(spark):
+    rows = [(f"c{i}", f"d{i}", f"text {i}", "", "", i % 2, [1.0, i / 10]) for i in range(20)]
+    idx = spark.createDataFrame(rows, "chunk_id string, document_id string, text string, doc_type string, effective_date string, owner int, vector array<float>")
+    asks = spark.createDataFrame([(1, "text", [1.0, 0.0])], "question_id long, question string, vector array<float>")
+    params = RetrievalParams(top_k=3, candidate_k=3, rerank=False, min_cosine=0)
+    for where in ("owner = 1", F.col("owner") == 1):
+        hits, decided = retrieval.retrieve(asks, idx, params, where=where)
+        assert [r.chunk_id for r in hits.orderBy("rank").collect()] == ["c1", "c3", "c5"] and decided.first().diagnostics.candidates == 3
+    assert retrieval.retrieve(asks, idx, params, where="owner = 7")[1].first().reason == retrieval.NO_MATCH
