@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -20,7 +21,7 @@ BATCH = 64
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 #: Words that a worker remembers the hashes of.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 100_000
 
 #: From texts to a matrix with a row for each.
 Embedder = Callable[[Sequence[str]], np.ndarray]
@@ -36,22 +37,26 @@ def kept(name: str, make: Callable[[], object]):
     return store[name]
 
 
+class _Hashes(dict):
+    """Hashes of words, made when they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = made = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        return made
+
+
 def hashed_words(texts: Sequence[str], dims: int = DIMENSIONS) -> np.ndarray:
     """Word counts by hash: a word's place is the first 32 bits of its MD5, modulo the dimensions."""
     import re
-    from hashlib import md5
+    from itertools import chain
 
-    hashes = kept("hashed words", dict)
+    hashes = kept("hashed words", _Hashes)
     if len(hashes) > REMEMBERED_WORDS:
         hashes.clear()
-    out = np.zeros((len(texts), dims))
-    for i, t in enumerate(texts):
-        words = re.findall(r"[^\W_]+", t.lower())
-        for w in set(words).difference(hashes):
-            hashes[w] = int(md5(w.encode()).hexdigest()[:8], 16)
-        places = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)) % dims
-        out[i] = np.bincount(places, minlength=dims)
-    return out
+    words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    sizes = [len(w) for w in words]
+    places = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes)) % dims
+    return np.bincount(np.repeat(np.arange(len(texts)) * dims, sizes) + places, minlength=len(texts) * dims).reshape(len(texts), dims).astype(float)
 
 
 class Hosted:
@@ -89,15 +94,25 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
+def vectors(texts: pa.Array, embedder: Embedder = hashed_words, batch: int = BATCH) -> Iterator[np.ndarray]:
+    """Unit vectors of texts in single precision, ``batch`` rows at a time; a null text is an empty one."""
+    for at in range(0, len(texts), batch):
+        yield unit(np.asarray(embedder([t or "" for t in texts.slice(at, batch).to_pylist()]), float)).astype(np.float32)
+
+
 def embed(text: Column, embedder: Embedder = hashed_words, batch: int = BATCH) -> Column:
     """Unit vectors of texts; a null text is an empty one."""
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            rows = [t or "" for t in part.to_pylist()]
-            made = [unit(np.asarray(embedder(rows[i : i + batch]), float)) for i in range(0, len(rows), batch)]
-            yield pa.array([v.astype(np.float32) for m in made for v in m], pa.list_(pa.float32()))
+            made = list(vectors(part, embedder, batch))
+            if not made:
+                yield pa.array([], pa.list_(pa.float32()))
+                continue
+            flat = np.concatenate(made)
+            ends = pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32())
+            yield pa.ListArray.from_arrays(ends, pa.array(flat.ravel()))
 
     return run(text)
 

@@ -57,6 +57,12 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """A setting for an application on texts: rows go to Python workers ``rows`` at a time. Operators leave the session as it is; the named queries call this."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file as text, such as a manifest; null if there is none."""
     store, p = store_of(spark, path)
