@@ -15,13 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from passagecraft.functions.text import half_even
 from passagecraft.schema import RECENCY_BAND, RetrievalParams
 
-from .embedding import Scorer, rerank_score
+from .embedding import BATCH, Embedder, Scorer, rerank_score, vectors
 from .storage import kept
 
 #: Questions that are sent to all executors at once, about.
 QUESTION_BLOCK = 2048
 #: Scores that are held at once.
-_SCORES = 1 << 21
+_SCORES = 1 << 18
 
 NO_MATCH = "Nothing in the index matched the filters."
 REFUSED_COSINE = "Best vector similarity %.2f is below the threshold of %.2f: nothing in the documents is close to this question."
@@ -44,35 +44,73 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
 
 
-def _nearest_in_place(asks: np.ndarray, questions: np.ndarray, k: int, kind: pa.DataType):
-    """The k nearest rows of each group that a task has seen, for each question."""
+class _Best:
+    """The k nearest of one group to each question so far: pairs by question, score (four digits count), then id."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.worst = k, np.full(questions, -np.inf)
+        self.at, self.ids, self.scores = np.zeros(0, np.int64), None, np.zeros(0)
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows of ids with their scores for each question; pairs that reach no question's worst are of no use."""
+        rounded = np.round(scores, 4)
+        rounded[np.isnan(rounded)] = -np.inf
+        least = self.worst
+        if len(ids) > self.k and np.isneginf(least).any():  # nor are those behind k of these rows
+            least = np.maximum(least, np.partition(rounded, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        row, at = np.nonzero(rounded >= least)
+        self.more.append((at, ids[row], scores[row, at]))
+        self.waiting += len(row)
+        if self.waiting > max(len(self.at), _SCORES >> 3):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.more:
+            held = [] if self.ids is None else [(self.at, self.ids, self.scores)]
+            at, ids, scores = (np.concatenate(x) for x in zip(*held, *self.more, strict=True))
+            order = np.lexsort((ids, -np.round(scores, 4), at))
+            at = at[order]
+            first = np.searchsorted(at, np.arange(len(self.worst)))
+            nth = np.arange(len(at)) - first[at]
+            order, at = order[nth < self.k], at[nth < self.k]
+            self.at, self.ids, self.scores = at, ids[order], scores[order]
+            last = np.flatnonzero(nth[nth < self.k] == self.k - 1)
+            self.worst[at[last]] = np.nan_to_num(np.round(self.scores[last], 4), nan=-np.inf)
+            self.more, self.waiting = [], 0
+        return self.at, self.ids, self.scores
+
+
+def _nearest_in_place(asks: np.ndarray, questions: np.ndarray, k: int, kind: pa.DataType, embedder: Embedder | None = None):
+    """The k nearest rows of each group that a task has seen, for each question; with an embedder rows come as texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        some = max(1, _SCORES // max(1, len(asks)))
+        held: dict[str, _Best] = {}
+        some = max(1, min(BATCH if embedder else _SCORES, _SCORES // max(1, len(asks))))
         for whole in batches:
             for at in range(0, len(whole), some):
                 chunk = whole.slice(at, some)
-                for group in chunk.column(2).unique().to_pylist():
-                    part = chunk.filter(pc.equal(chunk.column(2), group))
-                    ids, best = held.get(group, (None, np.zeros((0, len(asks)))))
-                    names = np.array(part.column(0).to_pylist())
-                    v = np.asarray(part.column(1).flatten(), np.float64).reshape(len(part), -1)
-                    scores = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ questions.T
-                    if len(best) == k:  # rows that reach no question's worst are of no use
-                        reach = (np.round(scores, 4) >= np.round(best[-1], 4)).any(1)
-                        names, scores = names[reach], scores[reach]
-                    every = np.broadcast_to(names[:, None], scores.shape)
-                    new, found = best_of(every, scores, k)
-                    held[group] = (new, found) if ids is None else best_of(np.concatenate([ids, new]), np.concatenate([best, found]), k)
-        for group, (ids, best) in held.items():
-            q = np.broadcast_to(asks, best.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(q.ravel()), pa.array(ids.ravel().tolist(), kind), pa.array(best.ravel()), pa.array([group] * best.size, pa.string())], ["question_id", "chunk_id", "raw", "group"])
+                if embedder:
+                    v = np.concatenate(list(vectors(chunk.column(1), embedder))).astype(np.float64)
+                    if v.shape[1] != questions.shape[1]:
+                        continue
+                else:
+                    v = np.asarray(chunk.column(1).flatten(), np.float64).reshape(len(chunk), -1)
+                names = np.array(chunk.column(0).to_pylist())
+                groups = np.array(chunk.column(2).to_pylist())
+                scores = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ questions.T
+                for group in np.unique(groups).tolist():
+                    own = groups == group
+                    held.setdefault(group, _Best(len(asks), k)).add(names[own], scores[own])
+        for group, best in held.items():
+            at, ids, scores = best.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(asks[at]), pa.array(ids.tolist(), kind), pa.array(scores), pa.array([group] * len(at), pa.string())], ["question_id", "chunk_id", "raw", "group"])
 
     return run
 
 
-def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUESTION_BLOCK, by: str | None = None) -> DataFrame:
+def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUESTION_BLOCK, by: str | None = None, embedder: Embedder | None = None) -> DataFrame:
     """question_id, chunk_id, cosine, cosine_rank: exactly the k nearest of index(chunk_id, vector) to each of questions(question_id, vector).
 
     Questions go in blocks by a hash of their id, so what is sent out has a bound whatever the number of questions; every
@@ -83,14 +121,22 @@ def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUES
 
     With ``by``, a string column of index with few values such as a configuration, the k nearest are found for each value,
     all in the same look at the index, and the result has that column, too.
+
+    With ``embedder``, index has a column text in place of vector: texts become vectors where they are met, some at a time,
+    and no vector leaves a worker. A null text is an empty one. With several blocks they are made for each.
     """
     spark = questions.sparkSession
     asks = questions.where(F.col("vector").isNotNull()).select("question_id", F.col("vector").cast("array<double>").alias("vector"))
     group = F.col(by) if by else F.lit("")
-    rows = index.where(F.col("vector").isNotNull()).select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), F.coalesce(group, F.lit("")).alias("group"))
+    group = F.coalesce(group, F.lit("")).alias("group")
+    if embedder:
+        rows = index.select("chunk_id", "text", group)
+    else:
+        rows = index.where(F.col("vector").isNotNull()).select("chunk_id", F.col("vector").cast("array<double>").alias("vector"), group)
     lengths = asks.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "n").first()
     width, n = lengths if lengths else (0, 0)
-    asks, rows = asks.where(F.size("vector") == width), rows.where(F.size("vector") == width)
+    asks = asks.where(F.size("vector") == width)
+    rows = rows if embedder else rows.where(F.size("vector") == width)
     blocks = max(1, -(-n // block))
     kinds = f"question_id {questions.schema['question_id'].dataType.simpleString()}, chunk_id {index.schema['chunk_id'].dataType.simpleString()}, raw double, group string"
     named = lambda df: df.withColumnRenamed("group", by) if by else df.drop("group")
@@ -101,7 +147,7 @@ def candidates(questions: DataFrame, index: DataFrame, k: int, block: int = QUES
             continue
         v = np.asarray(own.column("vector").combine_chunks().flatten(), np.float64).reshape(len(own), -1)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        part = rows.mapInArrow(_nearest_in_place(np.array(own.column("question_id").to_pylist()), v, k, to_arrow_type(index.schema["chunk_id"].dataType)), kinds)
+        part = rows.mapInArrow(_nearest_in_place(np.array(own.column("question_id").to_pylist()), v, k, to_arrow_type(index.schema["chunk_id"].dataType), embedder), kinds)
         # the k best of a block: few rows are kept
         part = top_of(part, k, "group") if blocks == 1 else kept(top_of(part, k, "group"), "hits")
         found = part if found is None else found.unionByName(part)

@@ -168,3 +168,57 @@ def test_any_condition_before_candidates_are_chosen(spark):
         hits, decided = retrieval.retrieve(asks, idx, params, where=where)
         assert [r.chunk_id for r in hits.orderBy("rank").collect()] == ["c1", "c3", "c5"] and decided.first().diagnostics.candidates == 3
     assert retrieval.retrieve(asks, idx, params, where="owner = 7")[1].first().reason == retrieval.NO_MATCH
+
+
+def test_candidates_of_texts(spark):
+    rnd = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"c{i:03d}", " ".join(rnd.choice(words, 6)), "ab"[i % 2]) for i in range(400)] + [(f"d{i}", "w1 w2 w3", "a") for i in range(90)] + [("none", None, "b"), ("empty", "", None)]
+    index = spark.createDataFrame(rows, "chunk_id string, text string, kind string").repartition(3)
+    asks = spark.createDataFrame([(i, " ".join(rnd.choice(words, 4))) for i in range(9)] + [(99, "w1 w2 w3")], "question_id long, question string").select("question_id", embedding.embed(F.col("question")).alias("vector"))
+    made = index.withColumn("vector", embedding.embed(F.col("text")))
+    for how in ({}, {"by": "kind"}, {"block": 4}):
+        said = [sorted(map(str, df.collect())) for df in (retrieval.candidates(asks, made, 7, **how), retrieval.candidates(asks, index, 7, embedder=embedding.hashed_words, **how))]
+        assert said[0] == said[1] and len(said[0]) == 10 * 7 * (3 if how.get("by") else 1) - (60 if how.get("by") else 0)
+
+
+def test_a_worker_holds_few_pairs(monkeypatch):
+    monkeypatch.setattr(retrieval, "_SCORES", 1 << 12)
+    rnd = np.random.default_rng(2)
+    best, scores = retrieval._Best(8, 5), rnd.normal(size=(20_000, 8))
+    scores[7, 3] = np.nan
+    for at in range(0, len(scores), 500):
+        best.add(np.arange(at, at + 500), scores[at : at + 500])
+        assert best.waiting <= 500 * 8 + 512
+    q, ids, found = best.settle()
+    assert len(q) == 40
+    for j in range(8):
+        order = sorted((i for i in range(len(scores)) if scores[i, j] == scores[i, j]), key=lambda i: (-round(scores[i, j], 4), i))[:5]
+        assert ids[q == j].tolist() == order and found[q == j].tolist() == scores[order, j].tolist()
+
+
+def test_named_queries_send_small_batches(spark, tmp_path):
+    from passagecraft.plans.queries import QUERIES
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        assert QUERIES["embed_passages"](spark, str(tmp_path)).count() == 2
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_an_embedding_takes_little_beside_its_rows():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["some words of a text " * 40] * 20_000)
+    tracemalloc.start()
+    rows = sum(len(v) for v in embedding.vectors(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and most < 4 << 20
