@@ -20,8 +20,8 @@ DIMENSIONS = 384
 BATCH = 64
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
-#: Words that a worker remembers the hashes of.
-REMEMBERED_WORDS = 100_000
+#: Words that a worker remembers the hashes of, and different signs between words up to which they are blanked one by one.
+REMEMBERED_WORDS, SIGNS = 200_000, 64
 
 #: From texts to a matrix with a row for each.
 Embedder = Callable[[Sequence[str]], np.ndarray]
@@ -45,17 +45,29 @@ class _Hashes(dict):
         return made
 
 
+def words(texts: Sequence[str]) -> list[list[str]]:
+    """The lower-case runs of letters and digits of each text: as by ``[^\\W_]+``, but signs are blanked for all texts at once."""
+    import re
+
+    whole = "\0".join(texts).lower()
+    between = [c for c in set(whole) if c != "\0" and not c.isalnum() and not c.isspace()]
+    if len(between) > SIGNS or whole.count("\0") >= max(1, len(texts)):
+        return [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    for c in between:
+        whole = whole.replace(c, " ")
+    return [t.split() for t in whole.split("\0")] if texts else []
+
+
 def hashed_words(texts: Sequence[str], dims: int = DIMENSIONS) -> np.ndarray:
     """Word counts by hash: a word's place is the first 32 bits of its MD5, modulo the dimensions."""
-    import re
     from itertools import chain
 
     hashes = kept("hashed words", _Hashes)
     if len(hashes) > REMEMBERED_WORDS:
         hashes.clear()
-    words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
-    sizes = [len(w) for w in words]
-    places = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes)) % dims
+    found = words(texts)
+    sizes = [len(w) for w in found]
+    places = np.fromiter(map(hashes.__getitem__, chain.from_iterable(found)), np.int64, sum(sizes)) % dims
     return np.bincount(np.repeat(np.arange(len(texts)) * dims, sizes) + places, minlength=len(texts) * dims).reshape(len(texts), dims).astype(float)
 
 

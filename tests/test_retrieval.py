@@ -216,9 +216,25 @@ def test_an_embedding_takes_little_beside_its_rows():
 
     import pyarrow as pa
 
-    texts = pa.array(["some words of a text " * 40] * 20_000)
+    texts = pa.array(["some words of a text " * 5] * 4000)
     tracemalloc.start()
     rows = sum(len(v) for v in embedding.vectors(texts))
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert rows == len(texts) and most < 4 << 20
+    assert rows == len(texts) and most < 2 << 20
+
+
+def test_words_by_blanks_are_those_of_the_pattern():
+    import random
+    import re
+
+    rnd = random.Random(0)
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [f"a{c}b" for c in chars[: 1 << 14]] + ["", "\0", "ΑΣ", "Σ", "x_y İ ß"]
+    for most in (100, 3000, len(chars)):
+        texts += ["".join(rnd.choice(chars[:most]) for _ in range(200)) for _ in range(40)]
+    want = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    assert [embedding.words([t])[0] for t in texts] == want
+    for n in (3, 64):
+        assert [w for at in range(0, len(texts), n) for w in embedding.words(texts[at : at + n])] == want
+    assert embedding.words([]) == []
